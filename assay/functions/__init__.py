@@ -4,9 +4,13 @@ from assay.functions.columns import (
     col,
     literal_rows,
     missing,
+    missing_sql,
     name_has_any,
+    numeric_sql,
     numeric_value,
     percent,
+    quoted,
+    text,
     type_category,
 )
 from assay.functions.longform import long_form
@@ -16,8 +20,12 @@ __all__ = [
     "literal_rows",
     "long_form",
     "missing",
+    "missing_sql",
     "name_has_any",
+    "numeric_sql",
     "numeric_value",
     "percent",
+    "quoted",
+    "text",
     "type_category",
 ]

@@ -13,24 +13,41 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL; it may hold dots, blanks or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string literal as SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
-    """Reference a column whose name may hold dots, blanks or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def missing(name: str, data_type: T.DataType) -> Column:
     """Null, or NaN where the type has one."""
-    c = col(name)
+    return F.expr(missing_sql(name, data_type))
+
+
+def missing_sql(name: str, data_type: T.DataType) -> str:
+    c = quoted(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+        return f"({c} IS NULL OR isnan({c}))"
+    return f"({c} IS NULL)"
 
 
 def numeric_value(name: str, data_type: T.DataType) -> Column:
     """The column as double, with NaN turned into null."""
-    c = col(name).cast("double")
+    return F.expr(numeric_sql(name, data_type))
+
+
+def numeric_sql(name: str, data_type: T.DataType) -> str:
+    c = f"CAST({quoted(name)} AS DOUBLE)"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
+        return f"nanvl({c}, NULL)"
     return c
 
 

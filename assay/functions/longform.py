@@ -1,17 +1,16 @@
-"""Wide table -> long (ordinal, value) rows.
+"""Wide tables -> long (cid, value) rows.
 
-Every profile aggregate runs on this form: one compact ``groupBy("ordinal")``
-whose generated code does not grow with the table's width, instead of one
-aggregate expression per column and statistic.
+Every profile aggregate runs on this form: one compact ``GROUP BY cid`` for all
+columns of all tables, whose generated code does not grow with the tables' width,
+instead of one aggregate expression per column and statistic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 #: columns per stack expression; wider tables are split so that generated code
 #: stays small. Each piece scans only its own columns.
@@ -19,21 +18,19 @@ STACK_WIDTH = 48
 
 
 def long_form(
-    df: DataFrame,
-    columns: Sequence[tuple[int, Sequence[Column]]],
+    sources: Iterable[tuple[DataFrame, Sequence[tuple[int, Sequence[str]]]]],
     names: Sequence[str],
-) -> DataFrame:
-    """One output row per (input row, listed column).
+) -> DataFrame | None:
+    """One output row per (input row, listed column), over all sources.
 
-    ``columns`` holds (ordinal, value expressions), ``names`` the output names of
-    the value expressions.
+    A source is a table with its (cid, SQL value expressions); ``names`` are the
+    output names of the value expressions. None if no column is listed.
     """
+    shown = ", ".join(["cid", *names])
     pieces = []
-    for start in range(0, len(columns), STACK_WIDTH):
-        part = columns[start : start + STACK_WIDTH]
-        args: list[Column] = [F.lit(len(part))]
-        for ordinal, values in part:
-            args.append(F.lit(ordinal))
-            args.extend(values)
-        pieces.append(df.select(F.stack(*args).alias("ordinal", *names)))
-    return reduce(DataFrame.unionAll, pieces)
+    for df, columns in sources:
+        for start in range(0, len(columns), STACK_WIDTH):
+            part = columns[start : start + STACK_WIDTH]
+            args = ", ".join(f"{cid}, {', '.join(values)}" for cid, values in part)
+            pieces.append(df.selectExpr(f"stack({len(part)}, {args}) AS ({shown})"))
+    return reduce(DataFrame.unionAll, pieces) if pieces else None

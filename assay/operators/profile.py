@@ -1,13 +1,14 @@
 """``column_profile``: one row per table and column, over all rows.
 
-Two kinds of pass over a table:
+All columns of all tables share one integer key, ``cid``, so a set of tables is
+profiled by a fixed number of aggregates however many tables and columns it has:
 
 * statistics: per value class a long scan and one partial/final aggregate; only
   one row per column and task is shuffled;
-* frequencies: one shuffle of (ordinal, distinct value, count), pre-counted per
-  task. Exact distinct counts, top values and quantiles all read that exchange.
+* frequencies: one shuffle of (cid, distinct value, count), pre-counted per task.
+  Exact distinct counts, top values and quantiles all read that exchange.
 
-Every later rule works on the result, which can be unioned over tables and runs.
+Every later rule works on the result, which can be unioned over runs.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay import rules
-from assay.functions import col, literal_rows, long_form, missing, numeric_value, percent, type_category
+from assay.functions import literal_rows, long_form, numeric_sql, quoted, text, type_category
 from assay.operators.quantiles import quantiles
 
 STATS, DISTINCT, TOP, QUANTILES, OUTLIERS, PATTERNS = (
@@ -87,292 +87,337 @@ PROFILE_COLUMNS = {
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 
+#: rows of per-column results that may be broadcast; wider lakes use plain joins
+BROADCAST_COLUMNS = 100_000
+
+
+class _Lake:
+    """The tables with a number for each of their columns."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self.spark = next(iter(tables.values())).sparkSession
+        self.tables = []
+        self.rows = []
+        for name, df in tables.items():
+            columns = []
+            for ordinal, f in enumerate(df.schema.fields):
+                category = type_category(f.dataType)
+                cid = len(self.rows)
+                self.rows.append(
+                    (cid, name, f.name, ordinal, f.dataType.simpleString(), category)
+                )
+                columns.append((cid, f, category))
+            self.tables.append((df, columns))
+        self.categories = {r[5] for r in self.rows}
+
+    def schema(self) -> DataFrame:
+        ddl = (
+            "cid int, table_name string, column_name string, ordinal int, data_type string, "
+            "type_category string"
+        )
+        return literal_rows(self.spark, ddl, self.rows)
+
+    def long(self, category: str | None, value, keep=None) -> DataFrame | None:
+        """(cid, v) of the columns of a category, by a function field -> SQL."""
+        return long_form(
+            [
+                (
+                    df,
+                    [
+                        (cid, [value(f)])
+                        for cid, f, c in columns
+                        if (category is None or c == category) and (keep is None or keep(f))
+                    ],
+                )
+                for df, columns in self.tables
+            ],
+            ["v"],
+        )
 
-def _columns(df: DataFrame) -> list[tuple[int, T.StructField, str]]:
-    return [(i, f, type_category(f.dataType)) for i, f in enumerate(df.schema.fields)]
+    def small(self, df: DataFrame) -> DataFrame:
+        """Mark a result of at most one row (or a fixed few) per column."""
+        return F.broadcast(df) if len(self.rows) <= BROADCAST_COLUMNS else df
 
 
-def schema_rows(df: DataFrame, table: str, run_id: str | None = None) -> DataFrame:
-    """One row per column, from the schema alone."""
-    rows = [
-        (run_id, table, f.name, i, f.dataType.simpleString(), cat) for i, f, cat in _columns(df)
-    ]
-    ddl = (
-        "run_id string, table_name string, column_name string, ordinal int, data_type string, "
-        "type_category string"
-    )
-    return literal_rows(df.sparkSession, ddl, rows)
+# --- statistics pass ----------------------------------------------------------
 
 
-# --- statistics pass ----------------------------------------------------------
+def _aggregate(long: DataFrame, *expressions: str) -> DataFrame:
+    counts = ("count(*) AS total_count", "count(*) - count(v) AS null_count")
+    return long.groupBy("cid").agg(*[F.expr(e) for e in (*counts, *expressions)])
 
 
-def _counts() -> list[Column]:
-    return [
-        F.count("*").alias("total_count"),
-        (F.count("*") - F.count("v")).alias("null_count"),
-    ]
+_NUMERIC = (
+    "min(v) AS min_value",
+    "max(v) AS max_value",
+    "avg(v) AS mean",
+    "IF(count(v) > 0, coalesce(stddev_samp(v), 0D), NULL) AS std",
+    # undefined where all values are equal
+    "IF(min(v) < max(v), skewness(v), NULL) AS skewness",
+    "IF(min(v) < max(v), kurtosis(v), NULL) AS kurtosis",
+    "count_if(v < 0) AS negative_count",
+)
 
+_BOOLEAN = (
+    "count_if(v) AS true_count",
+    "count_if(NOT v) AS false_count",
+    "round(count_if(v) * 100D / greatest(count(v), 1), 1) AS true_percent",
+)
 
-def _numeric_stats(df: DataFrame, cols: list) -> DataFrame:
-    long = long_form(df, [(i, [numeric_value(f.name, f.dataType)]) for i, f, _ in cols], ["v"])
-    return long.groupBy("ordinal").agg(
-        *_counts(),
-        F.min("v").alias("min_value"),
-        F.max("v").alias("max_value"),
-        F.avg("v").alias("mean"),
-        F.when(F.count("v") > 0, F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("std"),
-        # undefined where all values are equal
-        F.when(F.min("v") < F.max("v"), F.skewness("v")).alias("skewness"),
-        F.when(F.min("v") < F.max("v"), F.kurtosis("v")).alias("kurtosis"),
-        F.count_if(F.col("v") < 0).alias("negative_count"),
-    )
+_STRING = (
+    "CAST(min(length(v)) AS BIGINT) AS min_length",
+    "CAST(max(length(v)) AS BIGINT) AS max_length",
+    "avg(length(v)) AS avg_length",
+    "count_if(v = '') AS empty_count",
+)
 
 
-def _matches(name: str) -> Column:
+def _matches(name: str) -> str:
     low, high = rules.PII_PATTERN_LENGTHS[name]
-    size = F.length("v")
-    in_range = size >= low if high is None else size.between(low, high)
+    fits = f"length(v) >= {low}" if high is None else f"length(v) BETWEEN {low} AND {high}"
     if name == "email":
-        in_range = in_range & F.contains(F.col("v"), F.lit("@"))
-    return in_range & F.col("v").rlike(rules.PII_PATTERNS[name])
+        fits += " AND contains(v, '@')"
+    return f"{fits} AND v RLIKE {text(rules.PII_PATTERNS[name])}"
 
 
-def _pattern_stats() -> list[Column]:
-    v = F.col("v")
-    bare = F.trim(v)
+def _pattern_expressions() -> list[str]:
+    words = ", ".join(text(w) for w in rules.BOOLEAN_WORDS_AND_LETTERS)
     return [
-        *[F.count_if(_matches(p)).alias(f"{p}_count") for p in rules.PII_PATTERNS],
-        F.count_if(bare != "").alias("nonblank_count"),
-        F.count_if(F.startswith(bare, F.lit("{"))).alias("object_count"),
-        F.count_if(F.startswith(bare, F.lit("["))).alias("array_count"),
-        F.count_if(F.regexp_replace(v, ",", "").rlike(rules.NUMBER)).alias("number_count"),
-        F.count_if(v.rlike(rules.CONTAINS_DATE)).alias("date_count"),
-        F.count_if(
-            (F.length(bare) <= 5) & F.lower(bare).isin(rules.BOOLEAN_WORDS_AND_LETTERS)
-        ).alias("boolean_count"),
-        F.count_if(F.startswith(bare, F.lit("<"))).alias("markup_count"),
+        "coalesce(bool_or(contains(v, '@')), false) AS has_email",
+        f"coalesce(bool_or(v RLIKE {text(rules.CONTAINS_PHONE)}), false) AS has_phone",
+        f"coalesce(bool_or(v RLIKE {text(rules.CONTAINS_URL)}), false) AS has_url",
+        *[f"count_if({_matches(p)}) AS {p}_count" for p in rules.PII_PATTERNS],
+        "count_if(trim(v) <> '') AS nonblank_count",
+        "count_if(startswith(ltrim(v), '{')) AS object_count",
+        "count_if(startswith(ltrim(v), '[')) AS array_count",
+        "count_if(startswith(ltrim(v), '<')) AS markup_count",
+        f"count_if(replace(v, ',', '') RLIKE {text(rules.NUMBER)}) AS number_count",
+        f"count_if(v RLIKE {text(rules.CONTAINS_DATE)}) AS date_count",
+        f"count_if(length(trim(v)) <= 5 AND lower(trim(v)) IN ({words})) AS boolean_count",
     ]
 
 
-def _string_stats(df: DataFrame, cols: list, with_patterns: bool) -> DataFrame:
-    long = long_form(df, [(i, [col(f.name).cast("string")]) for i, f, _ in cols], ["v"])
-    size = F.length("v")
-    aggs = [
-        *_counts(),
-        F.min(size).cast("bigint").alias("min_length"),
-        F.max(size).cast("bigint").alias("max_length"),
-        F.avg(size).alias("avg_length"),
-        F.count_if(F.col("v") == "").alias("empty_count"),
-    ]
-    if with_patterns:
-        any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-        aggs += [
-            any_of(F.contains(F.col("v"), F.lit("@"))).alias("has_email"),
-            any_of(F.col("v").rlike(rules.CONTAINS_PHONE)).alias("has_phone"),
-            any_of(F.col("v").rlike(rules.CONTAINS_URL)).alias("has_url"),
-            *_pattern_stats(),
-        ]
-    stats = long.groupBy("ordinal").agg(*aggs)
-    # strings in columns named like dates: the newest value that parses
-    dated = [
-        (i, [F.try_to_timestamp(col(f.name)).cast("timestamp_ntz")])
-        for i, f, _ in cols
-        if any(w in f.name.lower() for w in rules.DATE_NAME_WORDS)
-    ]
-    if dated:
-        newest = (
-            long_form(df, dated, ["v"])
-            .groupBy("ordinal")
-            .agg(F.min("v").alias("min_ts"), F.max("v").alias("max_ts"))
-        )
-        stats = stats.join(F.broadcast(newest), "ordinal", "left")
-    return stats
+def _size_sql(f: T.StructField) -> str:
+    c = quoted(f.name)
+    if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+        return f"CASE WHEN {c} IS NOT NULL THEN size({c}) END"
+    if isinstance(f.dataType, T.BinaryType):
+        return f"octet_length({c})"
+    if isinstance(f.dataType, T.StructType):
+        return f"CASE WHEN {c} IS NOT NULL THEN {len(f.dataType.fields)} END"
+    return f"CASE WHEN {c} IS NOT NULL THEN 1 END"
 
 
-def _boolean_stats(df: DataFrame, cols: list) -> DataFrame:
-    long = long_form(df, [(i, [col(f.name)]) for i, f, _ in cols], ["v"])
-    trues = F.count_if(F.col("v"))
-    return long.groupBy("ordinal").agg(
-        *_counts(),
-        trues.alias("true_count"),
-        F.count_if(~F.col("v")).alias("false_count"),
-        F.round(trues * 100.0 / F.greatest(F.count("v"), F.lit(1)), 1).alias("true_percent"),
-    )
+def _date_named(f: T.StructField) -> bool:
+    return any(w in f.name.lower() for w in rules.DATE_NAME_WORDS)
 
 
-def _datetime_stats(df: DataFrame, cols: list, as_of: str | None) -> DataFrame:
-    long = long_form(df, [(i, [col(f.name).cast("timestamp_ntz")]) for i, f, _ in cols], ["v"])
-    now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
-    seconds = F.timestamp_diff("SECOND", F.min("v"), F.max("v"))
-    return long.groupBy("ordinal").agg(
-        *_counts(),
-        F.min("v").alias("min_ts"),
-        F.max("v").alias("max_ts"),
-        F.floor(seconds / 86400).cast("bigint").alias("range_days"),
-        F.count_if(F.col("v") > now).alias("future_count"),
-    )
-
+def _statistics(lake: _Lake, patterns: bool, as_of: str | None) -> DataFrame:
+    now = f"TIMESTAMP_NTZ {text(as_of)}" if as_of else "localtimestamp()"
+    moments = "timestampdiff(SECOND, min(v), max(v))"
+    frames = []
 
-def _complex_stats(df: DataFrame, cols: list) -> DataFrame:
-    def size(f: T.StructField) -> Column:
-        c = col(f.name)
-        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            return F.when(c.isNotNull(), F.size(c))
-        if isinstance(f.dataType, T.BinaryType):
-            return F.octet_length(c)
-        if isinstance(f.dataType, T.StructType):
-            return F.when(c.isNotNull(), F.lit(len(f.dataType.fields)))
-        return F.when(c.isNotNull(), F.lit(1))
+    def add(category, value, *expressions):
+        if category in lake.categories:
+            frames.append(_aggregate(lake.long(category, value), *expressions))
 
-    long = long_form(df, [(i, [size(f).cast("int")]) for i, f, _ in cols], ["v"])
-    return long.groupBy("ordinal").agg(*_counts(), F.avg("v").alias("avg_size"))
+    add("numeric", lambda f: numeric_sql(f.name, f.dataType), *_NUMERIC)
+    add(
+        "string",
+        lambda f: f"CAST({quoted(f.name)} AS STRING)",
+        *_STRING,
+        *(_pattern_expressions() if patterns else ()),
+    )
+    add("boolean", lambda f: quoted(f.name), *_BOOLEAN)
+    add(
+        "datetime",
+        lambda f: f"CAST({quoted(f.name)} AS TIMESTAMP_NTZ)",
+        "min(v) AS min_ts",
+        "max(v) AS max_ts",
+        f"CAST(floor({moments} / 86400) AS BIGINT) AS range_days",
+        f"count_if(v > {now}) AS future_count",
+    )
+    add("complex", _size_sql, "avg(v) AS avg_size")
+    stats = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    # strings in columns named like dates: the oldest and newest value that parse
+    dated = lake.long(
+        "string",
+        lambda f: f"CAST(try_to_timestamp({quoted(f.name)}) AS TIMESTAMP_NTZ)",
+        _date_named,
+    )
+    if dated is not None:
+        parsed = dated.groupBy("cid").agg(F.expr("min(v) AS first_ts"), F.expr("max(v) AS last_ts"))
+        if "datetime" not in lake.categories:
+            stats = stats.selectExpr(
+                "*", "CAST(NULL AS TIMESTAMP_NTZ) AS min_ts", "CAST(NULL AS TIMESTAMP_NTZ) AS max_ts"
+            )
+        stats = stats.join(lake.small(parsed), "cid", "left").withColumns(
+            {
+                "min_ts": F.expr("coalesce(min_ts, first_ts)"),
+                "max_ts": F.expr("coalesce(max_ts, last_ts)"),
+            }
+        )
+    return stats
 
 
 # --- frequency pass -----------------------------------------------------------
 
+_DIGEST = "concat('sha256:', sha2({x}, 256))"
 
-def _as_text(f: T.StructField, category: str) -> Column:
-    c = col(f.name)
-    if category == "string":
-        text = c.cast("string")
-        return F.when(
-            F.length(text) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(text, 256))
-        ).otherwise(text)
-    if category == "complex":
-        if isinstance(f.dataType, T.BinaryType):
-            return F.when(c.isNotNull(), F.concat(F.lit("sha256:"), F.sha2(c, 256)))
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = F.to_json(c)
-            return F.when(c.isNotNull(), F.concat(F.lit("sha256:"), F.sha2(text, 256)))
-    return c.cast("string")
 
+def _text_sql(f: T.StructField) -> str:
+    """A column that is neither integral nor fractional, as text or as a digest of it."""
+    c = quoted(f.name)
+    if isinstance(f.dataType, T.StringType):
+        return f"IF(length({c}) > {DIGEST_ABOVE}, {_DIGEST.format(x=c)}, {c})"
+    if isinstance(f.dataType, T.BinaryType):
+        return _DIGEST.format(x=c)
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return _DIGEST.format(x=f"to_json({c})")
+    return f"CAST({c} AS STRING)"
 
-def frequencies(df: DataFrame) -> DataFrame:
-    """(ordinal, lng, dbl, txt, n): the count of every distinct non-null value.
+
+def _frequencies(lake: _Lake) -> DataFrame:
+    """(cid, lng, dbl, txt, n): the count of every distinct non-null value.
 
     The value sits in the column of its class, so numbers are never turned into
     text on the way to the shuffle. A value held by a third of the rows costs one
     row per task.
     """
-    lng, dbl, txt = [], [], []
-    for i, f, category in _columns(df):
-        if isinstance(f.dataType, _INTEGRAL):
-            lng.append((i, [col(f.name).cast("bigint")]))
-        elif isinstance(f.dataType, _FRACTIONAL):
-            dbl.append((i, [numeric_value(f.name, f.dataType)]))
-        else:
-            txt.append((i, [_as_text(f, category)]))
-    empty = {"lng": F.lit(None).cast("bigint"), "dbl": F.lit(None).cast("double"), "txt": F.lit(None).cast("string")}
+    is_lng = lambda f: isinstance(f.dataType, _INTEGRAL)
+    is_dbl = lambda f: isinstance(f.dataType, _FRACTIONAL)
+    kinds = (
+        (is_lng, lambda f: f"CAST({quoted(f.name)} AS BIGINT)", "v", "NULL", "NULL"),
+        (is_dbl, lambda f: numeric_sql(f.name, f.dataType), "NULL", "v", "NULL"),
+        (lambda f: not is_lng(f) and not is_dbl(f), _text_sql, "NULL", "NULL", "v"),
+    )
     pieces = []
-    for name, cols in (("lng", lng), ("dbl", dbl), ("txt", txt)):
-        if cols:
-            long = long_form(df, cols, ["v"]).where("v IS NOT NULL")
-            shown = [F.col("v").alias(k) if k == name else empty[k].alias(k) for k in empty]
-            pieces.append(long.select("ordinal", *shown))
+    for keep, value, lng, dbl, txt in kinds:
+        long = lake.long(None, value, keep)
+        if long is not None:
+            pieces.append(
+                long.where("v IS NOT NULL").selectExpr(
+                    "cid", f"CAST({lng} AS BIGINT) AS lng", f"CAST({dbl} AS DOUBLE) AS dbl",
+                    f"CAST({txt} AS STRING) AS txt",
+                )
+            )
     values = reduce(DataFrame.unionAll, pieces)
-    return values.groupBy("ordinal", "lng", "dbl", "txt").agg(F.count("*").alias("n"))
+    return values.groupBy("cid", "lng", "dbl", "txt").agg(F.expr("count(*) AS n"))
 
 
-def _shown_value() -> Column:
-    return F.coalesce(F.col("txt"), F.col("lng").cast("string"), F.col("dbl").cast("string"))
+def frequencies(df: DataFrame) -> DataFrame:
+    """The value frequencies of one table; ``cid`` is the column's position."""
+    return _frequencies(_Lake({"": df}))
 
 
 def _distinct(freq: DataFrame) -> DataFrame:
     # the sum keeps every branch reading the same exchange, column for column
-    return freq.groupBy("ordinal").agg(
-        F.count("*").alias("unique_count"), F.sum("n").alias("present_count")
+    return freq.groupBy("cid").agg(
+        F.expr("count(*) AS unique_count"), F.expr("sum(n) AS present_count")
     )
 
 
-def _top(df: DataFrame, freq: DataFrame, top_n: int) -> DataFrame:
-    rank = W.partitionBy("ordinal").orderBy(F.desc("n"), "lng", "dbl", "txt")
+def _top(lake: _Lake, freq: DataFrame, top_n: int) -> DataFrame:
+    """(cid, tops): the row limit is applied in each task before the shuffle."""
     best = (
-        freq.withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= top_n)
-        .select("ordinal", "rank", _shown_value().alias("value"), F.col("n").alias("count"))
+        freq.selectExpr(
+            "*",
+            "row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, txt) AS rank",
+        )
+        .where(f"rank <= {int(top_n)}")
+        .selectExpr(
+            "cid", "rank", "coalesce(txt, CAST(lng AS STRING), CAST(dbl AS STRING)) AS value",
+            "n AS count",
+        )
     )
-    best = _restore_long_text(df, best)
-    return best.groupBy("ordinal").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", "value", "count"))),
-            lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count")),
-        ).alias("tops")
+    best = _restore_long_text(lake, best)
+    return best.groupBy("cid").agg(
+        F.expr(
+            "transform(sort_array(collect_list(struct(rank, value, count))), "
+            "e -> struct(e.value AS value, e.count AS count)) AS tops"
+        )
     )
 
 
-def _restore_long_text(df: DataFrame, best: DataFrame) -> DataFrame:
+def _restore_long_text(lake: _Lake, best: DataFrame) -> DataFrame:
     """Put the text back for top values that were counted by digest."""
-    strings = [(i, f) for i, f, category in _columns(df) if category == "string"]
-    if not strings:
+    long = lake.long("string", lambda f: quoted(f.name))
+    if long is None:
         return best
-    long = long_form(df, [(i, [col(f.name).cast("string")]) for i, f in strings], ["v"])
-    long = long.where(F.length("v") > DIGEST_ABOVE).select(
-        "ordinal", F.concat(F.lit("sha256:"), F.sha2("v", 256)).alias("value"), "v"
+    long = long.where(f"length(v) > {DIGEST_ABOVE}").selectExpr(
+        "cid", f"{_DIGEST.format(x='v')} AS value", "v"
     )
-    # at most top_n rows per column, so the broadcast side is bounded by the schema
-    wanted = best.where(F.col("value").startswith("sha256:")).select("ordinal", "value")
+    # at most top_n rows per column, so this side is bounded by the schema
+    wanted = best.where("startswith(value, 'sha256:')").select("cid", "value")
     texts = (
-        long.join(F.broadcast(wanted), ["ordinal", "value"], "left_semi")
-        .groupBy("ordinal", "value")
-        .agg(F.any_value("v").alias("text"))
+        long.join(lake.small(wanted), ["cid", "value"], "left_semi")
+        .groupBy("cid", "value")
+        .agg(F.expr("any_value(v) AS text"))
     )
-    return best.join(F.broadcast(texts), ["ordinal", "value"], "left").select(
-        "ordinal", "rank", F.coalesce("text", "value").alias("value"), "count"
+    return best.join(lake.small(texts), ["cid", "value"], "left").selectExpr(
+        "cid", "rank", "coalesce(text, value) AS value", "count"
     )
 
 
-def _numeric_long(df: DataFrame) -> DataFrame | None:
-    cols = [
-        (i, [numeric_value(f.name, f.dataType)])
-        for i, f, category in _columns(df)
-        if category == "numeric"
-    ]
-    return long_form(df, cols, ["v"]).where("v IS NOT NULL") if cols else None
-
-
-def _quantiles(df: DataFrame, freq: DataFrame, method: str | None) -> DataFrame | None:
-    values = _numeric_long(df)
-    if values is None:
-        return None
-    numeric = [i for i, _, category in _columns(df) if category == "numeric"]
-    number = F.coalesce(F.col("lng").cast("double"), F.col("dbl"), F.expr("try_cast(txt AS double)"))
-    counts = freq.where(F.col("ordinal").isin(numeric)).select("ordinal", number.alias("v"), "n")
-    return quantiles(counts, values, [0.25, 0.5, 0.75], method).withColumnsRenamed(
-        {"p0": "q25", "p1": "median", "p2": "q75"}
+def _numeric_long(lake: _Lake) -> DataFrame:
+    return lake.long("numeric", lambda f: numeric_sql(f.name, f.dataType)).where("v IS NOT NULL")
+
+
+def _quantiles(lake: _Lake, freq: DataFrame, method: str | None) -> DataFrame:
+    numeric = ", ".join(str(r[0]) for r in lake.rows if r[5] == "numeric")
+    counts = freq.where(f"cid IN ({numeric})").selectExpr(
+        "cid", "coalesce(CAST(lng AS DOUBLE), dbl, try_cast(txt AS DOUBLE)) AS v", "n"
     )
+    found = quantiles(counts, _numeric_long(lake), [0.25, 0.5, 0.75], method)
+    return found.withColumnsRenamed({"p0": "q25", "p1": "median", "p2": "q75"})
 
 
-def _outliers(df: DataFrame, bounds: DataFrame, z: float) -> DataFrame:
-    """Second scan against one row of bounds per column (bounded by the schema)."""
-    v = F.col("v")
-    counted = (
-        _numeric_long(df)
-        .join(F.broadcast(bounds), "ordinal")
-        .groupBy("ordinal")
+def _outliers(lake: _Lake, bounds: DataFrame, z: float) -> DataFrame:
+    """Second scan against one row of bounds per column."""
+    return (
+        _numeric_long(lake)
+        .join(lake.small(bounds), "cid")
+        .groupBy("cid")
         .agg(
-            F.count_if((v < F.col("iqr_lower")) | (v > F.col("iqr_upper"))).alias("iqr_outliers"),
-            F.count_if(
-                F.abs(F.try_divide(v - F.col("mean"), F.col("std"))) > z
-            ).alias("zscore_outliers"),
-            F.count("*").alias("present"),
+            F.expr("count_if(v < iqr_lower OR v > iqr_upper) AS iqr_outliers"),
+            F.expr(f"count_if(abs(try_divide(v - mean, std)) > {float(z)!r}D) AS zscore_outliers"),
+            F.expr("count(*) AS present"),
+        )
+        .selectExpr(
+            "cid",
+            "iqr_outliers",
+            "iqr_outliers * 100D / present AS iqr_outlier_percent",
+            "zscore_outliers",
+            "zscore_outliers * 100D / present AS zscore_outlier_percent",
         )
-    )
-    return counted.select(
-        "ordinal",
-        "iqr_outliers",
-        (F.col("iqr_outliers") * 100.0 / F.col("present")).alias("iqr_outlier_percent"),
-        "zscore_outliers",
-        (F.col("zscore_outliers") * 100.0 / F.col("present")).alias("zscore_outlier_percent"),
     )
 
 
+def _sketches(lake: _Lake) -> DataFrame:
+    """Distinct counts and quantiles in one scan, by bounded sketches."""
+    pieces = []
+    if "numeric" in lake.categories:
+        pieces.append(
+            _numeric_long(lake)
+            .groupBy("cid")
+            .agg(
+                F.expr("approx_count_distinct(v) AS unique_count"),
+                F.expr("percentile_approx(v, array(0.25, 0.5, 0.75), 10000) AS q"),
+            )
+            .selectExpr("cid", "unique_count", "q[0] AS q25", "q[1] AS median", "q[2] AS q75")
+        )
+    other = lake.long(None, _text_sql, lambda f: type_category(f.dataType) != "numeric")
+    if other is not None:
+        pieces.append(other.groupBy("cid").agg(F.expr("approx_count_distinct(v) AS unique_count")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+
+
 # --- assembly -----------------------------------------------------------------
 
 
-def column_profile(
-    df: DataFrame,
-    table: str,
+def profile_tables(
+    tables: Mapping[str, DataFrame],
     *,
     run_id: str | None = None,
     parts: Iterable[str] = ALL_PARTS,
@@ -383,134 +428,83 @@ def column_profile(
     quantile_method: str | None = None,
     exact: bool = True,
 ) -> DataFrame:
-    """The profile of one table.
+    """The profile of a set of tables, one row per column.
 
     ``parts`` names what to compute; columns of parts left out are null. With
     ``exact=False`` distinct counts and quantiles come from sketches in one scan
     and no frequencies are shuffled (and no top values are given).
     """
     parts = set(parts)
+    lake = _Lake(tables)
+    numeric = "numeric" in lake.categories
     if OUTLIERS in parts:
         parts |= {STATS, QUANTILES}
-    columns = _columns(df)
-    by_class: dict[str, list] = {}
-    for entry in columns:
-        by_class.setdefault(entry[2], []).append(entry)
-
-    stats = []
-    if "numeric" in by_class:
-        stats.append(_numeric_stats(df, by_class["numeric"]))
-    if "string" in by_class:
-        stats.append(_string_stats(df, by_class["string"], PATTERNS in parts))
-    if "boolean" in by_class:
-        stats.append(_boolean_stats(df, by_class["boolean"]))
-    if "datetime" in by_class:
-        stats.append(_datetime_stats(df, by_class["datetime"], as_of))
-    if "complex" in by_class:
-        stats.append(_complex_stats(df, by_class["complex"]))
-    stats = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stats)
-
-    # every frame joined below has one row per column of the table
-    profile = schema_rows(df, table, run_id).join(F.broadcast(stats), "ordinal", "left")
-    bounds = stats
-    if exact and parts & {DISTINCT, TOP, QUANTILES}:
-        freq = frequencies(df)
+    stats = _statistics(lake, PATTERNS in parts, as_of)
+    # each frame joined below has one row per column
+    extra = []
+    quartiles = None
+    if not exact:
+        quartiles = _sketches(lake)
+        extra.append(quartiles)
+    elif parts & {DISTINCT, TOP, QUANTILES}:
+        freq = _frequencies(lake)
         if DISTINCT in parts:
-            profile = profile.join(F.broadcast(_distinct(freq)), "ordinal", "left")
+            extra.append(_distinct(freq))
         if TOP in parts:
-            profile = profile.join(F.broadcast(_top(df, freq, top_n)), "ordinal", "left")
-        if QUANTILES in parts and "numeric" in by_class:
-            q = _quantiles(df, freq, quantile_method)
-            profile = profile.join(F.broadcast(q), "ordinal", "left")
-            bounds = stats.join(F.broadcast(q), "ordinal")
-    elif not exact:
-        sketch = _sketches(df)
-        profile = profile.join(F.broadcast(sketch), "ordinal", "left")
-        bounds = stats.join(F.broadcast(sketch), "ordinal")
-    if "q25" in profile.columns:
-        profile = profile.withColumns(_iqr_bounds(iqr_k))
-    if OUTLIERS in parts and "numeric" in by_class:
-        bounds = bounds.withColumns(_iqr_bounds(iqr_k)).select(
-            "ordinal", "mean", "std", "iqr_lower", "iqr_upper"
-        )
-        profile = profile.join(
-            F.broadcast(_outliers(df, bounds.where("mean IS NOT NULL"), z_k)), "ordinal", "left"
+            extra.append(_top(lake, freq, top_n))
+        if QUANTILES in parts and numeric:
+            quartiles = _quantiles(lake, freq, quantile_method)
+            extra.append(quartiles)
+    fences = (
+        f"q25 - (q75 - q25) * {float(iqr_k)!r}D AS iqr_lower",
+        f"q75 + (q75 - q25) * {float(iqr_k)!r}D AS iqr_upper",
+    )
+    if OUTLIERS in parts and numeric:
+        bounds = (
+            stats.where("mean IS NOT NULL")
+            .join(lake.small(quartiles), "cid")
+            .selectExpr("cid", "mean", "std", *fences)
         )
-    return _conform(profile, DISTINCT in parts or not exact)
-
+        extra.append(_outliers(lake, bounds, z_k))
+    profile = lake.schema().join(lake.small(stats), "cid", "left")
+    for frame in extra:
+        profile = profile.join(lake.small(frame), "cid", "left")
+    if "q25" in profile.columns:
+        profile = profile.selectExpr("*", *fences)
+    return _conform(profile, run_id, DISTINCT in parts or not exact)
 
-def _iqr_bounds(k: float) -> dict[str, Column]:
-    spread = (F.col("q75") - F.col("q25")) * k
-    return {"iqr_lower": F.col("q25") - spread, "iqr_upper": F.col("q75") + spread}
 
-
-def _sketches(df: DataFrame) -> DataFrame:
-    numeric, other = [], []
-    for i, f, category in _columns(df):
-        if category == "numeric":
-            numeric.append((i, [numeric_value(f.name, f.dataType)]))
-        else:
-            other.append((i, [_as_text(f, category)]))
-    pieces = []
-    if numeric:
-        q = F.percentile_approx("v", [0.25, 0.5, 0.75], 10_000)
-        agg = long_form(df, numeric, ["v"]).groupBy("ordinal").agg(
-            F.approx_count_distinct("v").alias("unique_count"), q.alias("q")
-        )
-        pieces.append(
-            agg.select(
-                "ordinal", "unique_count",
-                F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"),
-            )
-        )
-    if other:
-        pieces.append(
-            long_form(df, other, ["v"]).groupBy("ordinal").agg(
-                F.approx_count_distinct("v").alias("unique_count")
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+def column_profile(df: DataFrame, table: str, **options) -> DataFrame:
+    """The profile of one table; options as for ``profile_tables``."""
+    return profile_tables({table: df}, **options)
 
 
-def _conform(profile: DataFrame, counted: bool) -> DataFrame:
-    total = F.col("total_count")
-    derived: dict[str, Column] = {
-        "null_percent": F.when(total.isNotNull(), percent(F.col("null_count"), total)),
-        "error": F.when(total.isNull(), F.lit("empty table")),
+def _conform(profile: DataFrame, run_id: str | None, counted: bool) -> DataFrame:
+    """The fixed columns of a profile; what was not computed is null."""
+    share = "coalesce(try_divide({part} * 100D, total_count), 0D)"
+    known = "CASE WHEN total_count IS NOT NULL THEN {x} END"
+    derived = {
+        "run_id": "NULL" if run_id is None else text(run_id),
+        "null_percent": known.format(x=share.format(part="null_count")),
+        "error": "CASE WHEN total_count IS NULL THEN 'empty table' END",
     }
     if counted:
         # an all-null column has no frequency row
-        unique = F.when(total.isNotNull(), F.coalesce(F.col("unique_count"), F.lit(0)))
-        derived["unique_count"] = unique
-        derived["unique_percent"] = F.when(total.isNotNull(), percent(unique, total))
+        unique = "coalesce(unique_count, 0)"
+        derived["unique_count"] = known.format(x=unique)
+        derived["unique_percent"] = known.format(x=share.format(part=unique))
     if "tops" in profile.columns:
-        derived["top_values"] = F.transform(
-            F.coalesce(F.col("tops"), F.array().cast("array<struct<value:string,count:bigint>>")),
-            lambda e: F.struct(
-                e["value"].alias("value"),
-                e["count"].alias("count"),
-                percent(e["count"], F.col("total_count")).alias("percent"),
-            ),
+        derived["top_values"] = (
+            "transform(coalesce(tops, array()), e -> struct(e.value AS value, e.count AS count, "
+            f"{share.format(part='e.count')} AS percent))"
         )
-    present = set(profile.columns) | set(derived)
-    out = []
-    for name, data_type in PROFILE_COLUMNS.items():
-        if name in derived:
-            value = derived[name]
-        elif name in present:
-            value = F.col(name)
-        else:
-            value = F.lit(None)
-        out.append(value.cast(data_type).alias(name))
-    return profile.select(*out)
-
-
-def profile_tables(
-    tables: Mapping[str, DataFrame], *, run_id: str | None = None, **options
-) -> DataFrame:
-    """The profile of a set of tables, one long DataFrame."""
-    frames = [column_profile(df, name, run_id=run_id, **options) for name, df in tables.items()]
-    return reduce(DataFrame.unionAll, frames)
+    present = set(profile.columns)
+    return profile.selectExpr(
+        *[
+            f"CAST({derived.get(name, name if name in present else 'NULL')} AS {data_type}) AS {name}"
+            for name, data_type in PROFILE_COLUMNS.items()
+        ]
+    )
 
 
 # --- rollups over a profile ---------------------------------------------------

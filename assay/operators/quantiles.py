@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles that spill instead of filling a heap.
 
-Input is a frequency table: one row per (ordinal, distinct value) with a count.
-Two plans give the same numbers:
+Input is a frequency table: one row per (cid, distinct value) with a count. Two
+plans give the same numbers:
 
 * ``window``: a running count per column over its sorted distinct values. One
   task sorts one column, so it is used only below a checked input size.
@@ -14,8 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: input size up to which one task may sort a column's distinct values
@@ -28,128 +27,113 @@ _GRID = 400
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; runs no job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
-def _targets(probs: Sequence[float]) -> Column:
-    return F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+def _array(values: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
 
 
 def _interpolated(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Pick the two neighbours of each rank from rows (ordinal, p, n, v, before, upto)."""
-    h = F.col("p") * (F.col("n") - 1)
-    low, high = F.floor(h), F.ceil(h)
-    picked = counted.groupBy("ordinal", "p").agg(
-        F.max(F.when((F.col("before") <= low) & (low < F.col("upto")), F.col("v"))).alias("a"),
-        F.max(F.when((F.col("before") <= high) & (high < F.col("upto")), F.col("v"))).alias("b"),
-        F.max(h - low).alias("w"),
+    """Pick the two neighbours of each rank from rows (cid, p, n, v, before, upto)."""
+    picked = (
+        counted.selectExpr("*", "floor(p * (n - 1)) AS lo_rank", "ceil(p * (n - 1)) AS hi_rank")
+        .groupBy("cid", "p")
+        .agg(
+            F.expr("max(CASE WHEN before <= lo_rank AND lo_rank < upto THEN v END) AS a"),
+            F.expr("max(CASE WHEN before <= hi_rank AND hi_rank < upto THEN v END) AS b"),
+            F.expr("max(p * (n - 1) - lo_rank) AS w"),
+        )
+        .selectExpr(
+            "cid",
+            "p",
+            "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a + (b - a) * w "
+            "ELSE CAST(raise_error('quantile rank outside its bracket') AS DOUBLE) END AS q",
+        )
     )
-    value = F.when(
-        F.col("a").isNotNull() & F.col("b").isNotNull(),
-        F.col("a") + (F.col("b") - F.col("a")) * F.col("w"),
-    ).otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
-    picked = picked.select("ordinal", "p", value.alias("q"))
-    return picked.groupBy("ordinal").agg(
-        *[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"p{i}") for i, p in enumerate(probs)]
+    return picked.groupBy("cid").agg(
+        *[F.expr(f"max(CASE WHEN p = {float(p)!r}D THEN q END) AS p{i}") for i, p in enumerate(probs)]
     )
 
 
 def _by_window(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    order = W.partitionBy("ordinal").orderBy("v")
-    running = freq.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum("n").over(W.partitionBy("ordinal"))
-    running = running.select(
-        "ordinal", "v", F.col("upto"), (F.col("upto") - F.col("n")).alias("before"), total.alias("n")
-    )
+    running = freq.selectExpr(
+        "cid",
+        "v",
+        "n AS c",
+        "sum(n) OVER (PARTITION BY cid ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
+        "sum(n) OVER (PARTITION BY cid) AS n",
+    ).selectExpr("cid", "v", "upto", "upto - c AS before", "n")
     # keep the few rows that hold a wanted rank before repeating them per quantile
-    wanted = None
-    for p in probs:
-        h = F.lit(float(p)) * (F.col("n") - 1)
-        hit = (F.col("before") <= F.ceil(h)) & (F.floor(h) < F.col("upto"))
-        wanted = hit if wanted is None else wanted | hit
-    rows = running.where(wanted).select("*", _targets(probs))
+    wanted = " OR ".join(
+        f"(before <= ceil({float(p)!r}D * (n - 1)) AND floor({float(p)!r}D * (n - 1)) < upto)"
+        for p in probs
+    )
+    rows = running.where(wanted).selectExpr("*", f"explode({_array(probs)}) AS p")
     return _interpolated(rows, probs)
 
 
-def _sketch(points: Sequence[float], value: str = "v") -> Column:
-    return F.percentile_approx(value, [min(max(x, 0.0), 1.0) for x in points], _ACCURACY)
+def _sketch(points: Sequence[float], value: str = "v") -> str:
+    inside = [min(max(x, 0.0), 1.0) for x in points]
+    return f"percentile_approx({value}, {_array(inside)}, {_ACCURACY})"
 
 
 def _by_bracket(values: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """``values`` holds (ordinal, v) and no nulls; it is scanned three times."""
+    """``values`` holds (cid, v) and no nulls; it is scanned three times."""
     margin = 4.0 / _ACCURACY
     points = [x for p in probs for x in (p - margin, p + margin)]
-    # round 1: one sketch per column; a row per column and quantile comes out
-    first = values.groupBy("ordinal").agg(F.count("*").alias("n"), _sketch(points).alias("s"))
-    # a bracket must be several ranks wide; below that many rows it is left open
-    few = F.col("n") * margin < 4
-    brackets = first.select(
-        "ordinal",
-        "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("p"),
-                        F.when(few | F.lit(p - margin <= 0), float("-inf"))
-                        .otherwise(F.col("s")[2 * i])
-                        .alias("lo"),
-                        F.when(few | F.lit(p + margin >= 1), float("inf"))
-                        .otherwise(F.col("s")[2 * i + 1])
-                        .alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
+    # round 1: one sketch per column. A bracket must be several ranks wide, so it
+    # is left open for few rows and at either end.
+    first = values.groupBy("cid").agg(F.expr("count(*) AS n"), F.expr(f"{_sketch(points)} AS s"))
+    low, high = "CAST('-Infinity' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
+    spans = ", ".join(
+        f"named_struct('p', {float(p)!r}D, "
+        f"'lo', IF(n * {margin} < 4 OR {p - margin} <= 0, {low}, s[{2 * i}]), "
+        f"'hi', IF(n * {margin} < 4 OR {p + margin} >= 1, {high}, s[{2 * i + 1}]))"
+        for i, p in enumerate(probs)
     )
+    brackets = first.selectExpr("cid", "n", f"inline(array({spans}))")
     # round 2: exact count below each bracket and a finer sketch inside it
-    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     second = (
-        values.join(F.broadcast(brackets), "ordinal")
-        .withColumn("x", F.when(inside, F.col("v")))
-        .groupBy("ordinal", "p", "n", "lo", "hi")
+        values.join(F.broadcast(brackets), "cid")
+        .selectExpr("*", "CASE WHEN v >= lo AND v <= hi THEN v END AS x")
+        .groupBy("cid", "p", "n", "lo", "hi")
         .agg(
-            F.count_if(F.col("v") < F.col("lo")).alias("below"),
-            F.count("x").alias("within"),
-            _sketch([i / _GRID for i in range(_GRID + 1)], "x").alias("g"),
+            F.expr("count_if(v < lo) AS below"),
+            F.expr("count(x) AS within"),
+            F.expr(f"{_sketch([i / _GRID for i in range(_GRID + 1)], 'x')} AS g"),
         )
     )
-    h = F.col("p") * (F.col("n") - 1)
-    spot = F.try_divide(h - F.col("below"), F.col("within")) * _GRID
-    left = F.floor(spot).cast("int") - 2
-    right = F.ceil(spot).cast("int") + 3
-    few = F.col("within") < 4 * _GRID
-    narrow = second.select(
-        "ordinal",
+    narrow = second.selectExpr(
+        "*", f"try_divide(p * (n - 1) - below, within) * {_GRID} AS spot"
+    ).selectExpr(
+        "cid",
         "p",
         "n",
-        F.when(few | (left < 0), F.col("lo")).otherwise(F.get("g", left)).alias("lo"),
-        F.when(few | (right > _GRID), F.col("hi")).otherwise(F.get("g", right)).alias("hi"),
+        f"IF(within < {4 * _GRID} OR floor(spot) - 2 < 0, lo, get(g, CAST(floor(spot) AS INT) - 2)) AS lo",
+        f"IF(within < {4 * _GRID} OR ceil(spot) + 3 > {_GRID}, hi, get(g, CAST(ceil(spot) AS INT) + 3)) AS hi",
     )
     # round 3: one row counts everything below, the rest are distinct values inside
-    below = F.col("v") < F.col("lo")
     counted = (
-        values.join(F.broadcast(narrow), "ordinal")
-        .where(F.col("v") <= F.col("hi"))
-        .groupBy("ordinal", "p", "n", F.when(~below, F.col("v")).alias("v"))
-        .agg(F.count("*").alias("c"))
+        values.join(F.broadcast(narrow), "cid")
+        .where("v <= hi")
+        .selectExpr("cid", "p", "n", "CASE WHEN v >= lo THEN v END AS v")
+        .groupBy("cid", "p", "n", "v")
+        .agg(F.expr("count(*) AS c"))
     )
-    order = W.partitionBy("ordinal", "p").orderBy(F.col("v").asc_nulls_first())
-    running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    running = running.withColumn("before", F.col("upto") - F.col("c")).where(F.col("v").isNotNull())
-    return _interpolated(running, probs)
+    running = counted.selectExpr(
+        "cid", "p", "n", "v", "c",
+        "sum(c) OVER (PARTITION BY cid, p ORDER BY v NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto",
+    ).where("v IS NOT NULL")
+    return _interpolated(running.selectExpr("*", "upto - c AS before"), probs)
 
 
 def quantiles(
-    freq: DataFrame,
-    values: DataFrame,
-    probs: Sequence[float],
-    method: str | None = None,
+    freq: DataFrame, values: DataFrame, probs: Sequence[float], method: str | None = None
 ) -> DataFrame:
-    """(ordinal, p0, p1, …): one column per entry of ``probs``.
+    """(cid, p0, p1, …): one column per entry of ``probs``.
 
-    ``freq`` (ordinal, v, n) and ``values`` (ordinal, v) describe the same data.
+    ``freq`` (cid, v, n) and ``values`` (cid, v) describe the same data.
     """
     if method is None:
         method = "window" if plan_bytes(values) <= WINDOW_LIMIT_BYTES else "bracket"
