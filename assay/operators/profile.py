@@ -91,7 +91,7 @@ _FRACTIONAL = (T.FloatType, T.DoubleType)
 BROADCAST_COLUMNS = 100_000
 
 
-class _Lake:
+class Lake:
     """The tables with a number for each of their columns."""
 
     def __init__(self, tables: Mapping[str, DataFrame]):
@@ -212,7 +212,7 @@ def _date_named(f: T.StructField) -> bool:
     return any(w in f.name.lower() for w in rules.DATE_NAME_WORDS)
 
 
-def _statistics(lake: _Lake, patterns: bool, as_of: str | None) -> DataFrame:
+def _statistics(lake: Lake, patterns: bool, as_of: str | None) -> DataFrame:
     now = f"TIMESTAMP_NTZ {text(as_of)}" if as_of else "localtimestamp()"
     moments = "timestampdiff(SECOND, min(v), max(v))"
     frames = []
@@ -278,7 +278,7 @@ def _text_sql(f: T.StructField) -> str:
     return f"CAST({c} AS STRING)"
 
 
-def _frequencies(lake: _Lake) -> DataFrame:
+def _frequencies(lake: Lake) -> DataFrame:
     """(cid, lng, dbl, txt, n): the count of every distinct non-null value.
 
     The value sits in the column of its class, so numbers are never turned into
@@ -308,7 +308,7 @@ def _frequencies(lake: _Lake) -> DataFrame:
 
 def frequencies(df: DataFrame) -> DataFrame:
     """The value frequencies of one table; ``cid`` is the column's position."""
-    return _frequencies(_Lake({"": df}))
+    return _frequencies(Lake({"": df}))
 
 
 def _distinct(freq: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def _distinct(freq: DataFrame) -> DataFrame:
     )
 
 
-def _top(lake: _Lake, freq: DataFrame, top_n: int) -> DataFrame:
+def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
     """(cid, tops): the row limit is applied in each task before the shuffle."""
     best = (
         freq.selectExpr(
@@ -340,7 +340,7 @@ def _top(lake: _Lake, freq: DataFrame, top_n: int) -> DataFrame:
     )
 
 
-def _restore_long_text(lake: _Lake, best: DataFrame) -> DataFrame:
+def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
     """Put the text back for top values that were counted by digest."""
     long = lake.long("string", lambda f: quoted(f.name))
     if long is None:
@@ -360,11 +360,11 @@ def _restore_long_text(lake: _Lake, best: DataFrame) -> DataFrame:
     )
 
 
-def _numeric_long(lake: _Lake) -> DataFrame:
+def _numeric_long(lake: Lake) -> DataFrame:
     return lake.long("numeric", lambda f: numeric_sql(f.name, f.dataType)).where("v IS NOT NULL")
 
 
-def _quantiles(lake: _Lake, freq: DataFrame, method: str | None) -> DataFrame:
+def _quantiles(lake: Lake, freq: DataFrame, method: str | None) -> DataFrame:
     numeric = ", ".join(str(r[0]) for r in lake.rows if r[5] == "numeric")
     counts = freq.where(f"cid IN ({numeric})").selectExpr(
         "cid", "coalesce(CAST(lng AS DOUBLE), dbl, try_cast(txt AS DOUBLE)) AS v", "n"
@@ -373,7 +373,7 @@ def _quantiles(lake: _Lake, freq: DataFrame, method: str | None) -> DataFrame:
     return found.withColumnsRenamed({"p0": "q25", "p1": "median", "p2": "q75"})
 
 
-def _outliers(lake: _Lake, bounds: DataFrame, z: float) -> DataFrame:
+def _outliers(lake: Lake, bounds: DataFrame, z: float) -> DataFrame:
     """Second scan against one row of bounds per column."""
     return (
         _numeric_long(lake)
@@ -394,7 +394,7 @@ def _outliers(lake: _Lake, bounds: DataFrame, z: float) -> DataFrame:
     )
 
 
-def _sketches(lake: _Lake) -> DataFrame:
+def _sketches(lake: Lake) -> DataFrame:
     """Distinct counts and quantiles in one scan, by bounded sketches."""
     pieces = []
     if "numeric" in lake.categories:
@@ -435,7 +435,7 @@ def profile_tables(
     and no frequencies are shuffled (and no top values are given).
     """
     parts = set(parts)
-    lake = _Lake(tables)
+    lake = Lake(tables)
     numeric = "numeric" in lake.categories
     if OUTLIERS in parts:
         parts |= {STATS, QUANTILES}

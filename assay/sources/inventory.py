@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import col, literal_rows, long_form, missing, type_category
+from assay.functions import literal_rows, missing_sql, quoted, type_category
+from assay.operators.profile import Lake
 
 
 def table_inventory(spark: SparkSession, tables: Mapping[str, DataFrame], namespace: str) -> DataFrame:
@@ -31,25 +32,26 @@ def sql_type(data_type) -> str:
 
 def schema_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column; ``is_nullable`` says whether a null occurs in any row."""
-    frames = []
-    for name, df in tables.items():
-        fields = df.schema.fields
-        described = literal_rows(
-            df.sparkSession,
-            "ordinal int, column_name string, declared_type string, sql_type string",
-            [(i, f.name, f.dataType.simpleString(), sql_type(f.dataType)) for i, f in enumerate(fields)],
-        )
-        tests = [(i, [missing(f.name, f.dataType)]) for i, f in enumerate(fields)]
-        nulls = long_form(df, tests, ["m"]).groupBy("ordinal").agg(
-            F.bool_or("m").alias("is_nullable")
-        )
-        frames.append(
-            described.join(F.broadcast(nulls), "ordinal", "left").select(
-                F.lit(name).alias("table_name"), "ordinal", "column_name", "declared_type", "sql_type",
-                F.coalesce("is_nullable", F.lit(False)).alias("is_nullable"),
-            )
+    lake = Lake(tables)
+    kinds = literal_rows(
+        lake.spark,
+        "cid int, sql_type string",
+        [(cid, sql_type(f.dataType)) for _, columns in lake.tables for cid, f, _ in columns],
+    )
+    nulls = (
+        lake.long(None, lambda f: missing_sql(f.name, f.dataType))
+        .groupBy("cid")
+        .agg(F.expr("bool_or(v) AS is_nullable"))
+    )
+    return (
+        lake.schema()
+        .join(lake.small(kinds), "cid")
+        .join(lake.small(nulls), "cid", "left")
+        .selectExpr(
+            "table_name", "ordinal", "column_name", "data_type AS declared_type", "sql_type",
+            "coalesce(is_nullable, false) AS is_nullable",
         )
-    return reduce(DataFrame.unionAll, frames)
+    )
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -95,54 +97,53 @@ def table_summary(described: DataFrame) -> DataFrame:
     ).orderBy("table_name")
 
 
-def parsed_time(name: str, data_type) -> Column:
-    if type_category(data_type) == "datetime":
-        return col(name).cast("timestamp_ntz")
-    return F.try_to_timestamp(col(name)).cast("timestamp_ntz")
+def asset_freshness(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per table the newest value of its first column that holds dates.
 
-
-def asset_freshness(df: DataFrame, table: str, modified: Column | None = None) -> DataFrame:
-    """The newest value of the first column that holds dates.
-
-    Time columns come first, then strings of which over half parse as a date. A
-    table with neither falls back on ``modified``, e.g.
-    ``_metadata.file_modification_time``.
+    Time columns come before strings of which over half parse as a date. Both
+    columns are null for a table with neither; see ``file_freshness`` for those.
     """
-    fields = list(enumerate(df.schema.fields))
-    typed = [(i, f) for i, f in fields if type_category(f.dataType) == "datetime"]
-    texts = [(i, f) for i, f in fields if type_category(f.dataType) == "string"]
-    chosen = typed or texts
-    spark = df.sparkSession
-    if chosen:
-        names = literal_rows(
-            spark, "ordinal int, column_name string", [(i, f.name) for i, f in chosen]
-        )
-        values = [
-            (i, [parsed_time(f.name, f.dataType), col(f.name).isNotNull()]) for i, f in chosen
-        ]
-        stats = (
-            long_form(df, values, ["v", "present"])
-            .groupBy("ordinal")
-            .agg(
-                F.max("v").alias("latest"),
-                F.try_divide(F.count("v"), F.count_if(F.col("present"))).alias("rate"),
+    lake = Lake(tables)
+    typed = lake.long("datetime", lambda f: f"CAST({quoted(f.name)} AS TIMESTAMP_NTZ)")
+    texts = lake.long("string", lambda f: quoted(f.name))
+    frames = []
+    if typed is not None:
+        frames.append(typed.selectExpr("cid", "0 AS kind", "v AS ts", "v IS NOT NULL AS present"))
+    if texts is not None:
+        frames.append(
+            texts.selectExpr(
+                "cid", "1 AS kind", "CAST(try_to_timestamp(v) AS TIMESTAMP_NTZ) AS ts",
+                "v IS NOT NULL AS present",
             )
-            .where("latest IS NOT NULL AND rate > 0.5")
-            .agg(F.min_by(F.struct("ordinal", "latest"), "ordinal").alias("first"))
-            .select("first.*")
         )
-        found = stats.join(F.broadcast(names), "ordinal", "left").select("column_name", "latest")
-    else:
-        found = spark.range(1).select(
-            F.lit(None).cast("string").alias("column_name"),
-            F.lit(None).cast("timestamp_ntz").alias("latest"),
+    schema = lake.schema()
+    names = schema.select("table_name").distinct()
+    if not frames:
+        return names.selectExpr(
+            "table_name", "CAST(NULL AS STRING) AS column_name", "CAST(NULL AS TIMESTAMP_NTZ) AS latest"
         )
-    if modified is not None:
-        touched = df.agg(F.max(modified).cast("timestamp_ntz").alias("touched"))
-        found = found.join(F.broadcast(touched)).select(
-            "column_name", F.coalesce("latest", "touched").alias("latest")
+    newest = (
+        reduce(DataFrame.unionAll, frames)
+        .groupBy("cid", "kind")
+        .agg(
+            F.expr("max(ts) AS latest"), F.expr("try_divide(count(ts), count_if(present)) AS rate")
         )
-    return found.select(F.lit(table).alias("table_name"), "column_name", "latest")
+        .where("rate > 0.5")
+    )
+    best = (
+        schema.join(lake.small(newest), "cid")
+        .groupBy("table_name")
+        .agg(F.expr("min(struct(kind, cid, column_name, latest)) AS best"))
+        .selectExpr("table_name", "best.column_name", "best.latest")
+    )
+    return names.join(best, "table_name", "left")
+
+
+def file_freshness(df: DataFrame) -> DataFrame:
+    """The newest modification time of the files behind a table."""
+    return df.select("_metadata.file_modification_time").agg(
+        F.max("file_modification_time").alias("latest")
+    )
 
 
 def freshness_columns(df: DataFrame) -> list[str]:
