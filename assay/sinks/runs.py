@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.session import scratch_path
+
 #: artifacts of a run, as in its file list
 ARTIFACTS = (
     "schema", "profile", "kpi_candidates", "assets_inventory", "source_connection_status",
@@ -19,6 +21,17 @@ def save(df: DataFrame, root: str, artifact: str, run_id: str, fmt: str = "json"
     return path
 
 
+def materialize(df: DataFrame, label: str = "profile") -> DataFrame:
+    """Write a result once to the shared folder and go on from the files.
+
+    Rules read a profile many times; from files each reading costs a small scan
+    and a lost executor costs nothing but a retry.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_runs(df: DataFrame, root: str, artifact: str, fmt: str = "json") -> str:
     """Write an artifact of many runs at once, partitioned by ``run_id``."""
     path = f"{root}/{artifact}"

@@ -9,7 +9,7 @@ from assay.operators import masking as M
 from assay.operators import privacy as Y
 from assay.operators import profile as P
 from checks.lake import over_profile, over_views, shaped, view
-from checks.q_profile import prof
+from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,7 +84,7 @@ def _pii(spark, sf):
 
 
 def _risks(spark, sf):
-    p = prof(spark, sf, parts=PARTS)
+    p = stored(spark, sf, parts=PARTS)
     return Y.table_risk(p, Y.pii_columns(p))
 
 
@@ -129,7 +129,7 @@ ORACLE["gdpr_categories"] = _sql(
 
 
 def _mask_tops(spark, sf):
-    p = prof(spark, sf, parts=(P.STATS, P.TOP, P.PATTERNS))
+    p = stored(spark, sf, parts=(P.STATS, P.TOP, P.PATTERNS))
     masked = Y.mask_top_values(p, Y.pii_columns(p))
     return shaped(P.exploded_top_values(masked).select("table_name", "column_name", "rank", "value", "count"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.operators import profile as P
+from assay.sinks.runs import materialize
 from checks.lake import AS_OF, SHOP, lake, over_profile, rounded, shaped
 
 QUERIES, ORACLE = {}, {}
@@ -14,6 +15,11 @@ def prof(spark, sf, names=SHOP, parts=(P.STATS,), **options):
     return P.profile_tables(lake(spark, sf, names), as_of=AS_OF, parts=parts, **options)
 
 
+def stored(spark, sf, names=SHOP, parts=(P.STATS,), **options):
+    """The profile written once, for rules that read it more than once."""
+    return materialize(prof(spark, sf, names, parts, **options))
+
+
 def _profile_query(key, parts, columns, category=None, doubles=(), digits=6):
     shown = ["table_name", "column_name", *columns]
 

@@ -10,7 +10,7 @@ from assay.operators import profile as P
 from assay.operators import quality as Q
 from assay.operators import structure as T
 from checks.lake import AS_OF, SHOP, lake, over_profile, over_views, shaped, sql_duplicates
-from checks.q_profile import prof
+from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,7 +70,7 @@ s AS (
 
 def rows(spark, sf, parts=(P.STATS,)):
     tables = lake(spark, sf)
-    p = P.profile_tables(tables, as_of=AS_OF, parts=parts)
+    p = stored(spark, sf, parts=parts)
     return Q.component_rows(p, D.duplicates(tables), AS_OF)
 
 
@@ -115,7 +115,7 @@ ORACLE["quality_overall"] = _sql(
 
 def _flags(spark, sf):
     tables = lake(spark, sf)
-    p = P.profile_tables(tables, as_of=AS_OF, parts=(P.STATS, P.DISTINCT, P.PATTERNS))
+    p = stored(spark, sf, parts=(P.STATS, P.DISTINCT, P.PATTERNS))
     found = Q.component_rows(p, D.duplicates(tables), AS_OF)
     return shaped(Q.flags(p, found, H.verdicts(H.hidden_types(p))).drop("run_id"))
 

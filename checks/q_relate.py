@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from assay.operators import profile as P
 from assay.operators import relate as R
+from assay.sinks.runs import materialize
 from checks.lake import from_sql, over_profile, over_views, rounded, shaped, view
-from checks.q_profile import prof
+from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
 PARTS = (P.STATS, P.DISTINCT)
@@ -33,7 +34,7 @@ jc AS (
 
 
 def edges(spark, sf):
-    return R.relationships(prof(spark, sf, parts=PARTS))
+    return R.relationships(stored(spark, sf, parts=PARTS))
 
 
 def _sql(body: str) -> str:
@@ -51,7 +52,7 @@ ORACLE["candidate_keys"] = over_profile(
 QUERIES["top_tables"] = lambda s, d: shaped(R.top_tables(prof(s, d), 3).drop("run_id"))
 ORACLE["top_tables"] = _sql("SELECT * FROM big WHERE size_rank <= 3")
 QUERIES["join_candidates"] = lambda s, d: shaped(
-    R.join_candidates(prof(s, d, parts=PARTS)).drop("run_id")
+    R.join_candidates(stored(s, d, parts=PARTS)).drop("run_id")
 )
 ORACLE["join_candidates"] = _sql("SELECT * FROM jc")
 QUERIES["join_paths"] = lambda s, d: shaped(R.join_paths(edges(s, d)).drop("run_id"))
@@ -83,7 +84,9 @@ def _crm(spark, sf):
         "nation": "SELECT n_nationkey AS id, n_regionkey AS region_id FROM {nation}",
         "items": "SELECT l_orderkey AS order_id, l_suppkey AS supplier_id FROM {lineitem}",
     }
-    return P.profile_tables({n: from_sql(spark, sf, t) for n, t in texts.items()}, parts=PARTS)
+    return materialize(
+        P.profile_tables({n: from_sql(spark, sf, t) for n, t in texts.items()}, parts=PARTS)
+    )
 
 
 QUERIES["fk_naming"] = lambda s, d: shaped(

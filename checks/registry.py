@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import q_privacy, q_profile, q_quality, q_relate
+from checks import q_kpi, q_privacy, q_profile, q_quality, q_relate
 
 QUERIES, ORACLE = {}, {}
-for module in (q_profile, q_quality, q_privacy, q_relate):
+for module in (q_profile, q_quality, q_privacy, q_relate, q_kpi):
     QUERIES.update(module.QUERIES)
     ORACLE.update(module.ORACLE)
