@@ -11,13 +11,22 @@ SCHEMA = (
 )
 
 
+# times are kept to the microsecond
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    records.write.mode("append").options(**_TIMES).json(path)
+
+
+def as_lines(records: DataFrame) -> DataFrame:
+    """The records as JSON text, one ``value`` each."""
+    return records.select(F.to_json(F.struct(*records.columns), _TIMES).alias("value"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All records; lines that are no record are left out."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(SCHEMA).options(**_TIMES).option("mode", "DROPMALFORMED").json(path)
 
 
 def tail(log: DataFrame, n: int, event_type: str | None = None) -> DataFrame:

@@ -109,7 +109,9 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     ),
     "activity": (
         """
-        SELECT event_id, ts AS created_at, user_id, event_type, value AS amount, props
+        SELECT event_id, ts AS created_at, user_id, event_type, value AS amount, props,
+               CASE WHEN event_id % 100 = 7 THEN value * 50 ELSE 0.0 END AS refund,
+               CASE WHEN event_id % 300 = 1 THEN 'fatal' WHEN event_id % 25 = 2 THEN 'error' ELSE 'info' END AS level
         FROM {events}
         """,
         [
@@ -119,6 +121,8 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
             ("event_type", "string", "string"),
             ("amount", "double", "numeric"),
             ("props", "string", "string"),
+            ("refund", "double", "numeric"),
+            ("level", "string", "string"),
         ],
     ),
 }

@@ -355,11 +355,12 @@ def _list(values) -> str:
 KPI_SQL = f"""{_NAMES},
 cat(industry, priority, name, required_tables, required_fields, any_of) AS (VALUES {", ".join(
     f"('{k.industry}', {k.priority}, '{k.name}', {_list(k.tables)}, {_list(k.fields)}, {_list(k.any_of)})" for k in catalog.KPIS)}),
+nl AS (SELECT list(name) FILTER (kind = 'table') AS tn, list(name) FILTER (kind = 'column') AS cn FROM names),
 rd AS (
-  SELECT *, list_sort(list_filter(required_tables, lambda t: t NOT IN (SELECT name FROM names WHERE kind = 'table'))) AS mt,
-         list_sort(list_filter(required_fields, lambda f: f NOT IN (SELECT name FROM names WHERE kind = 'column'))) AS mf,
-         len(any_of) = 0 OR len(list_filter(any_of, lambda f: f IN (SELECT name FROM names))) > 0 AS any_ok
-  FROM cat),
+  SELECT cat.*, list_sort(list_filter(required_tables, lambda t: NOT list_contains(tn, t))) AS mt,
+         list_sort(list_filter(required_fields, lambda f: NOT list_contains(cn, f))) AS mf,
+         len(any_of) = 0 OR list_has_any(any_of, list_concat(tn, cn)) AS any_ok
+  FROM cat, nl),
 fill AS (SELECT column_name, max(1 - null_percent / 100) AS f FROM p GROUP BY 1),
 ready AS (
   SELECT industry, priority, name, array_to_string(mt, '|') AS missing_tables, array_to_string(mf, '|') AS missing_fields,
