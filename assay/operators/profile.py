@@ -364,25 +364,35 @@ def _numeric_long(lake: Lake) -> DataFrame:
     return lake.long("numeric", lambda f: numeric_sql(f.name, f.dataType)).where("v IS NOT NULL")
 
 
-def _quantiles(lake: Lake, freq: DataFrame, method: str | None) -> DataFrame:
+def _numeric_counts(lake: Lake, freq: DataFrame) -> DataFrame:
+    """(cid, v, n) of the numeric columns."""
     numeric = ", ".join(str(r[0]) for r in lake.rows if r[5] == "numeric")
-    counts = freq.where(f"cid IN ({numeric})").selectExpr(
+    return freq.where(f"cid IN ({numeric})").selectExpr(
         "cid", "coalesce(CAST(lng AS DOUBLE), dbl, try_cast(txt AS DOUBLE)) AS v", "n"
     )
+
+
+def _quantiles(lake: Lake, counts: DataFrame, method: str | None) -> DataFrame:
     found = quantiles(counts, _numeric_long(lake), [0.25, 0.5, 0.75], method)
     return found.withColumnsRenamed({"p0": "q25", "p1": "median", "p2": "q75"})
 
 
-def _outliers(lake: Lake, bounds: DataFrame, z: float) -> DataFrame:
-    """Second scan against one row of bounds per column."""
+def _outliers(lake: Lake, counts: DataFrame, bounds: DataFrame, z: float) -> DataFrame:
+    """Values beyond one row of bounds per column, from (cid, v, n) rows.
+
+    With exact counts at hand these are the distinct values, read again from the
+    exchange they lie in; otherwise every value counts once.
+    """
     return (
-        _numeric_long(lake)
-        .join(lake.small(bounds), "cid")
+        counts.join(lake.small(bounds), "cid")
         .groupBy("cid")
         .agg(
-            F.expr("count_if(v < iqr_lower OR v > iqr_upper) AS iqr_outliers"),
-            F.expr(f"count_if(abs(try_divide(v - mean, std)) > {float(z)!r}D) AS zscore_outliers"),
-            F.expr("count(*) AS present"),
+            F.expr("coalesce(sum(n) FILTER (WHERE v < iqr_lower OR v > iqr_upper), 0) AS iqr_outliers"),
+            F.expr(
+                f"coalesce(sum(n) FILTER (WHERE abs(try_divide(v - mean, std)) > {float(z)!r}D), 0) "
+                "AS zscore_outliers"
+            ),
+            F.expr("sum(n) AS present"),
         )
         .selectExpr(
             "cid",
@@ -446,6 +456,7 @@ def profile_tables(
     if not exact:
         quartiles = _sketches(lake)
         extra.append(quartiles)
+        counts = _numeric_long(lake).selectExpr("cid", "v", "1L AS n") if numeric else None
     elif parts & {DISTINCT, TOP, QUANTILES}:
         freq = _frequencies(lake)
         if DISTINCT in parts:
@@ -453,7 +464,8 @@ def profile_tables(
         if TOP in parts:
             extra.append(_top(lake, freq, top_n))
         if QUANTILES in parts and numeric:
-            quartiles = _quantiles(lake, freq, quantile_method)
+            counts = _numeric_counts(lake, freq)
+            quartiles = _quantiles(lake, counts, quantile_method)
             extra.append(quartiles)
     fences = (
         f"q25 - (q75 - q25) * {float(iqr_k)!r}D AS iqr_lower",
@@ -465,7 +477,7 @@ def profile_tables(
             .join(lake.small(quartiles), "cid")
             .selectExpr("cid", "mean", "std", *fences)
         )
-        extra.append(_outliers(lake, bounds, z_k))
+        extra.append(_outliers(lake, counts, bounds, z_k))
     profile = lake.schema().join(lake.small(stats), "cid", "left")
     for frame in extra:
         profile = profile.join(lake.small(frame), "cid", "left")

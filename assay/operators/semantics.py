@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import numeric_value, type_category
+from assay.functions import literal_rows, long_form, numeric_sql, type_category
 
 KEY = ["run_id", "table_name"]
 
@@ -173,52 +174,39 @@ def interesting_columns(profile: DataFrame) -> DataFrame:
 
 # --- correlations -------------------------------------------------------------
 
-#: columns per block; a pass over two blocks computes at most 64 pairs and reads
-#: at most 16 columns
-_BLOCK = 8
-
-
 def correlation_pairs(df: DataFrame) -> DataFrame:
     """(col_a, col_b, r) for all pairs of numeric columns, nulls left out pair by pair.
 
-    Column blocks keep each aggregate small however wide the table is. Each pass
-    shuffles one row per task.
+    Pairs are laid out as rows of each task and aggregated where they stand; one
+    row per pair and task is shuffled. A pass computes up to ``STACK_WIDTH`` pairs
+    and reads only their columns, so wide tables get more passes, not larger ones.
     """
     cols = [f for f in df.schema.fields if type_category(f.dataType) == "numeric"]
-    blocks = [cols[i : i + _BLOCK] for i in range(0, len(cols), _BLOCK)]
-    passes = []
-    for i, left in enumerate(blocks):
-        for right in blocks[i:]:
-            pairs = (
-                [(a, b) for k, a in enumerate(left) for b in left[k + 1 :]]
-                if right is left
-                else [(a, b) for a in left for b in right]
-            )
-            if not pairs:
-                continue
-            wide = df.agg(
-                *[
-                    F.corr(numeric_value(a.name, a.dataType), numeric_value(b.name, b.dataType)).alias(
-                        f"r{k}"
-                    )
-                    for k, (a, b) in enumerate(pairs)
-                ]
-            )
-            entries = F.array(
-                *[
-                    F.struct(
-                        F.lit(a.name).alias("col_a"), F.lit(b.name).alias("col_b"),
-                        F.col(f"r{k}").alias("r"),
-                    )
-                    for k, (a, b) in enumerate(pairs)
-                ]
+    pairs = list(combinations(cols, 2))
+    spark = df.sparkSession
+    names = literal_rows(
+        spark, "cid int, col_a string, col_b string",
+        [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)],
+    )
+    long = long_form(
+        [
+            (
+                df,
+                [
+                    (i, [numeric_sql(a.name, a.dataType), numeric_sql(b.name, b.dataType)])
+                    for i, (a, b) in enumerate(pairs)
+                ],
             )
-            passes.append(wide.select(F.inline(entries)))
-    if not passes:
-        return df.sparkSession.range(0).selectExpr(
-            "'' AS col_a", "'' AS col_b", "CAST(NULL AS DOUBLE) AS r"
-        )
-    return reduce(DataFrame.unionAll, passes)
+        ],
+        ["a", "b"],
+    )
+    if long is None:
+        return names.selectExpr("col_a", "col_b", "CAST(NULL AS DOUBLE) AS r")
+    found = (
+        long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("cid").agg(F.corr("a", "b").alias("r"))
+    )
+    # at most one row per pair on either side
+    return names.join(found, "cid", "left").select("col_a", "col_b", "r")
 
 
 def correlations(
