@@ -2,6 +2,7 @@
 
 from assay.functions.columns import (
     col,
+    join_by_run,
     literal_rows,
     missing,
     missing_sql,
@@ -17,6 +18,7 @@ from assay.functions.longform import long_form
 
 __all__ = [
     "col",
+    "join_by_run",
     "literal_rows",
     "long_form",
     "missing",

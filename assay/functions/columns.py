@@ -68,6 +68,19 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part * F.lit(100.0), whole.cast("double")), F.lit(0.0))
 
 
+def join_by_run(
+    left: DataFrame, right: DataFrame, keys: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """Equi-join on run_id, where no run id equals no run id, and further keys."""
+    names = {k: f"_{k}" for k in ("run_id", *keys)}
+    other = right.withColumnsRenamed(names)
+    on = F.col("run_id").eqNullSafe(F.col("_run_id"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(names[k]))
+    joined = left.join(other, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
 def name_has_any(name: Column, words: Iterable[str]) -> Column:
     """True where the lower-case name contains one of the words."""
     return F.lower(name).rlike("|".join(re.escape(w) for w in words))

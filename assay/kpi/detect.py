@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assay.functions import join_by_run
 from assay.kpi.catalog import SIGNALS, catalog, signals
 
 
@@ -36,18 +37,10 @@ def industry_scores(profile: DataFrame) -> DataFrame:
         "run_id",
         F.explode(F.array(*[F.lit(i) for i in SIGNALS])).alias("industry"),
     ).join(F.broadcast(totals), "industry")
-    joined = every.alias("e").join(
-        hits.alias("h"),
-        F.col("e.run_id").eqNullSafe(F.col("h.run_id"))
-        & (F.col("e.industry") == F.col("h.industry")),
-        "left",
-    )
-    scored = joined.select(
-        "e.run_id",
-        "e.industry",
-        F.coalesce("hits", F.lit(0)).alias("hits"),
-        "signals",
-        F.round(F.coalesce("hits", F.lit(0)) / F.col("signals"), 4).alias("score"),
+    found = F.coalesce("hits", F.lit(0))
+    scored = join_by_run(every, hits, ["industry"], "left").select(
+        "run_id", "industry", found.alias("hits"), "signals",
+        F.round(found / F.col("signals"), 4).alias("score"),
     )
     # at most one row per industry and run
     order = W.partitionBy("run_id").orderBy(F.desc("score"), "industry")
@@ -126,16 +119,10 @@ def kpi_readiness(profile: DataFrame) -> DataFrame:
     # one row per run and KPI of the fixed catalogue
     every = runs.withColumn("_one", F.lit(1)).join(
         F.broadcast(kpis.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one").alias("k")
+    ).drop("_one")
     none = F.array().cast("array<string>")
-    joined = every.join(
-        seen.alias("s"),
-        F.col("k.run_id").eqNullSafe(F.col("s.run_id"))
-        & (F.col("k.industry") == F.col("s.industry"))
-        & (F.col("k.priority") == F.col("s.priority")),
-        "left",
-    ).select(
-        "k.*",
+    joined = join_by_run(every, seen, ["industry", "priority"], "left").select(
+        *every.columns,
         F.array_sort(F.array_except("required_tables", F.coalesce("tables", none))).alias(
             "missing_tables"
         ),
@@ -163,13 +150,8 @@ def recommend(
 ) -> DataFrame:
     """The KPIs that can run for each run's industry, by priority, at most ``limit`` each."""
     chosen = detect_industry(profile) if industry is None else industry
-    ready = kpi_readiness(profile).where("is_ready").alias("r")
-    hits = ready.join(
-        chosen.alias("i"),
-        F.col("r.run_id").eqNullSafe(F.col("i.run_id"))
-        & (F.col("r.industry") == F.col("i.industry")),
-        "left_semi",
-    )
+    ready = kpi_readiness(profile).where("is_ready")
+    hits = join_by_run(ready, chosen, ["industry"], "left_semi")
     order = W.partitionBy("run_id").orderBy("priority")
     return (
         hits.withColumn("rank", F.row_number().over(order))

@@ -50,8 +50,10 @@ def repeated_groups(df: DataFrame, method: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
-def duplicate_rows(df: DataFrame, table: str, method: str | None = None) -> DataFrame:
-    """(table_name, row_count, duplicate_rows, duplicate_percent), one row."""
+def duplicate_rows(
+    df: DataFrame, table: str, method: str | None = None, run_id: str | None = None
+) -> DataFrame:
+    """(run_id, table_name, row_count, duplicate_rows, duplicate_percent), one row."""
     return (
         repeated_groups(df, method)
         .agg(
@@ -59,6 +61,7 @@ def duplicate_rows(df: DataFrame, table: str, method: str | None = None) -> Data
             F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
         )
         .select(
+            F.lit(run_id).cast("string").alias("run_id"),
             F.lit(table).alias("table_name"),
             "row_count",
             "duplicate_rows",
@@ -67,5 +70,6 @@ def duplicate_rows(df: DataFrame, table: str, method: str | None = None) -> Data
     )
 
 
-def duplicates(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, [duplicate_rows(df, name) for name, df in tables.items()])
+def duplicates(tables: Mapping[str, DataFrame], run_id: str | None = None) -> DataFrame:
+    rows = [duplicate_rows(df, name, run_id=run_id) for name, df in tables.items()]
+    return reduce(DataFrame.unionAll, rows)

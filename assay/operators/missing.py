@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions import col, missing, numeric_value, type_category
+from assay.functions import col, join_by_run, missing, numeric_value, type_category
 
 KEY = ["run_id", "table_name"]
 
@@ -17,19 +17,12 @@ def missing_strategy(profile: DataFrame, classes: DataFrame) -> DataFrame:
 
     ``classes`` marks the columns that carry business meaning.
     """
-    marks = classes.select(
-        F.col("run_id").alias("m_run"), F.col("table_name").alias("m_table"),
-        F.col("column_name").alias("m_column"),
-    )
-    rows = profile.where("error IS NULL").join(
-        marks,
-        F.col("run_id").eqNullSafe(F.col("m_run"))
-        & (F.col("table_name") == F.col("m_table"))
-        & (F.col("column_name") == F.col("m_column")),
-        "left",
+    marks = classes.select(*KEY, "column_name", F.lit(True).alias("is_important"))
+    rows = join_by_run(
+        profile.where("error IS NULL"), marks, ["table_name", "column_name"], "left"
     )
     pct = F.col("null_percent")
-    important = F.col("m_column").isNotNull()
+    important = F.coalesce("is_important", F.lit(False))
     numeric = F.col("type_category") == "numeric"
     text = F.col("type_category") == "string"
     few = F.col("unique_count") <= 10

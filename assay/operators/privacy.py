@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
+from assay.functions import join_by_run
 
 KEY = ["run_id", "table_name"]
 
@@ -96,17 +97,10 @@ def table_risk(profile: DataFrame, pii: DataFrame) -> DataFrame:
         F.count("*").alias("pii_column_count"),
         *[level(s).alias(f"{s}_count") for s in rules.PII_KEYWORDS],
     )
-    tables = profile.select(*KEY).distinct()
-    joined = tables.alias("t").join(
-        found.alias("f"),
-        F.col("t.run_id").eqNullSafe(F.col("f.run_id"))
-        & (F.col("t.table_name") == F.col("f.table_name")),
-        "left",
-    )
+    joined = join_by_run(profile.select(*KEY).distinct(), found, ["table_name"], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
-        "t.run_id",
-        "t.table_name",
+        *KEY,
         count("pii_column_count").alias("pii_column_count"),
         *[count(f"{s}_count").alias(f"{s}_count") for s in rules.PII_KEYWORDS],
         F.when((count("high_count") > 0) | (count("medium_count") > 3), "high")
@@ -189,21 +183,11 @@ def gdpr_categories(findings: DataFrame) -> DataFrame:
 
 def mask_top_values(profile: DataFrame, pii: DataFrame) -> DataFrame:
     """The profile with the top values of personal columns replaced; run before any sink."""
-    marks = pii.select(
-        F.col("run_id").alias("m_run"),
-        F.col("table_name").alias("m_table"),
-        F.col("column_name").alias("m_column"),
-    )
-    joined = profile.join(
-        marks,
-        F.col("run_id").eqNullSafe(F.col("m_run"))
-        & (F.col("table_name") == F.col("m_table"))
-        & (F.col("column_name") == F.col("m_column")),
-        "left",
-    )
+    marks = pii.select(*KEY, "column_name", F.lit(True).alias("is_personal"))
+    joined = join_by_run(profile, marks, [*KEY[1:], "column_name"], "left")
     masked = F.transform(
         "top_values", lambda e: e.withField("value", F.lit("***MASKED***"))
     )
     return joined.withColumn(
-        "top_values", F.when(F.col("m_column").isNotNull(), masked).otherwise(F.col("top_values"))
-    ).drop("m_run", "m_table", "m_column")
+        "top_values", F.when(F.col("is_personal"), masked).otherwise(F.col("top_values"))
+    ).drop("is_personal")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import name_has_any
+from assay.functions import join_by_run, name_has_any
 
 KEY = ["run_id", "table_name"]
 
@@ -118,9 +118,8 @@ def component_rows(
         .where(F.col("score").isNotNull() | F.col("is_check"))
     )
     dup = F.col("duplicate_percent")
-    per_table = duplicates.join(
-        profile.where("error IS NULL").select(*KEY).distinct(), "table_name"
-    ).select(
+    filled = profile.where("error IS NULL").select(*KEY).distinct()
+    per_table = join_by_run(duplicates, filled, ["table_name"], "left_semi").select(
         *KEY,
         F.lit("__all__").alias("column_name"),
         F.lit("uniqueness").alias("component"),
@@ -198,13 +197,7 @@ def overall(rows: DataFrame) -> DataFrame:
         *[F.round(F.avg(c), 1).alias(c) for c in rules.QUALITY_WEIGHTS],
     )
     found = severity_counts(rows, ["run_id"])
-    same_run = F.col("m.run_id").eqNullSafe(F.col("s.run_id"))
-    return (
-        means.withColumn("overall_score", _weighted())
-        .alias("m")
-        .join(found.alias("s"), same_run)
-        .select("m.*", "critical", "major", "minor")
-    )
+    return join_by_run(means.withColumn("overall_score", _weighted()), found)
 
 
 def flags(profile: DataFrame, rows: DataFrame, mismatches: DataFrame | None = None) -> DataFrame:

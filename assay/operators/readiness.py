@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
+from assay.functions import join_by_run
 
 
 def _steps(value: Column, *limits: tuple[float, float]) -> Column:
@@ -67,9 +68,7 @@ def type_points(profile: DataFrame, mismatches: DataFrame) -> DataFrame:
     mixed = profile.where("error IS NULL").groupBy("run_id").agg(
         F.count_if(two_valued).alias("mixed")
     )
-    both = mixed.alias("m").join(
-        found.alias("f"), F.col("m.run_id").eqNullSafe(F.col("f.run_id")), "left"
-    )
+    both = join_by_run(mixed, found, how="left")
     by_findings = F.least(F.col("critical") * 3.0, F.lit(10.0)) + F.least(
         F.col("warning") * 1.5, F.lit(6.0)
     )
@@ -77,14 +76,12 @@ def type_points(profile: DataFrame, mismatches: DataFrame) -> DataFrame:
         _steps(F.col("mixed"), (3, 4.0), (0, 2.0))
     )
     # halves go to the even neighbour
-    return both.select("m.run_id", F.bround(_floored(20.0 - lost)).cast("int").alias("type_consistency"))
+    return both.select("run_id", F.bround(_floored(20.0 - lost)).cast("int").alias("type_consistency"))
 
 
 def compliance_points(runs: DataFrame, gdpr: DataFrame) -> DataFrame:
     """From ``privacy.gdpr_risk``; a run without findings keeps its points."""
-    joined = runs.alias("r").join(
-        gdpr.alias("g"), F.col("r.run_id").eqNullSafe(F.col("g.run_id")), "left"
-    )
+    joined = join_by_run(runs, gdpr, how="left")
     c = F.col
     zero = lambda n: F.coalesce(c(n), F.lit(0))
     worst = (
@@ -99,7 +96,7 @@ def compliance_points(runs: DataFrame, gdpr: DataFrame) -> DataFrame:
         + _steps(zero("findings"), (10, 4), (5, 2), (0, 1))
         + _steps(zero("categories"), (4, 3))
     )
-    return joined.select("r.run_id", _floored(20 - lost).alias("compliance_risk"))
+    return joined.select("run_id", _floored(20 - lost).alias("compliance_risk"))
 
 
 def business_points(runs: DataFrame, kpis: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,10 +110,7 @@ def business_points(runs: DataFrame, kpis: DataFrame, classes: DataFrame, edges:
     e = edges.groupBy("run_id").agg(F.count("*").alias("edges"))
     joined = runs
     for part in (k, c, e):
-        renamed = part.withColumnRenamed("run_id", "other_run")
-        joined = joined.join(
-            renamed, F.col("run_id").eqNullSafe(F.col("other_run")), "left"
-        ).drop("other_run")
+        joined = join_by_run(joined, part, how="left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
     points = (
         F.lit(5)
@@ -147,11 +141,7 @@ def readiness(
         business_points(runs, kpis, classes, edges),
     ]
 
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        other = b.withColumnRenamed("run_id", "other_run")
-        return a.join(other, F.col("run_id").eqNullSafe(F.col("other_run"))).drop("other_run")
-
-    joined = reduce(both, parts)
+    joined = reduce(join_by_run, parts)
     names = [c for c in joined.columns if c != "run_id"]
     total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
     return joined.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import col, name_has_any, percent
+from assay.functions import col, join_by_run, name_has_any, percent
 
 KEY = ["run_id", "table_name"]
 CONFIDENCE = ["low", "medium", "high"]
@@ -55,12 +55,7 @@ def top_tables(profile: DataFrame, max_tables: int = 50) -> DataFrame:
 
 def _key_columns(profile: DataFrame, max_tables: int) -> DataFrame:
     kept = top_tables(profile, max_tables).select(*KEY)
-    runs = profile.alias("p").join(
-        kept.alias("k"),
-        F.col("p.run_id").eqNullSafe(F.col("k.run_id"))
-        & (F.col("p.table_name") == F.col("k.table_name")),
-        "left_semi",
-    )
+    runs = join_by_run(profile, kept, ["table_name"], "left_semi")
     return runs.select(
         *KEY, "column_name", "data_type",
         F.coalesce(F.col("unique_percent"), F.lit(0.0)).alias("u"),

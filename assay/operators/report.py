@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
+from assay.functions import join_by_run
 from assay.operators.profile import completeness, exploded_top_values
 
 KEY = ["run_id", "table_name"]
@@ -84,16 +85,10 @@ def table_facts(profile: DataFrame, scores: DataFrame, pii: DataFrame, max_colum
     )
     found = pii.groupBy(*KEY).agg(F.count("*").alias("pii_columns"))
 
-    def attach(a: DataFrame, b: DataFrame) -> DataFrame:
-        renamed = b.withColumnsRenamed({"run_id": "o_run", "table_name": "o_table"})
-        on = F.col("run_id").eqNullSafe(F.col("o_run")) & (F.col("table_name") == F.col("o_table"))
-        return a.join(renamed, on, "left").drop("o_run", "o_table")
-
-    joined = attach(tables, scores.select(*KEY, "overall_score"))
-    joined = attach(joined, completeness(profile).select(*KEY, "completeness_score"))
-    return attach(joined, found).withColumn(
-        "pii_columns", F.coalesce("pii_columns", F.lit(0).cast("bigint"))
-    )
+    joined = tables
+    for part in (scores.select(*KEY, "overall_score"), completeness(profile).drop("column_count"), found):
+        joined = join_by_run(joined, part, ["table_name"], "left")
+    return joined.withColumn("pii_columns", F.coalesce("pii_columns", F.lit(0).cast("bigint")))
 
 
 def dataset_summary(facts: DataFrame, edges: DataFrame, kpis: DataFrame) -> DataFrame:
@@ -108,11 +103,9 @@ def dataset_summary(facts: DataFrame, edges: DataFrame, kpis: DataFrame) -> Data
         F.count_if(F.col("pii_columns") > 0).alias("tables_with_pii"),
     )
     for name, part in (("relationships", edges), ("kpis", kpis)):
-        counts = part.groupBy(F.col("run_id").alias("o_run")).agg(F.count("*").alias(name))
-        totals = (
-            totals.join(counts, F.col("run_id").eqNullSafe(F.col("o_run")), "left")
-            .drop("o_run")
-            .withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+        counts = part.groupBy("run_id").agg(F.count("*").alias(name))
+        totals = join_by_run(totals, counts, how="left").withColumn(
+            name, F.coalesce(name, F.lit(0).cast("bigint"))
         )
     return totals
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import percent
+from assay.functions import join_by_run, percent
 
 KEY = ["run_id", "table_name"]
 
@@ -46,13 +46,10 @@ def table_overview(profile: DataFrame, duplicates: DataFrame) -> DataFrame:
         listed("is_constant").alias("constant_columns"),
         listed("is_suspicious").alias("suspicious_id_columns"),
     )
-    return per_table.join(
-        duplicates.select(
-            "table_name", "duplicate_rows", F.round("duplicate_percent", 2).alias("duplicate_percent")
-        ),
-        "table_name",
-        "left",
+    counted = duplicates.select(
+        *KEY, "duplicate_rows", F.round("duplicate_percent", 2).alias("duplicate_percent")
     )
+    return join_by_run(per_table, counted, ["table_name"], "left")
 
 
 def dataset_overview(profile: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ ORACLE["suspicious_ids"] = over_profile(
     f"WITH {FLAGGED_SQL.strip()} SELECT table_name, column_name, round(unique_percent, 6) AS unique_percent "
     "FROM fl WHERE is_suspicious"
 )
-QUERIES["duplicate_rows"] = lambda spark, sf: shaped(D.duplicates(lake(spark, sf)))
+QUERIES["duplicate_rows"] = lambda spark, sf: shaped(D.duplicates(lake(spark, sf)).drop("run_id"))
 ORACLE["duplicate_rows"] = over_views(
     f"SELECT * REPLACE (round(duplicate_percent, 6) AS duplicate_percent) FROM ({sql_duplicates(SHOP)})"
 )
@@ -262,7 +262,7 @@ def _duplicates_by_digest(spark, sf):
 
     names = ("documents", "embeddings", "pages")
     tables = {n: raw(spark, sf, n).drop("doc_id", "page_id", "vec_id") for n in names}
-    return shaped(D.duplicates(tables))
+    return shaped(D.duplicates(tables).drop("run_id"))
 
 
 QUERIES["duplicate_rows_digest"] = _duplicates_by_digest

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from assay.kpi import detect
 from assay.operators import duplicates as D
+from assay.operators import hidden as H
 from assay.operators import privacy as Y
 from assay.operators import profile as P
 from assay.operators import quality as Q
+from assay.operators import readiness as Z
 from assay.operators import relate as R
 from assay.operators import report as B
+from assay.operators import semantics as C
 from assay.operators import structure as T
 from assay.session import scratch_path
 from assay.sinks import runs
@@ -18,8 +21,9 @@ from checks.lake import AS_OF, lake, over_profile, rounded, shaped
 from checks.q_kpi import KPI_SQL
 from checks.q_privacy import PII_SQL
 from checks.q_profile import prof, stored
-from checks.q_quality import _WEIGHTED, COMPONENT_SQL, FLAGGED_SQL
+from checks.q_quality import _WEIGHTED, COMPONENT_SQL
 from checks.q_relate import RELATE_SQL
+from checks.q_semantics import READINESS_SQL
 
 QUERIES, ORACLE = {}, {}
 
@@ -141,29 +145,39 @@ ORACLE["impact_findings"] = over_profile(
 
 
 def _compare(spark, sf):
-    """Two stored runs, the shop before and after cleaning, held side by side."""
+    """Two stored runs, the shop before and after cleaning, held side by side.
+
+    The rules run once over the profiles of both.
+    """
     root = scratch_path(spark, "runs")
     dirty = lake(spark, sf)
     clean = dict(dirty, orders=dirty["orders"].drop("promo_code").distinct())
-    for run_id, tables in (("run-1", dirty), ("run-2", clean)):
-        p = runs.materialize(
-            P.profile_tables(
-                tables, run_id=run_id, as_of=AS_OF, parts=(P.STATS, P.DISTINCT, P.PATTERNS)
-            )
-        )
-        dups = D.duplicates(tables)
-        rows = Q.component_rows(p, dups, AS_OF)
-        report = (
-            T.dataset_overview(p, dups)
-            .join(Q.overall(rows).drop("table_count"), "run_id")
-            .join(Y.summary(Y.table_risk(p, Y.pii_columns(p))).select("run_id", "pii_columns"), "run_id")
-            .withColumns(
-                {"label": F.lit("shop"), "total_score": F.lit(0), "grade": F.lit("?"), "kpis": F.lit(0)}
-            )
-        )
-        runs.save(report, root, "report_data", run_id)
-    stored_runs = runs.load(spark, root, "report_data")
-    return shaped(runs.compare(stored_runs).drop("label", "total_score", "grade", "kpis"))
+    parts = (P.STATS, P.DISTINCT, P.TOP, P.PATTERNS)
+    both = {"run-1": dirty, "run-2": clean}
+    profiles = [
+        P.profile_tables(tables, run_id=run_id, as_of=AS_OF, parts=parts)
+        for run_id, tables in both.items()
+    ]
+    p = runs.materialize(profiles[0].unionAll(profiles[1]))
+    dups = [D.duplicates(tables, run_id) for run_id, tables in both.items()]
+    dups = runs.materialize(dups[0].unionAll(dups[1]), "duplicates")
+    pii = Y.pii_columns(p)
+    kpis = runs.materialize(detect.recommend(p), "kpi_candidates")
+    overview = T.dataset_overview(p, dups)
+    ready = Z.readiness(
+        p, overview, H.verdicts(H.hidden_types(p)), Y.gdpr_risk(Y.gdpr_findings(pii)), kpis,
+        C.column_classes(p), R.relationships(p),
+    )
+    report = overview.withColumn("label", F.lit("shop"))
+    for part in (
+        Q.overall(Q.component_rows(p, dups, AS_OF)).drop("table_count"),
+        Y.summary(Y.table_risk(p, pii)).select("run_id", "pii_columns"),
+        ready.select("run_id", "total_score", "grade"),
+        kpis.groupBy("run_id").agg(F.count("*").alias("kpis")),
+    ):
+        report = report.join(part, "run_id")
+    runs.save_runs(report, root, "report_data")
+    return shaped(runs.compare(runs.load(spark, root, "report_data")).drop("label"))
 
 
 QUERIES["run_compare"] = _compare
@@ -188,12 +202,14 @@ def _compare_sql() -> str:
         )
         return f"""
         SELECT '{run_id}' AS run_id, t.* FROM (
-          WITH {views}, p AS ({profile}), d AS ({dups}), {COMPONENT_SQL.strip()}, {FLAGGED_SQL.strip()}, {PII_SQL.strip()}
+          WITH {views}, p AS ({profile}), d AS ({dups}), {COMPONENT_SQL.strip()}, {READINESS_SQL.strip()}
           SELECT CAST(sum(ov.row_count) AS BIGINT) AS total_rows, CAST(sum(column_count) AS BIGINT) AS total_columns, {means},
                  (SELECT round(round(avg(missingness), 1) * 0.3 + round(avg(validity), 1) * 0.3 + round(avg(uniqueness), 1) * 0.2
                     + round(avg(freshness), 1) * 0.1 + round(avg(integrity), 1) * 0.1, 1) FROM s) AS quality,
                  (SELECT count(*) FROM pii) AS pii_columns, CAST(sum(duplicate_rows) AS BIGINT) AS total_duplicate_rows,
-                 round(sum(duplicate_rows) * 100.0 / sum(ov.row_count), 1) AS duplicate_percent
+                 round(sum(duplicate_rows) * 100.0 / sum(ov.row_count), 1) AS duplicate_percent,
+                 (SELECT total_score FROM z) AS total_score, (SELECT n FROM kn) AS kpis,
+                 (SELECT CASE WHEN total_score >= 70 THEN 'green' WHEN total_score >= 40 THEN 'yellow' ELSE 'red' END FROM z) AS grade
           FROM ov JOIN d USING (table_name)) t"""
 
     return one("run-1", False) + " UNION ALL " + one("run-2", True)
