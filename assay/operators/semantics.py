@@ -202,9 +202,9 @@ def correlation_pairs(df: DataFrame) -> DataFrame:
     )
     if long is None:
         return names.selectExpr("col_a", "col_b", "CAST(NULL AS DOUBLE) AS r")
-    found = (
-        long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("cid").agg(F.corr("a", "b").alias("r"))
-    )
+    # corr() itself divides by zero for a constant column
+    r = F.expr("try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b)) AS r")
+    found = long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("cid").agg(r)
     # at most one row per pair on either side
     return names.join(found, "cid", "left").select("col_a", "col_b", "r")
 

@@ -73,7 +73,7 @@ _kpi(
     "e1", ecommerce.average_order_value, ["orders"],
     """SELECT date_trunc('month', order_date)::TIMESTAMP AS period, avg(order_total) AS aov, count(DISTINCT order_id) AS orders
        FROM k_orders WHERE order_date >= DATE '2001-08-02' - INTERVAL 12 MONTH GROUP BY 1""",
-    ["aov"], as_of=ORDERS_NOW,
+    ["aov"], 7, as_of=ORDERS_NOW,
 )
 _kpi(
     "e2", ecommerce.customer_lifetime_value, ["orders"],
