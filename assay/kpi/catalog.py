@@ -186,15 +186,15 @@ KPIS = [
 def catalog(spark: SparkSession) -> DataFrame:
     """One row per KPI; its size is fixed."""
     ddl = (
-        "industry string, priority int, name string, category string, grain string, "
+        "number int, industry string, priority int, name string, category string, grain string, "
         "formula string, query string, required_tables array<string>, "
         "required_fields array<string>, dimensions array<string>, any_of array<string>, "
         "blocked_by array<string>"
     )
     rows = [
-        (k.industry, k.priority, k.name, k.category, k.grain, k.formula, k.query, k.tables,
+        (i, k.industry, k.priority, k.name, k.category, k.grain, k.formula, k.query, k.tables,
          k.fields, k.dimensions, k.any_of, k.blocked_by)
-        for k in KPIS
+        for i, k in enumerate(KPIS)
     ]
     return literal_rows(spark, ddl, rows)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions import join_by_run
-from assay.kpi.catalog import SIGNALS, catalog, signals
+from assay.kpi.catalog import KPIS, SIGNALS, catalog, signals
 
 
 def _names(profile: DataFrame) -> DataFrame:
@@ -117,9 +117,10 @@ def kpi_readiness(profile: DataFrame) -> DataFrame:
         F.min(F.when(F.col("role") == "field", F.col("fill"))).alias("field_fill"),
     )
     # one row per run and KPI of the fixed catalogue
-    every = runs.withColumn("_one", F.lit(1)).join(
-        F.broadcast(kpis.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(KPIS) - 1)))
+    every = (
+        runs.withColumn("number", numbers).join(F.broadcast(kpis), "number").drop("number")
+    )
     none = F.array().cast("array<string>")
     joined = join_by_run(every, seen, ["industry", "priority"], "left").select(
         *every.columns,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assay.functions.salting import salted_join
 from assay.kpi._time import months_ago, period, ratio
 
 
@@ -47,14 +48,13 @@ def conversion_rate(orders: DataFrame) -> DataFrame:
 def cart_abandonment(cart: DataFrame, orders: DataFrame) -> DataFrame:
     """Distinct carts against distinct orders placed from them, one row.
 
-    Both sides shrink to distinct keys before they meet, so a cart that occurs in
-    a third of the rows is one row in the join.
+    Both sides shrink to distinct keys before they meet; a cart with very many
+    orders is spread over tasks by order.
     """
     carts = cart.select("cart_id").where("cart_id IS NOT NULL").distinct()
     placed = orders.select("cart_id", "order_id").where("cart_id IS NOT NULL").distinct()
-    per_cart = placed.join(carts, "cart_id", "left_semi").agg(
-        F.count_distinct("order_id").alias("converted")
-    )
+    kept = salted_join(placed, carts, ["cart_id"], [F.col("order_id")], "left_semi")
+    per_cart = kept.agg(F.count_distinct("order_id").alias("converted"))
     total = carts.agg(F.count("*").alias("total_carts"))
     both = total.select("total_carts", F.lit(0).cast("bigint").alias("converted")).unionByName(
         per_cart.select(F.lit(0).cast("bigint").alias("total_carts"), "converted")

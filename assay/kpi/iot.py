@@ -68,15 +68,13 @@ def report_frequency(telemetry: DataFrame, device="device_id", timestamp="timest
 def voltage_anomalies(
     telemetry: DataFrame, device="device_id", voltage="voltage", timestamp="timestamp", z: float = 2.0
 ) -> DataFrame:
-    """Readings more than ``z`` deviations off; the statistics are one broadcast row."""
-    stats = telemetry.agg(F.avg(voltage).alias("_mean"), F.stddev_samp(voltage).alias("_dev"))
-    score = F.try_divide(F.col(voltage) - F.col("_mean"), F.col("_dev"))
+    """Readings more than ``z`` deviations off; mean and deviation are scalar subqueries."""
+    mean = telemetry.agg(F.avg(voltage)).scalar()
+    deviation = telemetry.agg(F.stddev_samp(voltage)).scalar()
     return (
         telemetry.select(device, voltage, timestamp)
-        .join(F.broadcast(stats))
-        .withColumn("z_score", score)
+        .withColumn("z_score", F.try_divide(F.col(voltage) - mean, deviation))
         .where(F.abs("z_score") > z)
-        .drop("_mean", "_dev")
         .orderBy(F.desc(F.abs("z_score")))
     )
 

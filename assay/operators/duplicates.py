@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions import col, percent
+from assay.functions import col, literal_rows, percent
 
 _NESTED = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
 
@@ -50,26 +50,31 @@ def repeated_groups(df: DataFrame, method: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
-def duplicate_rows(
-    df: DataFrame, table: str, method: str | None = None, run_id: str | None = None
+def duplicates(
+    tables: Mapping[str, DataFrame], run_id: str | None = None, method: str | None = None
 ) -> DataFrame:
-    """(run_id, table_name, row_count, duplicate_rows, duplicate_percent), one row."""
-    return (
-        repeated_groups(df, method)
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        )
-        .select(
-            F.lit(run_id).cast("string").alias("run_id"),
-            F.lit(table).alias("table_name"),
-            "row_count",
-            "duplicate_rows",
-            percent(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_percent"),
-        )
+    """(run_id, table_name, row_count, duplicate_rows, duplicate_percent), one row per table."""
+    spark = next(iter(tables.values())).sparkSession
+    names = literal_rows(spark, "tid int, table_name string", list(enumerate(tables)))
+    copies = [
+        repeated_groups(df, method).select(F.lit(tid).alias("tid"), "copies")
+        for tid, df in enumerate(tables.values())
+    ]
+    counted = (
+        reduce(DataFrame.unionAll, copies)
+        .groupBy("tid")
+        .agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("repeats"))
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return names.join(counted, "tid", "left").select(
+        F.lit(run_id).cast("string").alias("run_id"),
+        "table_name",
+        zero("n").alias("row_count"),
+        zero("repeats").alias("duplicate_rows"),
+        percent(zero("repeats"), zero("n")).alias("duplicate_percent"),
     )
 
 
-def duplicates(tables: Mapping[str, DataFrame], run_id: str | None = None) -> DataFrame:
-    rows = [duplicate_rows(df, name, run_id=run_id) for name, df in tables.items()]
-    return reduce(DataFrame.unionAll, rows)
+def duplicate_rows(df: DataFrame, table: str, method: str | None = None) -> DataFrame:
+    """The repeated rows of one table, one row."""
+    return duplicates({table: df}, method=method)

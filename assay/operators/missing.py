@@ -68,27 +68,22 @@ TREATMENTS = (
 )
 
 
-def _modes(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row: the most frequent value of each column, the smallest on ties.
+def _mode(df: DataFrame, name: str) -> Column:
+    """The most frequent value, the smallest on ties, as a scalar subquery.
 
     Counted by value first, so a common value costs a row per task.
     """
-    out = None
-    for name in names:
-        counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(
-            F.count("*").alias("n")
-        )
-        best = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(f"mode_{name}"))
-        out = best if out is None else out.join(F.broadcast(best))
-    return out
+    counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(
+        F.count("*").alias("n")
+    )
+    return counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v")))).scalar()
 
 
 def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataFrame | None = None) -> DataFrame:
     """Apply treatments per column, e.g. ``{"amount": ["flag", "median"]}``.
 
-    Replacement values come from one aggregate over the whole table and reach the
-    rows as a broadcast of exactly one row. ``medians`` is a profile of the table
-    with quantiles; without it ``median`` is not available.
+    Replacement values are scalar subqueries over the whole table. ``medians`` is a
+    profile of the table with quantiles; without it ``median`` is not available.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     for name, steps in plan.items():
@@ -99,30 +94,19 @@ def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataF
     def wants(step: str) -> list[str]:
         return [n for n, steps in plan.items() if step in steps]
 
-    one_row = []
-    if wants("mean"):
-        one_row.append(
-            df.agg(*[F.avg(numeric_value(n, types[n])).alias(f"mean_{n}") for n in wants("mean")])
-        )
-    if wants("median"):
-        if medians is None:
-            raise ValueError("median needs the table's profile")
-        one_row.append(
-            medians.agg(
-                *[
-                    F.max(F.when(F.col("column_name") == n, F.col("median"))).alias(f"median_{n}")
-                    for n in wants("median")
-                ]
-            )
-        )
-    if wants("mode"):
-        one_row.append(_modes(df, wants("mode")))
+    if wants("median") and medians is None:
+        raise ValueError("median needs the table's profile")
+
+    def fill(step: str, name: str) -> Column:
+        if step == "mean":
+            return df.agg(F.avg(numeric_value(name, types[name]))).scalar()
+        if step == "median":
+            return medians.where(F.col("column_name") == name).agg(F.max("median")).scalar()
+        return _mode(df, name)
 
     kept = df
     for name in wants("drop_rows"):
         kept = kept.where(~missing(name, types[name]))
-    for values in one_row:
-        kept = kept.join(F.broadcast(values))
 
     out = []
     for name, data_type in types.items():
@@ -132,11 +116,8 @@ def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataF
         value = F.when(~missing(name, data_type), col(name))
         for step in ("mean", "median", "mode"):
             if step in steps:
-                fill = F.col(f"`{step}_{name}`")
-                if step != "mode" and type_category(data_type) == "numeric":
-                    value = F.coalesce(value.cast("double"), fill)
-                else:
-                    value = F.coalesce(value, fill)
+                number = step != "mode" and type_category(data_type) == "numeric"
+                value = F.coalesce(value.cast("double") if number else value, fill(step, name))
         if "unknown" in steps:
             value = F.coalesce(value, F.lit("Unknown"))
         out.append((value if steps else col(name)).alias(name))

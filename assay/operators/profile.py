@@ -355,7 +355,8 @@ def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
         .groupBy("cid", "value")
         .agg(F.expr("any_value(v) AS text"))
     )
-    return best.join(lake.small(texts), ["cid", "value"], "left").selectExpr(
+    # few rows, but of any length: left to the planner, which knows their size
+    return best.join(texts, ["cid", "value"], "left").selectExpr(
         "cid", "rank", "coalesce(text, value) AS value", "count"
     )
 
@@ -461,8 +462,6 @@ def profile_tables(
         freq = _frequencies(lake)
         if DISTINCT in parts:
             extra.append(_distinct(freq))
-        if TOP in parts:
-            extra.append(_top(lake, freq, top_n))
         if QUANTILES in parts and numeric:
             counts = _numeric_counts(lake, freq)
             quartiles = _quantiles(lake, counts, quantile_method)
@@ -481,6 +480,8 @@ def profile_tables(
     profile = lake.schema().join(lake.small(stats), "cid", "left")
     for frame in extra:
         profile = profile.join(lake.small(frame), "cid", "left")
+    if exact and TOP in parts:
+        profile = profile.join(_top(lake, freq, top_n), "cid", "left")
     if "q25" in profile.columns:
         profile = profile.selectExpr("*", *fences)
     return _conform(profile, run_id, DISTINCT in parts or not exact)

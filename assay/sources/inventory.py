@@ -55,12 +55,14 @@ def schema_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Exact counts; over Parquet these come from the file footers."""
-    counted = [
-        df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-        for n, df in tables.items()
-    ]
-    return reduce(DataFrame.unionAll, counted)
+    """Exact counts of all tables in one pass that reads no column (footers, for Parquet)."""
+    spark = next(iter(tables.values())).sparkSession
+    names = literal_rows(spark, "tid int, table_name string", list(enumerate(tables)))
+    marks = [df.select(F.lit(tid).alias("tid")) for tid, df in enumerate(tables.values())]
+    counted = reduce(DataFrame.unionAll, marks).groupBy("tid").agg(F.count("*").alias("n"))
+    return names.join(counted, "tid", "left").selectExpr(
+        "table_name", "coalesce(n, 0L) AS row_count"
+    )
 
 
 def size_category(rows: Column) -> Column:
@@ -74,20 +76,25 @@ def schema_tables(
 ) -> DataFrame:
     """Per table: rows, size, columns, and the keys the user declared."""
     keys, references = keys or {}, references or {}
-    frames = []
-    for name, df in tables.items():
-        frames.append(
-            df.agg(F.count("*").alias("row_count")).select(
-                F.lit(name).alias("table_name"),
-                "row_count",
-                size_category(F.col("row_count")).alias("size_category"),
-                F.lit(len(df.columns)).alias("column_count"),
-                F.lit(",".join(keys.get(name, []))).alias("primary_key"),
-                F.lit(len(keys.get(name, [])) > 0).alias("has_primary_key"),
-                F.lit(len(references.get(name, [])) > 0).alias("has_foreign_keys"),
-            )
-        )
-    return reduce(DataFrame.unionAll, frames)
+    spark = next(iter(tables.values())).sparkSession
+    described = literal_rows(
+        spark,
+        "table_name string, column_count int, primary_key string, has_primary_key boolean, "
+        "has_foreign_keys boolean",
+        [
+            (n, len(df.columns), ",".join(keys.get(n, [])), bool(keys.get(n)), bool(references.get(n)))
+            for n, df in tables.items()
+        ],
+    )
+    return row_counts(tables).join(described, "table_name").select(
+        "table_name",
+        "row_count",
+        size_category(F.col("row_count")).alias("size_category"),
+        "column_count",
+        "primary_key",
+        "has_primary_key",
+        "has_foreign_keys",
+    )
 
 
 def table_summary(described: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def extract(df: DataFrame, method: str, rate: float, max_rows: int, seed: int =
 
 
 def stratified_by_date(
-    df: DataFrame, ts: str, key: list[str], *, strata: int, per_stratum: int, bounds: DataFrame | None = None
+    df: DataFrame, ts: str, key: list[str], *, strata: int, per_stratum: int
 ) -> DataFrame:
     """Up to ``per_stratum`` rows from each of ``strata`` equal spans of time.
 
@@ -65,21 +65,13 @@ def stratified_by_date(
     task before the shuffle, so a span that holds most rows stays cheap.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    if bounds is None:
-        bounds = df.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    spread = df.join(F.broadcast(bounds)).withColumn(
-        "stratum",
-        F.least(
-            F.floor(
-                F.coalesce(F.try_divide((t - F.col("_lo")) * strata, F.col("_hi") - F.col("_lo")), F.lit(0))
-            ),
-            F.lit(strata - 1),
-        ).cast("int"),
-    )
+    low, high = df.agg(F.min(t)).scalar(), df.agg(F.max(t)).scalar()
+    span = F.floor(F.coalesce(F.try_divide((t - low) * strata, high - low), F.lit(0)))
+    spread = df.withColumn("stratum", F.least(span, F.lit(strata - 1)).cast("int"))
     order = W.partitionBy("stratum").orderBy(*key)
     return (
-        spread.where(F.col("stratum").isNotNull() & F.col(ts).isNotNull())
+        spread.where(F.col(ts).isNotNull())
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= per_stratum)
-        .drop("_rank", "_lo", "_hi")
+        .drop("_rank")
     )

@@ -214,8 +214,8 @@ def _artifacts(spark, sf):
         "run_id", F.lit("sampling_manifest").alias("artifact")
     )
     kept = runs.load(spark, root, "schema", run_id="r2")
-    sizes = kept.agg(F.sum("row_count").alias("rows_of_r2"))
-    return shaped(listed.unionByName(more).join(F.broadcast(sizes)))
+    size = kept.agg(F.sum("row_count")).scalar()
+    return shaped(listed.unionByName(more).withColumn("rows_of_r2", size))
 
 
 QUERIES["run_store"] = _artifacts
