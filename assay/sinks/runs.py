@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.session import scratch_path
 
-#: artifacts of a run, as in its file list
-ARTIFACTS = (
-    "schema", "profile", "kpi_candidates", "assets_inventory", "source_connection_status",
-    "sampling_manifest", "report_data",
-)
+# times are kept to the microsecond in text formats
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def save(df: DataFrame, root: str, artifact: str, run_id: str, fmt: str = "json") -> str:
     """Write one artifact of one run; a run that exists is replaced as a whole."""
     path = f"{root}/{artifact}/run_id={run_id}"
-    df.drop("run_id").write.mode("overwrite").format(fmt).save(path)
+    df.drop("run_id").write.mode("overwrite").options(**_TIMES).format(fmt).save(path)
     return path
 
 
@@ -39,6 +37,7 @@ def save_runs(df: DataFrame, root: str, artifact: str, fmt: str = "json") -> str
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
+        .options(**_TIMES)
         .format(fmt)
         .save(path)
     )
@@ -46,11 +45,11 @@ def save_runs(df: DataFrame, root: str, artifact: str, fmt: str = "json") -> str
 
 
 def load(
-    spark: SparkSession, root: str, artifact: str, schema: str | None = None,
+    spark: SparkSession, root: str, artifact: str, schema: T.StructType | str | None = None,
     run_id: str | None = None, fmt: str = "json",
 ) -> DataFrame:
     """An artifact over all runs, or of one run by partition pruning."""
-    reader = spark.read.format(fmt)
+    reader = spark.read.options(**_TIMES).format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(f"{root}/{artifact}")

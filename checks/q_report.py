@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.diagnose import findings, report_rows
 from assay.kpi import detect
 from assay.operators import duplicates as D
-from assay.operators import hidden as H
 from assay.operators import privacy as Y
 from assay.operators import profile as P
 from assay.operators import quality as Q
-from assay.operators import readiness as Z
 from assay.operators import relate as R
 from assay.operators import report as B
-from assay.operators import semantics as C
-from assay.operators import structure as T
 from assay.session import scratch_path
 from assay.sinks import runs
 from checks.lake import AS_OF, lake, over_profile, rounded, shaped
@@ -161,21 +158,7 @@ def _compare(spark, sf):
     p = runs.materialize(profiles[0].unionAll(profiles[1]))
     dups = [D.duplicates(tables, run_id) for run_id, tables in both.items()]
     dups = runs.materialize(dups[0].unionAll(dups[1]), "duplicates")
-    pii = Y.pii_columns(p)
-    kpis = runs.materialize(detect.recommend(p), "kpi_candidates")
-    overview = T.dataset_overview(p, dups)
-    ready = Z.readiness(
-        p, overview, H.verdicts(H.hidden_types(p)), Y.gdpr_risk(Y.gdpr_findings(pii)), kpis,
-        C.column_classes(p), R.relationships(p),
-    )
-    report = overview.withColumn("label", F.lit("shop"))
-    for part in (
-        Q.overall(Q.component_rows(p, dups, AS_OF)).drop("table_count"),
-        Y.summary(Y.table_risk(p, pii)).select("run_id", "pii_columns"),
-        ready.select("run_id", "total_score", "grade"),
-        kpis.groupBy("run_id").agg(F.count("*").alias("kpis")),
-    ):
-        report = report.join(part, "run_id")
+    report = report_rows(findings(p, dups, AS_OF), "shop")
     runs.save_runs(report, root, "report_data")
     return shaped(runs.compare(runs.load(spark, root, "report_data")).drop("label"))
 
