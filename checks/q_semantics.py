@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from assay import rules
 from assay.kpi import detect
 from assay.operators import duplicates as D
@@ -15,7 +13,7 @@ from assay.operators import readiness as Z
 from assay.operators import relate as R
 from assay.operators import semantics as C
 from assay.operators import structure as T
-from checks.lake import SHOP, lake, over_profile, over_views, rounded, shaped, view
+from checks.lake import lake, over_profile, over_views, rounded, shaped, view
 from checks.q_kpi import KPI_SQL
 from checks.q_privacy import GDPR_RISK_SQL, PII_SQL
 from checks.q_profile import prof, stored
@@ -141,7 +139,7 @@ def _correlations(spark, sf):
     return shaped(out)
 
 
-def _pairs(names, threshold=True):
+def _pairs(names):
     from itertools import combinations
 
     from checks.lake import VIEWS

@@ -47,17 +47,18 @@ def test_gdpr_categories(spark):
     ]
     df = spark.createDataFrame(pairs, "t string, c string")
     got = [r[0] for r in df.select(Y.gdpr_category(F.col("t"), F.col("c"))).collect()]
+    # "zip" holds "ip", which is asked first
     assert got == [
         "contact_data", "national_id", "financial_data", "special_category", "online_identifier",
         "personal_identifier", "online_identifier",
-    ] or got[4] == "online_identifier"  # "zip" holds "ip", which is asked first
+    ]
 
 
 def test_strategies(spark):
     df = spark.createDataFrame([("123 Main Street",), ("abc",), ("abcd",), (None,)], "v string")
     pick = lambda e: [r[0] for r in df.select(e).collect()]
     c = F.col("v")
-    assert pick(M.truncated(c)) == ["123***", "***", "123***".replace("123", "abc"), None]
+    assert pick(M.truncated(c)) == ["123***", "***", "abc***", None]
     assert pick(M.partial(c)) == ["1" + "*" * 13 + "t", "***", "***", None]
     assert pick(M.redact(c))[0] == "***REDACTED***" and pick(M.redact(c))[3] is None
     digest = pick(M.hashed(c, "s"))
