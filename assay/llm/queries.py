@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from assay.llm.sharding import op2_sharding
+from assay.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_warc": OP1_SQL,
+}
