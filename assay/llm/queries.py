@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
 from assay.llm.sharding import op2_sharding
 from assay.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
+    "op5_decontaminate": op5_decontaminate,
 }
 ORACLE = {
     "op1_warc": OP1_SQL,
+    "op5_decontaminate": OP5_SQL,
 }
