@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
+from assay.llm.near_dups import op4_near_dups
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
 from assay.llm.warc import OP1_SQL, op1_warc
@@ -10,6 +11,7 @@ from assay.llm.warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
+    "op4_near_dups": op4_near_dups,
     "op5_decontaminate": op5_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
