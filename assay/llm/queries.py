@@ -5,6 +5,7 @@ from __future__ import annotations
 from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
 from assay.llm.mixing import op6_mixing
 from assay.llm.near_dups import op4_near_dups
+from assay.llm.quality_classifier import op9_quality
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
 from assay.llm.warc import OP1_SQL, op1_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_near_dups": op4_near_dups,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
+    "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
