@@ -8,11 +8,13 @@ from assay.llm.near_dups import op4_near_dups
 from assay.llm.quality_classifier import op9_quality
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
+from assay.llm.toxicity import op3_toxicity
 from assay.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_near_dups": op4_near_dups,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
