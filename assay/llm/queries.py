@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
+from assay.llm.language_model import op7_language_model
 from assay.llm.licenses import OP8_SQL, op8_licenses
 from assay.llm.mixing import op6_mixing
 from assay.llm.near_dups import op4_near_dups
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_near_dups": op4_near_dups,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
+    "op7_language_model": op7_language_model,
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
