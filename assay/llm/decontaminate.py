@@ -132,6 +132,15 @@ def n_hit(starts: Column) -> Column:
     return F.aggregate(F.array_sort(starts), zero, add, lambda acc: acc["n"])
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item."""
+    hits = contamination(docs, items, **how)
+    rows = docs.select(
+        docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("record")
+    )
+    return join_marks(rows, hits.select("id", "mark"), "left_anti").select("record.*")
+
+
 def op5_decontaminate(spark, folder):
     docs = table(spark, folder, "documents")
     hits = contamination(docs, table(spark, folder, "benchmark"))

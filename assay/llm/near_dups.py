@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.components import components
 from assay.llm.store import table, written
+from assay.llm.text import words
 
 SIG, TREES, DEPTH, LEAF, BLOCK = 64, 16, 10, 16, 128
 #: Of the 64 two-bit marks, a pair of similarity 0.8 agrees in 54.4 with a deviation of 2.9; 40 is five deviations off.
@@ -270,10 +271,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 def near_duplicates(
     docs: DataFrame, percent: int = 80, trees: int = TREES, depth: int = DEPTH
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links of its class and kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links of its class, label and mark.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of word pairs; a component is what
-    links reach, named by its smallest doc_id. Null and wordless texts have empty sets and stand alone, as their own
+    links reach, named by its smallest doc_id. ``label`` names it too, also where ids repeat, and is null for empty sets;
+    ``mark`` is a hash of the text. Null and wordless texts have empty sets and stand alone, as their own
     component. Rows that repeat a doc_id are judged by their own texts. A null doc_id is never the smallest unless all are
     null, in which case component_id is null and the row is kept.
 
@@ -320,14 +322,16 @@ def near_duplicates(
     named = classes.join(known, "key", "left").join(links, "key", "left")
     named = named.select("key", "rep", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(least, "label").select("key", "component_id", "n_links")
+    by_key = named.join(least, "label").select("key", "component_id", "n_links", "label")
     alone = F.col("n") == 0
     return features.join(by_key, "key", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "label",
+        "mark",
     )
 
 
@@ -383,4 +387,19 @@ def _block_pairs(rows: DataFrame, known: DataFrame, ratio: float) -> DataFrame:
 
 
 def op4_near_dups(spark, folder):
-    return near_duplicates(table(spark, folder, "documents")).drop("n_links")
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs`` for each component, that with its smallest doc_id, and every row without words."""
+    found = near_duplicates(docs, **how)
+    chosen = found.filter("kept AND label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
+    chosen = chosen.select(F.col("one.doc_id").alias("id"), F.col("one.mark").alias("hash"))
+    rows = docs.select(
+        docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"),
+        (F.size(words(docs["text"])) > 0).alias("worded"), F.struct(*[docs[c] for c in docs.columns]).alias("record"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("hash"))
+    first = rows.filter("worded").join(chosen, same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return first.select("record.*").unionByName(rows.filter("NOT worded").select("record.*"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
 from assay.llm.language_model import op7_language_model
 from assay.llm.licenses import OP8_SQL, op8_licenses
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_warc": OP1_SQL,
