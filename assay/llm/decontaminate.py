@@ -92,14 +92,12 @@ def contamination(
     runs = _with_grams(chosen.distinct(), gram).select("id", "mark", F.inline(run)).withColumn("length", F.lit(span))
 
     # at most span - 1 lengths, those that short items have
-    for row in whole.select("length").distinct().collect():
-        some = F.transform(
-            _starts(F.size("w"), row.length),
-            lambda i, m=row.length: F.struct(i.alias("s"), F.array_join(F.slice("w", i + 1, m), " ").alias("run")),
-        )
-        of_length = windows.filter(F.col("length") == row.length).select("run").distinct()
-        short = texts.select("id", "mark", F.inline(some)).join(of_length, "run", "left_semi").distinct()
-        runs = runs.unionByName(short.withColumn("length", F.lit(row.length)))
+    for m in sorted(r.length for r in whole.select("length").distinct().collect()):
+        starts = _starts(F.size("w"), m)
+        some = F.arrays_zip(starts.alias("s"), _runs(F.col("w"), m).alias("run"))
+        of_length = windows.filter(F.col("length") == m).select("run").distinct()
+        short = texts.select("id", "mark", F.inline(some).alias("s", "run")).join(of_length, "run", "left_semi").distinct()
+        runs = runs.unionByName(short.withColumn("length", F.lit(m)))
 
     return (
         runs.join(windows, ["length", "run"])
