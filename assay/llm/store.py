@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assay.session import scratch_path
 
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder: lineage ends there and a lost executor costs a retry."""
@@ -16,4 +18,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts. Python gets at most ``BATCH`` of its rows at once, unless the session says otherwise."""
+    if spark.conf.get(ROWS) == "10000":  # the default, made for short rows
+        spark.conf.set(ROWS, str(BATCH))
     return spark.read.parquet(f"{folder}/{name}.parquet")
