@@ -49,6 +49,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def header_url(url: str) -> str:
+    """``url`` with blanks and controls escaped, which would end a header; other letters are UTF-8 there."""
+    return "".join(quote(c) if c <= " " or c == "\x7f" else c for c in url)
+
+
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record. A revisit repeats the HTTP head and leaves the payload to the record it refers to."""
     block = HTTP_HEAD + f"Content-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
@@ -61,8 +66,8 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, revisit:
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if url is not None:  # blanks and controls would end the header; letters beyond ASCII are UTF-8 in WARC headers
-        head.append("WARC-Target-URI: " + "".join(quote(c) if c <= " " or c == "\x7f" else c for c in url))
+    if url is not None:
+        head.append(f"WARC-Target-URI: {url}")
     if revisit:
         head += [f"WARC-Refers-To: <{PAGE}{refers_to}>", f"WARC-Profile: {IDENTICAL}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -131,7 +136,7 @@ def write_archives(
                 page = None if pd.isna(p.page_id) else int(p.page_id)
                 refers = None if pd.isna(p.refers_to) else int(p.refers_to)
                 digest = base64.b32encode(bytes.fromhex(p.digest)).decode()
-                url = p.url if isinstance(p.url, str) else None
+                url = header_url(p.url) if isinstance(p.url, str) else None
                 record = record_bytes(page, url, p.html.encode(), digest, refers, refers is not None, date)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 member = packer.compress(record) + packer.flush()
@@ -187,7 +192,7 @@ def scan_members(path: str, stream) -> Iterator[tuple]:
 
 
 def read_records(
-    index: DataFrame, payloads: bool = True, span: int = 64 << 20, gap: int = 64 << 10, most: int = 8 << 20
+    index: DataFrame, payloads: bool = True, span: int = 16 << 20, gap: int = 64 << 10, most: int = 8 << 20
 ) -> DataFrame:
     """The records that ``index`` names, read in ranges.
 
@@ -230,9 +235,11 @@ def read_records(
                 at = last
             yield payload_frame(rows)
 
+    # a task for each span: left alone, Spark would deal by the bytes of the index, not of the archives
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // span
     deal = [F.col("path"), F.floor(F.col("offset") / span)]
     return (
-        index.select("path", "offset", "length").repartition(*deal)
+        index.select("path", "offset", "length").repartition(tasks, *deal)
         .sortWithinPartitions("path", "offset").mapInPandas(fetch, PAYLOADS)
     )
 
