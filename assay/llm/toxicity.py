@@ -143,7 +143,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
         return pd.DataFrame({"model": [pickle.dumps(vars(model))]})
 
     # the sample is bounded by its argument, so both the broadcast and the one task that fits are
-    chosen = docs.join(F.broadcast(few), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("place"), "text")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("place"), "text")
     features = chosen.mapInPandas(ids, "label int, place long, ids binary")
     fitted = features.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "model binary").first()
     if fitted is None:
