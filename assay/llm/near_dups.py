@@ -3,9 +3,10 @@
 Documents with equal shingle sets form one class. Every class gets ``SIG`` minwise hashes. In each of ``trees`` independent
 trees, a node picks one coordinate of the signature, and a second one for a quarter of the nodes, so that a pair at the
 wanted similarity is expected to stay together on one branch; classes that agree at a picked coordinate go to the same child.
-Nodes of at most ``LEAF`` classes are compared exhaustively. Larger ones compare all members with one of them and branch on;
-what is still large at ``depth`` is compared in blocks. Members already known to be connected need no comparison, so a large
-group of near copies costs a number of comparisons in proportion to its size. Links are confirmed on the full sets.
+Nodes of at most ``LEAF`` classes are compared exhaustively. Larger ones compare all members with one of them and branch on,
+until they are small or branching no longer parts them; the rest is compared in blocks. Members already known to be connected need no comparison: a node mostly
+of one component ends, and the classes that met the component there are compared with all of it, once for all trees. So a
+large group of near copies costs comparisons in proportion to its size and to the number of strangers it met. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from assay.llm.store import table, written
 from assay.llm.text import words
 
 SIG, TREES, DEPTH, LEAF, BLOCK = 64, 16, 10, 16, 128
-#: Of the 64 two-bit marks, a pair of similarity 0.8 agrees in 54.4 with a deviation of 2.9; 40 is five deviations off.
-AGREE = 40
+#: Of the 64 two-bit marks, a pair of similarity 0.8 agrees in 54.4 with a deviation of 2.9; 42 is 4.3 deviations off.
+AGREE = 42
+#: Where a level leaves more than this share of the rows in large nodes, they are alike and further branching is in vain.
+SHRINK = 0.8
 FEW = 1_000_000  # keys of 16 bytes that may be broadcast
 _RNG = np.random.default_rng(20240607)
 FACTORS = _RNG.integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,6 +37,7 @@ ODD, ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 PAIRS = np.uint64(0x5555555555555555)
 NODES = "node long, key binary, n int, sketch binary"
 CANDIDATES = "a binary, b binary"
+MEMBER = ("key", "n", "sketch", "label")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -208,25 +212,36 @@ def _compare_pivots(ratio: float):
     return compare
 
 
-def _compare_blocks(ratio: float):
-    """Groups of (node, i, j) hold the blocks i and j of a node: pairs between the two, or within one if i = j."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", kind="stable")
-        marks, n, key, label = (
-            _matrix(rows["sketch"], np.uint64, 2), rows["n"].to_numpy(), rows["key"].to_numpy(), rows["label"].to_numpy()
-        )
-        block, a, b = rows["block"].to_numpy(), [], []
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        for x in np.flatnonzero(block == i):
-            other = np.flatnonzero(block == j) if i != j else np.arange(x + 1, len(rows))
-            other = other[_near(marks[[x]], marks[other], n[x], n[other], ratio)]
-            other = other[label[other] != label[x]]
-            a += [key[x]] * len(other)
-            b += list(key[other])
-        return _pair_frame(a, b)
+def _link_blocks(percent: int):
+    """Groups of (unit, i, j): links of its ``other`` rows with the rest whose ends nothing before them connects."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes, parent, found = WordHashes(), {}, []
+
+        def root(x: bytes) -> bytes:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        rows = rows.sort_values(["other", "key"], ascending=False, kind="stable")
+        others = int(rows["other"].sum())
+        key, label, n = rows["key"].tolist(), rows["label"].tolist(), rows["n"].to_numpy()
+        marks, sets = _matrix(rows["sketch"], np.uint64, 2), [shingles(t, hashes) for t in rows["text"]]
+        for x in range(others):
+            near = _near(marks[[x]], marks[others:], n[x], n[others:], percent / 100)
+            for y in others + np.flatnonzero(near):
+                a, b = root(label[x]), root(label[y])
+                if a != b and similar(sets[x], sets[y], percent):
+                    parent[a] = b
+                    found.append((key[x], key[y]))
+        return _pair_frame([a for a, _ in found], [b for _, b in found])
+
+    return links
 
-    return compare
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -234,14 +249,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough, from the texts of the classes' representatives."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``key`` and ``text`` of the classes in ``wanted`` (key, each once), by their representatives."""
     chosen = written(wanted.join(classes.select("key", "rep", "mark"), "key"), "near-wanted")
     texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("mark"), "text")
     few = _small(chosen.withColumnsRenamed({"rep": "r", "mark": "m"}))
     same = F.col("rep").eqNullSafe(F.col("r")) & (F.col("mark") == F.col("m"))
-    texts = written(texts.join(few, same).select("key", "text").dropDuplicates(["key"]), "near-texts")
+    return written(texts.join(few, same).select("key", "text").dropDuplicates(["key"]), "near-texts")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough, from the texts of the classes' representatives."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), classes, docs)
     both = (
         pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
         .join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
@@ -260,9 +279,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         for rows in batches:
             good = []
             for a, ta, b, tb in zip(rows["a"], rows["text_a"], rows["b"], rows["text_b"], strict=True):
-                x, y = of(a, ta), of(b, tb)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                good.append(similar(of(a, ta), of(b, tb), percent))
             yield rows.loc[good, ["a", "b"]]
 
     return both.mapInPandas(check, CANDIDATES)
@@ -271,7 +288,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 def near_duplicates(
     docs: DataFrame, percent: int = 80, trees: int = TREES, depth: int = DEPTH
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links of its class, label and mark.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, label and mark.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of word pairs; a component is what
     links reach, named by its smallest doc_id. ``label`` names it too, also where ids repeat, and is null for empty sets;
@@ -292,44 +309,43 @@ def near_duplicates(
         ).select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "of.n", "of.sig"),
         "near-classes",
     )
-    known = None  # (key, label) of classes with links so far
-    edges = None
-    found = []
+    known, found, met, before = None, [], [], float("inf")  # known: (key, label) of classes with links so far
     frontier = classes.select("key", "n", "sig").mapInPandas(_grown(2, trees), NODES)
     for level in range(2, depth + 1):
-        pairs, large = _compare_level(frontier, known, ratio, level == 2)
+        pairs, large, led = _compare_level(frontier, known, ratio, level == 2)
         found.append(written(pairs.distinct(), f"near-pairs-{level}"))
+        if led is not None:
+            met.append(written(led, f"near-led-{level}"))
         if level == 2:
             edges = written(confirmed(found.pop(), classes, docs, percent), "near-edges")
             known = components(edges)
-        if large.isEmpty():
+        left = large.count()
+        if not left:
+            large = None
+        if not left or left > SHRINK * before:
             break
+        before = left
         if level < depth:
             joined = large.select("node", "key").join(classes.select("key", "n", "sig"), "key")
             frontier = written(joined.mapInPandas(_grown(1, trees), NODES), f"near-nodes-{level + 1}")
-    for pairs in [_union(found), None]:
-        if pairs is None and not large.isEmpty():
-            pairs = _block_pairs(large.select("node", "key", "n", "sketch"), known, ratio)
-        if pairs is None:
-            continue
-        fresh = written(_apart(pairs.distinct(), known), "near-pairs")
-        more = written(confirmed(fresh, classes, docs, percent), "near-edges")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            known = components(edges)
-
-    links = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    named = classes.join(known, "key", "left").join(links, "key", "left")
-    named = named.select("key", "rep", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if found:
+        fresh = written(_apart(_union(found).distinct(), known), "near-pairs")
+        edges = edges.unionByName(written(confirmed(fresh, classes, docs, percent), "near-edges"))
+        known = components(edges)
+    units = _units(_union(met), large, known)
+    if units is not None and not units.isEmpty():
+        edges = edges.unionByName(written(_exact_links(units, classes, docs, percent), "near-edges"))
+        known = components(edges)
+
+    named = classes.join(known, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(least, "label").select("key", "component_id", "n_links", "label")
+    by_key = named.join(least, "label").select("key", "component_id", "label")
     alone = F.col("n") == 0
     return features.join(by_key, "key", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "label",
         "mark",
     )
@@ -353,16 +369,23 @@ def _compare_level(frontier: DataFrame, known: DataFrame | None, ratio: float, f
     rows = _labelled(frontier, known)
     if not first:
         rows = written(rows, "near-labelled")
-    mixed = F.min("label") != F.max("label")
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), mixed.alias("mixed"))
-    over = written(sizes.filter(F.col("size") > LEAF).select("node", "mixed"), "near-large")
+    if first:  # every label is one row
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.lit(1).alias("most"), F.lit(None).cast("binary").alias("main"))
+    else:
+        counted = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
+        sizes = counted.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+        sizes = sizes.select("node", "size", F.col("top.c").alias("most"), F.col("top.label").alias("main"))
+    over = written(sizes.filter(F.col("size") > LEAF).withColumn("others", F.col("size") - F.col("most")), "near-large")
     small = rows.join(_small(over.select("node")), "node", "left_anti").repartition("node").sortWithinPartitions("node")
-    small_pairs = small.mapInPandas(_compare_neighbours(ratio), CANDIDATES)
-    many = rows.join(_small(over.filter("mixed").select("node")), "node", "left_semi")
-    pivots = many.groupBy("node").agg(F.min(F.struct("key", "n", "sketch", "label")).alias("p"))
-    pivots = written(pivots.select("node", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "sketch", "label")]), "near-pivots")
-    large_pairs = many.join(_small(pivots), "node").mapInPandas(_compare_pivots(ratio), CANDIDATES)
-    return small_pairs.unionByName(large_pairs), many
+    pairs = small.mapInPandas(_compare_neighbours(ratio), CANDIDATES)
+
+    many = rows.join(_small(over.filter("2 * most < size").select("node")), "node", "left_semi")
+    pivots = many.groupBy("node").agg(F.min(F.struct(*MEMBER)).alias("p"))
+    pivots = written(pivots.select("node", *[F.col(f"p.{c}").alias(f"p_{c}") for c in MEMBER]), "near-pivots")
+    pairs = pairs.unionByName(many.join(_small(pivots), "node").mapInPandas(_compare_pivots(ratio), CANDIDATES))
+    led = rows.join(_small(over.filter("2 * most >= size AND others > 0").select("node", "main")), "node")
+    led = led.filter("label <> main").select("main", "key").distinct()
+    return pairs, many, None if first else led
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -373,17 +396,49 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.filter(apart).select("a", "b")
 
 
-def _block_pairs(rows: DataFrame, known: DataFrame, ratio: float) -> DataFrame:
-    """All pairs of large nodes whose ends aren't connected, block by block of about BLOCK rows."""
-    rows = written(_labelled(rows, known), "near-rest")
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = rows.join(sizes.filter("mixed"), "node").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = split.select("node", "key", "n", "sketch", "label", "block", each).withColumns(
-        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
-    )
-    return dealt.drop("other").groupBy("node", "i", "j").applyInPandas(_compare_blocks(ratio), CANDIDATES)
+def _units(led: DataFrame | None, rows: DataFrame | None, known: DataFrame) -> DataFrame | None:
+    """What remains to be compared: ``unit``, ``key``, ``label`` and ``other``; others with all rows of their unit.
+
+    Units are components with the classes that met them in some node (``led``), and nodes still large at the last level
+    (``rows``), in which all but the main component are others.
+    """
+    parts = []
+    if led is not None:
+        leader = known.select(F.col("key").alias("main"), F.col("label").alias("unit"))
+        strange = _labelled(led.join(leader, "main").select("unit", "key").distinct(), known).filter("label <> unit")
+        strange = written(strange.select("unit", "key", "label"), "near-strange")
+        members = known.join(strange.select(F.col("unit").alias("label")).distinct(), "label").select(
+            F.col("label").alias("unit"), "key", "label"
+        )
+        parts += [strange.withColumn("other", F.lit(True)), members.withColumn("other", F.lit(False))]
+    if rows is not None:
+        rows = _labelled(rows.select(F.col("node").cast("string").cast("binary").alias("unit"), "key"), known)
+        rows = written(rows.select("unit", "key", "label"), "near-rest")
+        counted = rows.groupBy("unit", "label").agg(F.count("*").alias("c"))
+        main = counted.groupBy("unit").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+        main = main.filter("labels > 1").select("unit", F.col("top.label").alias("main"))
+        parts.append(rows.join(main, "unit").withColumn("other", F.col("label") != F.col("main")).drop("main"))
+    return written(_union(parts), "near-units") if parts else None
+
+
+def _exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links of units' others, compared block by block on full sets; a block's links are no more than its rows."""
+    sizes = units.groupBy("unit").agg(F.count("*").alias("n_all"), F.count_if("other").alias("n_others"))
+    split = units.join(sizes.filter("n_others > 0"), "unit")
+    all_blocks, other_blocks = F.ceil(F.col("n_all") / BLOCK).cast("int"), F.ceil(F.col("n_others") * 2 / BLOCK).cast("int")
+    place = F.xxhash64("key")
+    count = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rest = split.select("unit", "key", "label", F.lit(False).alias("other"), F.pmod(place, all_blocks).cast("int").alias("j"), count(other_blocks).alias("i"))
+    others = split.filter("other").select("unit", "key", "label", "other", F.pmod(place, other_blocks).cast("int").alias("i"), count(all_blocks).alias("j"))
+
+    @F.pandas_udf("binary")
+    def sketched(sig: pd.Series) -> pd.Series:
+        return pd.Series(_bytes(sketch(_matrix(sig, np.uint32, SIG))) if len(sig) else [], dtype=object)
+
+    texts = texts_of(units.select("key").distinct(), classes, docs).join(classes.select("key", "n", "sig"), "key")
+    texts = texts.select("key", "n", "text", sketched("sig").alias("sketch"))
+    dealt = others.unionByName(rest).join(texts, "key")
+    return dealt.groupBy("unit", "i", "j").applyInPandas(_link_blocks(percent), CANDIDATES)
 
 
 def op4_near_dups(spark, folder):
