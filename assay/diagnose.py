@@ -16,7 +16,7 @@ from assay.sources import inventory, sampling
 
 
 def findings(
-    prof: DataFrame, dups: DataFrame, as_of: str, industry: str | None = None, max_tables: int = 50
+    prof: DataFrame, dups: DataFrame, as_of: str, industry: str | None = None, max_tables: int | None = None
 ) -> dict[str, DataFrame]:
     """Every catalogue result over stored profiles of one or many runs.
 

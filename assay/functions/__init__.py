@@ -2,6 +2,7 @@
 
 from assay.functions.columns import (
     col,
+    first_of_run,
     join_by_run,
     literal_rows,
     missing,
@@ -18,6 +19,7 @@ from assay.functions.longform import long_form
 
 __all__ = [
     "col",
+    "first_of_run",
     "join_by_run",
     "literal_rows",
     "long_form",

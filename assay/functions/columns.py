@@ -8,6 +8,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -94,3 +95,11 @@ def literal_rows(spark: SparkSession, schema: str, rows: Sequence[Sequence[Any]]
         [dict(zip(names, row, strict=True)) for row in rows], schema=to_arrow_schema(parsed)
     )
     return spark.createDataFrame(table, schema=parsed)
+
+
+def first_of_run(rows: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """``rows`` in ``order``; with a limit, the first ones of every run."""
+    if limit is None:
+        return rows.orderBy(*order)
+    rank = F.row_number().over(W.partitionBy("run_id").orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank").orderBy(*order)

@@ -11,59 +11,48 @@ from pyspark.sql import types as T
 
 from assay.functions import col, literal_rows, percent
 
-_NESTED = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
 
-#: above this many columns a row digest is shuffled instead of the row
-WIDE = 64
-
-#: longer strings are shuffled as their SHA-256 digest
-DIGEST_ABOVE = 256
-
-
-def _row_digest(df: DataFrame) -> DataFrame:
-    """One SHA-256 per row over an unambiguous text of all columns."""
-    packed = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
-    return df.select(F.sha2(packed, 256).alias("digest"))
-
-
-def _key(f: T.StructField) -> Column:
-    c = col(f.name)
-    if isinstance(f.dataType, T.StringType):
-        digest = F.concat(F.lit("sha256:"), F.sha2(c, 256))
-        return F.when(F.length(c) > DIGEST_ABOVE, digest).otherwise(c)
-    return c
+def _hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a row; equal rows have equal hashes. Maps are hashed by their sorted entries."""
+    parts = [
+        F.array_sort(F.map_entries(col(f.name))) if isinstance(f.dataType, T.MapType) else col(f.name)
+        for f in df.schema.fields
+    ]
+    return F.xxhash64(*parts)
 
 
-def repeated_groups(df: DataFrame, method: str | None = None) -> DataFrame:
-    """(…, copies): one row per distinct row, by the columns or by their digest.
+def repeated_groups(df: DataFrame) -> DataFrame:
+    """(copies, groups): how many distinct rows there are with so many copies.
 
-    Rows are pre-counted per task, so a row repeated a million times is shuffled
-    once per task. Long strings travel as digests of their whole text; tables with
-    nested values or many columns shuffle one digest per row.
+    A hash per row is counted first. Only rows whose hash repeats, which are few unless rows do repeat,
+    are grouped by all their columns; so equality is Spark's own and the rest of the table isn't shuffled.
     """
-    if method is None:
-        nested = any(isinstance(f.dataType, _NESTED) for f in df.schema.fields)
-        method = "digest" if nested or len(df.columns) > WIDE else "columns"
-    if method == "digest":
-        return _row_digest(df).groupBy("digest").agg(F.count("*").alias("copies"))
-    keys = [_key(f).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
-    return df.groupBy(*keys).agg(F.count("*").alias("copies"))
+    if not df.columns:
+        return df.groupBy().agg(F.count("*").alias("copies")).withColumn("groups", F.lit(1).cast("bigint"))
+    hashed = df.select(_hash(df).alias("h"), F.struct(*[col(c) for c in df.columns]).alias("row"))
+    counted = hashed.groupBy("h").agg(F.count("*").alias("copies"))
+    single = counted.where("copies = 1").groupBy("copies").agg(F.count("*").alias("groups"))
+    again = hashed.join(counted.where("copies > 1").select("h"), "h", "left_semi")
+    real = again.groupBy("h", "row").agg(F.count("*").alias("copies"))
+    return single.unionByName(real.groupBy("copies").agg(F.count("*").alias("groups")))
 
 
 def duplicates(
-    tables: Mapping[str, DataFrame], run_id: str | None = None, method: str | None = None
+    tables: Mapping[str, DataFrame], run_id: str | None = None
 ) -> DataFrame:
     """(run_id, table_name, row_count, duplicate_rows, duplicate_percent), one row per table."""
     spark = next(iter(tables.values())).sparkSession
     names = literal_rows(spark, "tid int, table_name string", list(enumerate(tables)))
     copies = [
-        repeated_groups(df, method).select(F.lit(tid).alias("tid"), "copies")
+        repeated_groups(df).select(F.lit(tid).alias("tid"), "copies", "groups")
         for tid, df in enumerate(tables.values())
     ]
     counted = (
         reduce(DataFrame.unionAll, copies)
         .groupBy("tid")
-        .agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("repeats"))
+        .agg(
+            F.sum(F.expr("copies * groups")).alias("n"), F.sum(F.expr("(copies - 1) * groups")).alias("repeats")
+        )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     return names.join(counted, "tid", "left").select(
@@ -75,6 +64,6 @@ def duplicates(
     )
 
 
-def duplicate_rows(df: DataFrame, table: str, method: str | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
     """The repeated rows of one table, one row."""
-    return duplicates({table: df}, method=method)
+    return duplicates({table: df})

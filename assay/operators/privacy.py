@@ -131,10 +131,8 @@ def summary(risks: DataFrame) -> DataFrame:
 
 
 def gdpr_category(pii_type: Column, column: Column) -> Column:
-    known = None
-    for category, types in rules.GDPR_TYPES.items():
-        hit = pii_type.isin(types)
-        known = F.when(hit, category) if known is None else known.when(hit, category)
+    listed = _lookup(rules.GDPR_TYPES, pii_type)
+    known = F.when(listed.isNotNull(), listed)
     text = F.lower(F.concat_ws(" ", pii_type, column))
     for words, category in rules.GDPR_GUESSES:
         known = known.when(text.rlike(_any(words)), category)

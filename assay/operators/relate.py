@@ -1,6 +1,6 @@
 """Keys and relationships: candidates from profiles, checks on the data.
 
-Candidate search works on profile rows of at most ``max_tables`` tables per run;
+Candidate search works on profile rows, of the ``max_tables`` largest tables per run if that is given;
 the data checks first reduce each side to its distinct keys, so neither a hot key
 nor the number of repeats reaches the join.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import col, join_by_run, name_has_any, percent
+from assay.functions import col, first_of_run, join_by_run, name_has_any, percent
 
 KEY = ["run_id", "table_name"]
 CONFIDENCE = ["low", "medium", "high"]
@@ -42,27 +42,28 @@ def candidate_keys(profile: DataFrame) -> DataFrame:
     )
 
 
-def top_tables(profile: DataFrame, max_tables: int = 50) -> DataFrame:
+def top_tables(profile: DataFrame, max_tables: int | None = 50) -> DataFrame:
     """The largest tables of each run, by rows."""
     rank = W.partitionBy("run_id").orderBy(F.desc("row_count"), "table_name")
     return (
         profile.groupBy(*KEY)
         .agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("row_count"))
         .withColumn("size_rank", F.row_number().over(rank))
-        .where(F.col("size_rank") <= max_tables)
+        .where(F.lit(True) if max_tables is None else F.col("size_rank") <= max_tables)
     )
 
 
-def _key_columns(profile: DataFrame, max_tables: int) -> DataFrame:
-    kept = top_tables(profile, max_tables).select(*KEY)
-    runs = join_by_run(profile, kept, ["table_name"], "left_semi")
-    return runs.select(
+def _key_columns(profile: DataFrame, max_tables: int | None) -> DataFrame:
+    if max_tables is not None:
+        kept = top_tables(profile, max_tables).select(*KEY)
+        profile = join_by_run(profile, kept, ["table_name"], "left_semi")
+    return profile.select(
         *KEY, "column_name", "data_type",
         F.coalesce(F.col("unique_percent"), F.lit(0.0)).alias("u"),
     )
 
 
-def _pairs(profile: DataFrame, max_tables: int) -> DataFrame:
+def _pairs(profile: DataFrame, max_tables: int | None) -> DataFrame:
     cols = _key_columns(profile, max_tables).where(
         name_has_any(F.col("column_name"), rules.JOIN_NAME_WORDS)
     )
@@ -103,12 +104,12 @@ def _pairs(profile: DataFrame, max_tables: int) -> DataFrame:
     )
 
 
-def join_candidates(profile: DataFrame, max_tables: int = 50) -> DataFrame:
+def join_candidates(profile: DataFrame, max_tables: int | None = None) -> DataFrame:
     """Pairs of tables that share a key-like column of one type."""
     return _pairs(profile, max_tables)
 
 
-def fk_naming(profile: DataFrame, max_tables: int = 50) -> DataFrame:
+def fk_naming(profile: DataFrame, max_tables: int | None = None) -> DataFrame:
     """``customer_id`` -> ``customer.id`` or ``customers.id``, in both directions."""
     cols = _key_columns(profile, max_tables).withColumn("low", F.lower("column_name"))
     stem = F.substring(F.col("low"), F.lit(1), F.length("low") - 3)
@@ -140,14 +141,14 @@ def fk_naming(profile: DataFrame, max_tables: int = 50) -> DataFrame:
     )
 
 
-def relationships(profile: DataFrame, max_tables: int = 50) -> DataFrame:
+def relationships(profile: DataFrame, max_tables: int | None = None) -> DataFrame:
     return join_candidates(profile, max_tables).unionByName(fk_naming(profile, max_tables))
 
 
-def join_paths(edges: DataFrame, limit: int = 20) -> DataFrame:
+def join_paths(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Two-hop paths a -> m -> b, strongest first; a path is as strong as its weaker edge.
 
-    The walk is over at most ``max_tables`` tables per run.
+    ``limit`` keeps so many of each run, all if None.
     """
     back = edges.select(
         "run_id",
@@ -158,7 +159,7 @@ def join_paths(edges: DataFrame, limit: int = 20) -> DataFrame:
     both = edges.select(*back.columns).unionByName(back)
     f, s = both.alias("f"), both.alias("s")
     weaker = F.least(confidence_rank(F.col("f.confidence")), confidence_rank(F.col("s.confidence")))
-    return (
+    paths = (
         f.where(F.col("confidence").isin("high", "medium"))
         .join(
             s,
@@ -176,15 +177,13 @@ def join_paths(edges: DataFrame, limit: int = 20) -> DataFrame:
             F.lit(2).alias("hops"),
             weaker.alias("strength"),
         )
-        .orderBy(
-            F.desc("strength"), "start_table", "middle_table", "end_table", "start_column",
-            "middle_column",
-        )
-        .limit(limit)
-        .select(
-            "run_id", "start_table", "start_column", "middle_table", "middle_column", "end_table",
-            "hops", confidence_name(F.col("strength")).alias("confidence"),
-        )
+    )
+    order = [
+        F.desc("strength"), "start_table", "middle_table", "end_table", "start_column", "middle_column",
+    ]
+    return first_of_run(paths, order, limit).select(
+        "run_id", "start_table", "start_column", "middle_table", "middle_column", "end_table",
+        "hops", confidence_name(F.col("strength")).alias("confidence"),
     )
 
 

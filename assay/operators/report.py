@@ -6,38 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import join_by_run
+from assay.functions import first_of_run, join_by_run
 from assay.operators.profile import completeness, exploded_top_values
 
 KEY = ["run_id", "table_name"]
 
 
-def null_ranking(profile: DataFrame, limit: int = 25) -> DataFrame:
-    return (
-        profile.where(F.col("null_percent") > 0)
-        .select(*KEY, "column_name", F.round("null_percent", 2).alias("null_percent"))
-        .orderBy(F.desc("null_percent"), "table_name", "column_name")
-        .limit(limit)
+def null_ranking(profile: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns with nulls, worst first; ``limit`` keeps so many of each run."""
+    found = profile.where(F.col("null_percent") > 0).select(
+        *KEY, "column_name", F.round("null_percent", 2).alias("null_percent")
     )
+    return first_of_run(found, [F.desc("null_percent"), "table_name", "column_name"], limit)
 
 
-def box_plots(profile: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ``limit`` numeric columns with their five numbers and mean."""
-    return (
-        profile.where((F.col("type_category") == "numeric") & F.col("median").isNotNull())
-        .orderBy("table_name", "ordinal")
-        .limit(limit)
-        .select(*KEY, "column_name", "min_value", "q25", "median", "q75", "max_value", "mean")
+def box_plots(profile: DataFrame, limit: int | None = None) -> DataFrame:
+    """Numeric columns with their five numbers and mean; ``limit`` keeps the first of each run."""
+    numeric = profile.where((F.col("type_category") == "numeric") & F.col("median").isNotNull())
+    return first_of_run(numeric, ["table_name", "ordinal"], limit).select(
+        *KEY, "column_name", "min_value", "q25", "median", "q75", "max_value", "mean"
     )
 
 
-def category_bars(profile: DataFrame, columns: int = 6, values: int = 6) -> DataFrame:
-    """Top values of the first string columns; labels are cut to 20 characters."""
-    chosen = (
-        profile.where((F.col("type_category") == "string") & (F.size("top_values") > 0))
-        .orderBy("table_name", "ordinal")
-        .limit(columns)
-    )
+def category_bars(profile: DataFrame, columns: int | None = None, values: int = 6) -> DataFrame:
+    """Top values of string columns, of the first ``columns`` of each run; labels are cut to 20 characters."""
+    strings = profile.where((F.col("type_category") == "string") & (F.size("top_values") > 0))
+    chosen = first_of_run(strings, ["table_name", "ordinal"], columns)
     return (
         exploded_top_values(chosen)
         .where(F.col("rank") <= values)
@@ -62,8 +56,8 @@ def top5_share(profile: DataFrame) -> DataFrame:
     )
 
 
-def table_facts(profile: DataFrame, scores: DataFrame, pii: DataFrame, max_columns: int = 15) -> DataFrame:
-    """Compact facts per table, with its first ``max_columns`` columns nested."""
+def table_facts(profile: DataFrame, scores: DataFrame, pii: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Compact facts per table, with its columns, or the first ``max_columns``, nested."""
     column = F.struct(
         "ordinal",
         F.col("column_name").alias("name"),
@@ -81,7 +75,9 @@ def table_facts(profile: DataFrame, scores: DataFrame, pii: DataFrame, max_colum
         F.max("total_count").alias("row_count"),
         F.count("*").alias("column_count"),
         # a table's columns: bounded by its width
-        F.array_sort(F.collect_list(F.when(F.col("ordinal") < max_columns, column))).alias("columns"),
+        F.array_sort(F.collect_list(column if max_columns is None else F.when(F.col("ordinal") < max_columns, column))).alias(
+            "columns"
+        ),
     )
     found = pii.groupBy(*KEY).agg(F.count("*").alias("pii_columns"))
 

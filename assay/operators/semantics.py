@@ -210,9 +210,9 @@ def correlation_pairs(df: DataFrame) -> DataFrame:
 
 
 def correlations(
-    df: DataFrame, table: str, classes: DataFrame | None = None, limit: int = 15
+    df: DataFrame, table: str, classes: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The strongest pairs with |r| >= 0.6, at most ``limit``."""
+    """The pairs with |r| >= 0.6, strongest first, or the first ``limit`` of them."""
     size = F.abs("r")
     notable = (
         correlation_pairs(df)
@@ -223,8 +223,9 @@ def correlations(
             F.when(size > 0.8, "very_strong").otherwise("strong").alias("strength"),
         )
         .orderBy(F.desc(F.abs("pearson_r")), "col_a", "col_b")
-        .limit(limit)
     )
+    if limit is not None:
+        notable = notable.limit(limit)
     if classes is None:
         return notable
     revenue = classes.where("category = 'revenue'").where(F.col("table_name") == table)

@@ -32,7 +32,7 @@ PII_PATTERNS = {
     "phone": r"^\+?1?\d{10,15}$|^\(\d{3}\)\s?\d{3}-?\d{4}$",
     "ssn": r"^\d{3}-?\d{2}-?\d{4}$",
     "credit_card": r"^\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}$",
-    "ip_address": r"^\d{1,3}(\.\d{1,3}){3}$",
+    "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
 }
 
 # Lengths a value must have for the pattern to be able to match; checked before
@@ -47,19 +47,36 @@ PII_PATTERN_LENGTHS = {
 
 # Personal-data type -> GDPR category.
 GDPR_TYPES = {
-    "contact_data": ["email", "phone"],
-    "online_identifier": ["ip_address", "ip"],
-    "personal_identifier": [
-        "name", "first_name", "last_name", "full_name", "date_of_birth", "dob",
-        "age", "gender", "sex",
-    ],
-    "location_data": ["postcode", "postal_code", "zip_code", "address"],
-    "national_id": ["ssn", "national_id", "passport"],
-    "financial_data": ["credit_card", "iban", "bank_account"],
-    "special_category": [
-        "health", "medical", "diagnosis", "religion", "ethnicity", "political",
-        "biometric",
-    ],
+    "email": "contact_data",
+    "phone": "contact_data",
+    "ip_address": "online_identifier",
+    "ip": "online_identifier",
+    "name": "personal_identifier",
+    "first_name": "personal_identifier",
+    "last_name": "personal_identifier",
+    "full_name": "personal_identifier",
+    "postcode": "location_data",
+    "postal_code": "location_data",
+    "zip_code": "location_data",
+    "address": "location_data",
+    "ssn": "national_id",
+    "national_id": "national_id",
+    "passport": "national_id",
+    "credit_card": "financial_data",
+    "iban": "financial_data",
+    "bank_account": "financial_data",
+    "health": "special_category",
+    "medical": "special_category",
+    "diagnosis": "special_category",
+    "religion": "special_category",
+    "ethnicity": "special_category",
+    "political": "special_category",
+    "biometric": "special_category",
+    "date_of_birth": "personal_identifier",
+    "dob": "personal_identifier",
+    "age": "personal_identifier",
+    "gender": "personal_identifier",
+    "sex": "personal_identifier",
 }
 
 # Ordered guess for types the map above does not list.
@@ -114,7 +131,7 @@ MASK_RULES = [
 
 # --- string content ----------------------------------------------------------
 
-# Patterns searched anywhere in a string.
+# Patterns searched anywhere in a string, and words that read as booleans.
 CONTAINS_PHONE = r"\d{3}[-\s]?\d{3}[-\s]?\d{4}"
 CONTAINS_URL = r"http[s]?://"
 CONTAINS_DATE = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
@@ -133,11 +150,13 @@ QUALITY_WEIGHTS = {
     "freshness": 10,
     "integrity": 10,
 }
+# Words in the names of dates and of amounts.
 DATE_NAME_WORDS = ["date", "time", "created", "updated"]
 AMOUNT_NAME_WORDS = ["amount", "total", "quantity", "price", "count"]
 
 # --- structure ---------------------------------------------------------------
 
+# Parts of the names of ids, and words in the names of join columns.
 ID_TOKENS = ["id", "uid", "uuid", "key", "pk", "index", "idx", "code", "ref"]
 JOIN_NAME_WORDS = ["id", "key", "code"]
 
@@ -145,31 +164,32 @@ JOIN_NAME_WORDS = ["id", "key", "code"]
 
 # Category -> keywords; the order of categories settles ties.
 COLUMN_CLASSES = {
-    "revenue": (
-        "revenue amount price cost total sales payment fee charge income profit "
-        "margin discount tax subtotal balance spend budget invoice billing mrr arr "
-        "arpu ltv aov"
-    ).split(),
-    "timestamp": (
-        "date time timestamp created updated modified datetime day month year period "
-        "start end open close expire deadline schedule born"
-    ).split(),
-    "geographic": (
-        "country city state region zip postal address lat latitude lon longitude geo "
-        "location place province county district territory continent"
-    ).split(),
-    "status_lifecycle": (
-        "status state stage phase lifecycle category type class level tier grade rank "
-        "flag active enabled approved completed pending"
-    ).split(),
-    "device_identifier": (
-        "device sensor machine equipment asset serial imei mac hardware firmware model "
-        "manufacturer iot gateway node beacon tag"
-    ).split(),
-    "customer_identifier": (
-        "customer client user account member subscriber patient student employee "
-        "contact person tenant buyer seller vendor partner"
-    ).split(),
+    "revenue": [
+        "revenue", "amount", "price", "cost", "total", "sales", "payment", "fee", "charge",
+        "income", "profit", "margin", "discount", "tax", "subtotal", "balance", "spend", "budget",
+        "invoice", "billing", "mrr", "arr", "arpu", "ltv", "aov",
+    ],
+    "timestamp": [
+        "date", "time", "timestamp", "created", "updated", "modified", "datetime", "day", "month",
+        "year", "period", "start", "end", "open", "close", "expire", "deadline", "schedule", "born",
+    ],
+    "geographic": [
+        "country", "city", "state", "region", "zip", "postal", "address", "lat", "latitude", "lon",
+        "longitude", "geo", "location", "place", "province", "county", "district", "territory",
+        "continent",
+    ],
+    "status_lifecycle": [
+        "status", "state", "stage", "phase", "lifecycle", "category", "type", "class", "level",
+        "tier", "grade", "rank", "flag", "active", "enabled", "approved", "completed", "pending",
+    ],
+    "device_identifier": [
+        "device", "sensor", "machine", "equipment", "asset", "serial", "imei", "mac", "hardware",
+        "firmware", "model", "manufacturer", "iot", "gateway", "node", "beacon", "tag",
+    ],
+    "customer_identifier": [
+        "customer", "client", "user", "account", "member", "subscriber", "patient", "student",
+        "employee", "contact", "person", "tenant", "buyer", "seller", "vendor", "partner",
+    ],
 }
 
 # --- impact rules ------------------------------------------------------------

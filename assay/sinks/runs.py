@@ -50,15 +50,21 @@ def load(
 ) -> DataFrame:
     """An artifact over all runs, or of one run by partition pruning."""
     reader = spark.read.options(**_TIMES).format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.load(f"{root}/{artifact}")
-    df = df.withColumn("run_id", F.col("run_id").cast("string"))
+    path = f"{root}/{artifact}"
+    if schema is None:
+        schema = reader.load(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    # run ids are text: left to be inferred, 007 would be read as 7
+    fields = [f for f in schema.fields if f.name != "run_id"]
+    df = reader.schema(T.StructType([*fields, T.StructField("run_id", T.StringType())])).load(path)
     return df if run_id is None else df.where(F.col("run_id") == run_id)
 
 
 def list_runs(spark: SparkSession, root: str, artifact: str, fmt: str = "json") -> DataFrame:
-    return load(spark, root, artifact, fmt=fmt).select("run_id").distinct().orderBy("run_id")
+    """The runs that have an artifact, by folder names alone."""
+    kept = list_artifacts(spark, root).where(F.col("artifact") == artifact)
+    return kept.select("run_id").distinct().orderBy("run_id")
 
 
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:

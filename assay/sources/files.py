@@ -16,13 +16,20 @@ def suffix(path: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ","
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Header row; types are inferred unless a schema is given. Dates stay text.
 
+    Fields follow RFC 4180: quoted ones may hold separators, doubled quotes and line breaks. A file in
+    which they may hold line breaks can't be split over tasks; ``multi_line=False`` promises that none
+    does, splits large files, and fails on a record that breaks the promise instead of shifting columns.
     Inference scans the files once more, so give a schema for large inputs.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    if not multi_line:
+        reader = reader.option("mode", "FAILFAST")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return (
@@ -34,8 +41,18 @@ def read_csv(
     )
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    return read_csv(spark, path, schema, sep="\t")
+def read_tsv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    return read_csv(spark, path, schema, sep="\t", multi_line=multi_line)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Write what ``read_csv`` reads back: a header, and quotes doubled inside quotes."""
+    (
+        df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def read_json(

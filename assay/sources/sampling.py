@@ -14,7 +14,8 @@ def head(df: DataFrame, n: int = 10_000, order_by: list[str] | None = None) -> D
 
 def by_rate(df: DataFrame, key: Column, percent: int) -> DataFrame:
     """Rows whose key hashes below ``percent`` of 100; keeps all rows of a key together."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    digits = F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 8)
+    return df.where(F.conv(digits, 16, 10).cast("bigint") % 100 < percent)
 
 
 def by_modulus(df: DataFrame, key: Column, every: int) -> DataFrame:
@@ -51,9 +52,18 @@ def sampling_plan(
     )
 
 
-def extract(df: DataFrame, method: str, rate: float, max_rows: int, seed: int = 42) -> DataFrame:
-    """Apply one row of a sampling plan."""
-    return df if method == "full" else bernoulli(df, rate, seed).limit(max_rows)
+def extract(
+    df: DataFrame, method: str, rate: float, max_rows: int, seed: int = 42, row_count: int | None = None
+) -> DataFrame:
+    """Apply one row of a sampling plan.
+
+    ``max_rows`` lowers the rate, so that about so many rows come from all of the table; a limit would
+    take them from its first partitions. ``row_count`` saves counting.
+    """
+    if method == "full":
+        return df
+    total = df.count() if row_count is None else row_count
+    return bernoulli(df, min(rate, max_rows / total) if total else rate, seed)
 
 
 def stratified_by_date(

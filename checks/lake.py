@@ -179,7 +179,7 @@ _PATTERNS = {
     "phone": r"^\+?1?\d{10,15}$|^\(\d{3}\)\s?\d{3}-?\d{4}$",
     "ssn": r"^\d{3}-?\d{2}-?\d{4}$",
     "credit_card": r"^\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}$",
-    "ip_address": r"^\d{1,3}(\.\d{1,3}){3}$",
+    "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
 }
 
 

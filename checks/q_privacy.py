@@ -27,8 +27,7 @@ def _first_keyword() -> str:
 
 
 _KNOWN = " ".join(
-    f"WHEN pii_type IN ({', '.join(repr(t) for t in types)}) THEN '{c}'"
-    for c, types in rules.GDPR_TYPES.items()
+    f"WHEN pii_type = '{t}' THEN '{c}'" for t, c in rules.GDPR_TYPES.items()
 )
 _GUESS = " ".join(
     f"WHEN regexp_matches(lower(pii_type || ' ' || column_name), '{_any(words)}') THEN '{c}'"

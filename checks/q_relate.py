@@ -63,8 +63,7 @@ ORACLE["join_paths"] = _sql(
            ['low', 'medium', 'high'][strength] AS confidence
     FROM (SELECT f.table1 AS start_table, f.column1 AS start_column, f.table2 AS middle_table,
                  s.column1 AS middle_column, s.table2 AS end_table, least(f.strength, s.strength) AS strength
-          FROM bothways f JOIN bothways s ON f.table2 = s.table1 AND f.table1 <> s.table2 WHERE f.strength >= 2)
-    ORDER BY strength DESC, start_table, middle_table, end_table, start_column, middle_column LIMIT 20"""
+          FROM bothways f JOIN bothways s ON f.table2 = s.table1 AND f.table1 <> s.table2 WHERE f.strength >= 2)"""
 )
 QUERIES["erd_nodes"] = lambda s, d: shaped(R.erd_nodes(edges(s, d)).drop("run_id"))
 ORACLE["erd_nodes"] = _sql(

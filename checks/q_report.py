@@ -27,7 +27,7 @@ QUERIES, ORACLE = {}, {}
 QUERIES["chart_nulls"] = lambda s, d: shaped(B.null_ranking(prof(s, d)).drop("run_id"))
 ORACLE["chart_nulls"] = over_profile(
     """SELECT table_name, column_name, round(null_percent, 2) AS null_percent FROM p WHERE null_percent > 0
-       ORDER BY null_percent DESC, table_name, column_name LIMIT 25"""
+       """
 )
 QUERIES["chart_boxes"] = lambda s, d: shaped(
     B.box_plots(prof(s, d, parts=(P.STATS, P.QUANTILES))).drop("run_id"), 4
@@ -35,8 +35,7 @@ QUERIES["chart_boxes"] = lambda s, d: shaped(
 _FIVE = ["min_value", "q25", "median", "q75", "max_value", "mean"]
 ORACLE["chart_boxes"] = rounded(
     over_profile(
-        f"""SELECT table_name, column_name, {', '.join(_FIVE)} FROM p WHERE type_category = 'numeric' AND median IS NOT NULL
-            ORDER BY table_name, ordinal LIMIT 20"""
+        f"""SELECT table_name, column_name, {', '.join(_FIVE)} FROM p WHERE type_category = 'numeric' AND median IS NOT NULL"""
     ),
     _FIVE, 4,
 )
@@ -45,8 +44,7 @@ QUERIES["chart_categories"] = lambda s, d: shaped(
 )
 ORACLE["chart_categories"] = over_profile(
     """SELECT table_name, column_name, rank, left(value, 20) AS label, count FROM tops
-       SEMI JOIN (SELECT table_name, column_name FROM p WHERE type_category = 'string' AND unique_count > 0
-                  ORDER BY table_name, ordinal LIMIT 6) USING (table_name, column_name) WHERE rank <= 6""",
+       SEMI JOIN (SELECT table_name, column_name FROM p WHERE type_category = 'string' AND unique_count > 0) USING (table_name, column_name) WHERE rank <= 6""",
     tops=True,
 )
 QUERIES["top5_share"] = lambda s, d: shaped(

@@ -133,7 +133,7 @@ def _correlations(spark, sf):
     p = stored(spark, sf, parts=BASE)
     classes = C.column_classes(p)
     out = None
-    for name in ("customers", "order_items", "products"):
+    for name in ("activity", "customers", "order_items", "orders", "products"):
         part = C.correlations(view(spark, sf, name), name, classes)
         out = part if out is None else out.unionByName(part)
     return shaped(out)
@@ -156,7 +156,7 @@ def _pairs(names):
 
 QUERIES["correlations"] = _correlations
 ORACLE["correlations"] = over_profile(
-    f"""WITH {CLASS_SQL.strip()}, pairs AS ({_pairs(("customers", "order_items", "products"))})
+    f"""WITH {CLASS_SQL.strip()}, pairs AS ({_pairs(("activity", "customers", "order_items", "orders", "products"))})
     SELECT table_name, col_a, col_b, round(r, 3) AS pearson_r,
            CASE WHEN abs(r) > 0.8 THEN 'very_strong' ELSE 'strong' END AS strength,
            EXISTS (SELECT 1 FROM cl WHERE cl.table_name = pairs.table_name AND category = 'revenue'

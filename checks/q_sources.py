@@ -19,8 +19,7 @@ def _round_trip(fmt: str, text: str):
         df = from_sql(spark, sf, text)
         path = scratch_path(spark, fmt)
         if fmt in ("csv", "tsv"):
-            sep = "\t" if fmt == "tsv" else ","
-            df.write.option("header", True).option("sep", sep).csv(path)
+            files.write_csv(df, path, "\t" if fmt == "tsv" else ",")
             back = files.read_csv(spark, path) if fmt == "csv" else files.read_tsv(spark, path)
         elif fmt == "jsonl":
             df.write.json(path)
@@ -39,6 +38,12 @@ for _fmt in ("csv", "tsv", "jsonl", "parquet"):
     QUERIES[f"src_{_fmt}"] = _round_trip(_fmt, _FLAT)
     ORACLE[f"src_{_fmt}"] = _FLAT.format(orders="orders")
 
+# whole texts: quotes, separators and line breaks inside fields
+_TEXTS = "SELECT doc_id, lang, text, source FROM {documents}"
+for _fmt in ("csv", "tsv"):
+    QUERIES[f"src_{_fmt}_texts"] = _round_trip(_fmt, _TEXTS)
+    ORACLE[f"src_{_fmt}_texts"] = _TEXTS.format(documents="documents")
+
 
 def _documents(spark, sf):
     """JSON documents: each file holds an array of a bounded number of records."""
@@ -122,6 +127,11 @@ def _hash_sample(spark, sf):
 
 
 QUERIES["sample_hash"] = _hash_sample
+ORACLE["sample_hash"] = over_views(
+    """SELECT status, count(*) AS rows FROM v_orders
+       WHERE ('0x' || substr(sha256(CAST(order_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 10 GROUP BY status""",
+    ["orders"],
+)
 
 _KEYS = {"orders": ["order_id"], "customers": ["customer_id"], "products": ["product_id"]}
 _REFS = {"orders": ["customer_id"], "order_items": ["order_id", "product_id"]}

@@ -69,11 +69,10 @@ def test_aggregate_over_tables(spark):
     assert got["missingness"] == 80.0 and got["table_count"] == 2
 
 
-def test_nulls_equal_nulls_in_repeats_by_both_methods(spark):
+def test_nulls_equal_nulls_in_repeats(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "a"), (None, "a"), (2, "b")], "i int, s string")
-    for method in ("columns", "digest"):
-        got = D.duplicate_rows(df, "t", method).first()
-        assert (got["row_count"], got["duplicate_rows"]) == (5, 2)
+    got = D.duplicate_rows(df, "t").first()
+    assert (got["row_count"], got["duplicate_rows"]) == (5, 2)
 
 
 def test_structure_of_a_known_frame(spark):
@@ -87,3 +86,19 @@ def test_structure_of_a_known_frame(spark):
     assert got["duplicate_rows"] == 5 and got["columns_fully_null"] == 1
     assert got["constant_columns"] == ["constant"] and got["suspicious_id_columns"] == ["id"]
     assert got["columns_with_nulls"] == 1
+
+
+def test_repeated_rows_are_equal_rows(spark):
+    from assay.operators.duplicates import duplicate_rows
+
+    one = lambda df: rows(duplicate_rows(df, "t"))[0]["duplicate_rows"]
+    at = "timestamp_ntz'2024-01-01 00:00:00.000001'"
+    twins = spark.sql(f"SELECT {at} AS t, array(1) AS a UNION ALL SELECT {at} + INTERVAL 1 MICROSECOND, array(1)")
+    assert one(twins) == 0 and one(twins.unionAll(twins)) == 2
+    long = "x" * 300
+    shas = spark.sql(f"SELECT '{long}' AS s UNION ALL SELECT concat('sha256:', sha2('{long}', 256))")
+    assert one(shas) == 0 and one(shas.unionAll(shas.limit(1))) == 1
+    zeros = spark.createDataFrame([(0.0, [0.0]), (-0.0, [-0.0])], "d double, a array<double>")
+    assert one(zeros) == 1
+    wide = spark.range(4).selectExpr(*[f"id % 2 AS c{i}" for i in range(70)], "map('a', id % 2) AS m")
+    assert one(wide) == 2 and one(spark.range(0)) == 0
