@@ -264,17 +264,24 @@ def _statistics(lake: Lake, patterns: bool, as_of: str | None) -> DataFrame:
 # --- frequency pass -----------------------------------------------------------
 
 _DIGEST = "concat('sha256:', sha2({x}, 256))"
+# A text that looks like a digest is counted by its own, so no text can be taken for another's digest.
+_BY_DIGEST = f"(length({{x}}) > {DIGEST_ABOVE} OR startswith({{x}}, 'sha256:'))"
+# to the microsecond, and with nulls: values that differ have different texts
+_JSON = (
+    "to_json({x}, map('timestampFormat', 'yyyy-MM-dd''T''HH:mm:ss.SSSSSSXXX', "
+    "'timestampNTZFormat', 'yyyy-MM-dd''T''HH:mm:ss.SSSSSS', 'ignoreNullFields', 'false'))"
+)
 
 
 def _text_sql(f: T.StructField) -> str:
     """A column that is neither integral nor fractional, as text or as a digest of it."""
     c = quoted(f.name)
     if isinstance(f.dataType, T.StringType):
-        return f"IF(length({c}) > {DIGEST_ABOVE}, {_DIGEST.format(x=c)}, {c})"
+        return f"IF({_BY_DIGEST.format(x=c)}, {_DIGEST.format(x=c)}, {c})"
     if isinstance(f.dataType, T.BinaryType):
         return _DIGEST.format(x=c)
     if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return _DIGEST.format(x=f"to_json({c})")
+        return _DIGEST.format(x=_JSON.format(x=c))
     return f"CAST({c} AS STRING)"
 
 
@@ -320,10 +327,12 @@ def _distinct(freq: DataFrame) -> DataFrame:
 
 def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
     """(cid, tops): the row limit is applied in each task before the shuffle."""
+    decimals = [str(r[0]) for r in lake.rows if r[4].startswith("decimal")]
+    by_value = f"CASE WHEN cid IN ({', '.join(decimals)}) THEN try_cast(txt AS DOUBLE) END, " if decimals else ""
     best = (
         freq.selectExpr(
             "*",
-            "row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, txt) AS rank",
+            f"row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, {by_value}txt) AS rank",
         )
         .where(f"rank <= {int(top_n)}")
         .selectExpr(
@@ -345,7 +354,7 @@ def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
     long = lake.long("string", lambda f: quoted(f.name))
     if long is None:
         return best
-    long = long.where(f"length(v) > {DIGEST_ABOVE}").selectExpr(
+    long = long.where(_BY_DIGEST.format(x="v")).selectExpr(
         "cid", f"{_DIGEST.format(x='v')} AS value", "v"
     )
     # at most top_n rows per column, so this side is bounded by the schema

@@ -142,3 +142,19 @@ def test_frequencies_are_shuffled_once_and_pruned(spark):
     assert "l_comment" not in plan and "l_shipdate" not in plan
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+
+
+def test_values_are_told_apart(spark):
+    long = "x" * 300
+    texts = spark.sql(f"SELECT '{long}' AS s UNION ALL SELECT concat('sha256:', sha2('{long}', 256))")
+    got = P.column_profile(texts, "t", parts=(P.STATS, P.DISTINCT, P.TOP)).first()
+    assert got["unique_count"] == 2 and {v["value"] for v in got["top_values"]} == {r["s"] for r in texts.collect()}
+    at = "timestamp_ntz'2024-01-01 00:00:00.000001'"
+    nested = spark.sql(f"SELECT struct({at} AS t) AS s UNION ALL SELECT struct({at} + INTERVAL 1 MICROSECOND AS t)")
+    assert P.column_profile(nested, "t", parts=(P.STATS, P.DISTINCT)).first()["unique_count"] == 2
+
+
+def test_decimals_tie_by_value(spark):
+    df = spark.sql("SELECT CAST(v AS DECIMAL(10, 2)) AS d FROM VALUES (100), (9), (10) AS t(v)")
+    got = P.column_profile(df, "t", parts=(P.STATS, P.TOP)).first()
+    assert [v["value"] for v in got["top_values"]] == ["9.00", "10.00", "100.00"]
