@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions import join_by_run
 from assay.kpi import detect
 from assay.operators import (
     duplicates, hidden, missing, privacy, profile, quality, readiness, relate, semantics, structure,
@@ -78,6 +79,20 @@ def report_rows(found: Mapping[str, DataFrame], label: str) -> DataFrame:
     return report.withColumn("kpis", F.coalesce("kpis", F.lit(0).cast("bigint")))
 
 
+def stored_profile(tables: Mapping[str, DataFrame], run_id: str, as_of: str) -> DataFrame:
+    """The profile of a run. Top values of personal columns are masked before anything is written.
+
+    Which columns are personal follows from names and counts, so the profile without top values is stored
+    first; it holds no text of the data.
+    """
+    parts = [p for p in profile.ALL_PARTS if p != profile.TOP]
+    base = runs.materialize(profile.profile_tables(tables, run_id=run_id, as_of=as_of, parts=parts))
+    tops = profile.profile_tables(tables, run_id=run_id, as_of=as_of, parts=(profile.STATS, profile.TOP))
+    tops = tops.select("run_id", "table_name", "column_name", "top_values")
+    whole = join_by_run(base.drop("top_values"), tops, ["table_name", "column_name"], "left").select(*base.columns)
+    return runs.materialize(privacy.mask_top_values(whole, privacy.pii_columns(base)))
+
+
 def diagnose(
     tables: Mapping[str, DataFrame],
     root: str,
@@ -93,14 +108,14 @@ def diagnose(
     else reads those two results. Top values of personal columns are masked
     before the profile is stored.
     """
-    prof = runs.materialize(profile.profile_tables(tables, run_id=run_id, as_of=as_of))
+    prof = stored_profile(tables, run_id, as_of)
     dups = runs.materialize(duplicates.duplicates(tables, run_id), "duplicates")
     found = findings(prof, dups, as_of, industry)
     counts = prof.groupBy("table_name").agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("row_count"))
     assets = inventory.table_inventory(prof.sparkSession, tables, label or "default")
     artifacts = {
         "schema": prof.select("table_name", "column_name", "ordinal", "data_type", "null_count"),
-        "profile": privacy.mask_top_values(prof, found["pii"]),
+        "profile": prof,
         "assets_inventory": assets,
         "sampling_manifest": sampling.sampling_plan(counts),
         "report_data": report_rows(found, label),

@@ -1,6 +1,7 @@
 from conftest import rows
+from pyspark.sql import functions as F
 
-from assay.diagnose import diagnose
+from assay.diagnose import diagnose, stored_profile
 from assay.operators.structure import input_file_bytes
 from assay.sinks import runs
 from checks.lake import AS_OF, lake
@@ -22,6 +23,19 @@ def test_a_run_is_stored_masked_and_comparable(spark, tmp_path):
     assert {r["artifact"] for r in rows(runs.list_artifacts(spark, root))} == set(stored)
 
 
+def test_no_raw_value_is_written_on_the_way(spark, tmp_path, monkeypatch):
+    scratch = tmp_path / "scratch"
+    monkeypatch.setattr("assay.session.shared_dir", lambda _: str(scratch))
+    tables = {"people": spark.range(20).selectExpr("id", "concat('user', id, '@example.com') AS email")}
+    prof = stored_profile(tables, "007", "2024-01-01")
+    assert len(prof.where("column_name = 'email'").first()["top_values"]) > 0
+    folders = list(scratch.iterdir())
+    assert folders
+    for folder in folders:
+        text = spark.read.parquet(str(folder)).select(F.to_json(F.struct("*")).alias("t"))
+        assert text.where("t LIKE '%@example.com%'").count() == 0
+
+
 def test_file_bytes(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     got = input_file_bytes(df).first()
