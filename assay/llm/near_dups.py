@@ -458,3 +458,33 @@ def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("hash"))
     first = rows.filter("worded").join(chosen, same, "left_semi").dropDuplicates(["doc_id", "mark"])
     return first.select("record.*").unionByName(rows.filter("NOT worded").select("record.*"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g
+    FROM d WHERE len(w) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY ALL
+), link AS (
+    SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+    SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM d
+    UNION
+    SELECT r.x, l.y FROM reach r JOIN both_ways l ON r.y = l.x
+), least AS (
+    SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least ON x = doc_id LEFT JOIN n USING (doc_id)
+"""

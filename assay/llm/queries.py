@@ -7,7 +7,7 @@ from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
 from assay.llm.language_model import op7_language_model
 from assay.llm.licenses import OP8_SQL, op8_licenses
 from assay.llm.mixing import op6_mixing
-from assay.llm.near_dups import op4_near_dups
+from assay.llm.near_dups import OP4_SQL, op4_near_dups
 from assay.llm.quality_classifier import op9_quality
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
@@ -29,6 +29,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_warc": OP1_SQL,
+    "op4_near_dups": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_licenses": OP8_SQL,
 }
