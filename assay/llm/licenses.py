@@ -4,13 +4,17 @@ Texts are normalised to lower-case words without punctuation. A unit of a docume
 the set of its word bigrams; it matches a template if 2 * shared / (both sizes) reaches ``at_least``. Since the shared part
 can't exceed the smaller set, only units with sizes between t / (2 - t) and (2 - t) / t of the template's can match; others
 are not compared.
+
+Notices that are no unit, such as one wrapped over some lines or within a sentence, are found as passages: runs of words, of
+any length and across lines, whose bigrams pass the same test. The best run begins and ends in a bigram of the template, so
+all runs from each of these are tried, in texts that hold t / (2 - t) of a template's bigrams.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,15 +111,25 @@ def scan(
 ) -> DataFrame:
     """The matches in ``docs`` (doc_id, text): ``doc_id``, ``line``, ``licence``, ``template`` and ``dice``.
 
-    A row for each unit and template that match. ``line`` counts from 1, as line feeds split the text; 0 is the whole text,
-    which stands alone if it is one line. Null and wordless units match nothing; repeated rows match each for itself.
-    Templates are a bounded list and become a constant of the plan.
+    A row for each unit and template that match, and for each passage beyond them (see ``passages``). ``line`` counts from 1,
+    as line feeds split the text; 0 is the whole text, which stands alone if it is one line; that of a passage is the line it
+    begins in. Null and wordless units match nothing; repeated rows match each for itself. Templates are a bounded list and
+    become a constant of the plan.
     """
-    low, high = at_least / (2 - at_least), (2 - at_least) / at_least
+    return _units(docs, templates, at_least).unionByName(passages(docs, templates, at_least))
+
+
+def _known(templates: Sequence[tuple[str, str]]) -> Column:
     known = [{"template": t, "licence": n, "size": len(g), "grams": g} for t, n, g in template_sets(templates)]
-    known = F.from_json(
+    return F.from_json(
         F.lit(json.dumps(known)), "array<struct<template:string,licence:string,size:int,grams:array<string>>>"
     )
+
+
+def _units(docs: DataFrame, templates: Sequence[tuple[str, str]], at_least: float) -> DataFrame:
+    """Whole texts and lines that match."""
+    low, high = at_least / (2 - at_least), (2 - at_least) / at_least
+    known = _known(templates)
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
     unit = lambda at, value: F.struct(at.alias("line"), value.alias("unit"))
@@ -134,6 +148,128 @@ def scan(
     return units.select("doc_id", "line", F.inline(matched))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _without(rows: Column, order: Callable[[Column], Column], clash: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The array's elements in this order, each unless it clashes with one kept before it."""
+    ordered = F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(order(x).alias("o"), x.alias("x")))), lambda x: x["x"])
+    add = lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.array_append(kept, x))
+    return F.aggregate(ordered, F.array().cast(f"array<{kind}>"), add)
+
+
+RUN = "struct<dice:double,shared:int,first:int,last:int>"
+PASSAGE = "struct<dice:double,shared:int,first:int,template:string,licence:string,grams:array<string>,last:int,hits:array<int>>"
+
+
+def passages(
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, at_least: float = AT_LEAST
+) -> DataFrame:
+    """Runs of words that match a template, in the form of ``scan``, but for those in a whole text or line that matches it.
+
+    Of runs of one template that overlap, the most similar counts. Of templates that share bigrams of the text, the one with
+    the most of them counts, as the others are its relatives (LGPL in GPL), and all of them where they are equal.
+    """
+    low, high = at_least / (2 - at_least), (2 - at_least) / at_least
+    sets = template_sets(templates)
+    every = list(dict.fromkeys(g for _, _, grams in sets for g in grams))
+    single = any(" " not in g for g in every)
+    known = _known(templates)
+
+    # Arrays used in a lambda stand in a column that is named twice, so that it isn't made anew for every element.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", normalised(F.col("text")))
+    grams = F.concat(bigrams(F.col("w")), F.array_distinct("w")) if single else bigrams(F.col("w"))
+    found = found.select("doc_id", "text", grams.alias("grams"))
+    every = F.from_json(F.lit(json.dumps(every)), "array<string>")
+    found = found.select("doc_id", "text", F.array_intersect("grams", every).alias("seen"))
+    enough = lambda t, here: F.size(F.array_intersect(here, t["grams"])) >= low * t["size"] - 1e-9
+    near = F.filter(known, lambda t: (F.size("seen") > 0) & enough(t, F.col("seen")))
+    found = found.select("doc_id", F.inline(F.filter(F.array(F.struct("text", near.alias("near"))), lambda x: F.size(x["near"]) > 0)))
+
+    by_line = F.transform(F.split("text", "\n"), normalised)
+    found = found.select("doc_id", "near", F.inline(F.array(F.struct(by_line.alias("lines")))))
+    numbers = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))
+    found = found.select("doc_id", "near", "lines", F.inline(F.array(F.struct(F.flatten("lines").alias("w"), numbers.alias("number")))))
+    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
+    found = found.select("*", F.inline(F.array(F.struct(two.alias("pairs")))))
+
+    def before(of: Column) -> Column:
+        """For each element the place of the equal one before it, or -1."""
+        placed = F.array_sort(F.transform(of, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        earlier = lambda s, x, k: F.when((k > 0) & (F.get(s, k - 1)["x"] == x["x"]), F.get(s, k - 1)["i"]).otherwise(-1)
+        linked = _let(placed, lambda s: F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), earlier(s, x, k).alias("p"))))
+        return F.transform(F.array_sort(linked), lambda x: x["p"])
+
+    more = [before(F.col("pairs")).alias("pairs_before")] + ([before(F.col("w")).alias("w_before")] if single else [])
+    found = found.select("*", F.inline(F.array(F.struct(*more))))
+
+    def runs(t: Column, e: Column, previous: Column) -> Column:
+        hit = F.transform(e, lambda x: F.array_contains(t["grams"], x))
+        return _let(hit, lambda hit: of_hits(t, e, previous, hit))
+
+    def of_hits(t: Column, e: Column, previous: Column, hit: Column) -> Column:
+        far = F.ceil(2 * high * t["size"]).cast("int") + 1
+        # Once a stretch has more bigrams of its own than can match, longer ones needn't be tried.
+        reach = lambda a: F.when(
+            F.size(F.array_distinct(F.slice(e, a + 1, far))) > high * t["size"] + 1e-9, far
+        ).otherwise(F.size(e) - a)
+
+        def step(s: Column, x: Column, a: Column) -> Column:
+            new = F.get(previous, x) < a
+            own, shared = s["own"] + new.cast("int"), s["shared"] + (new & F.get(hit, x)).cast("int")
+            now = 2.0 * shared / (own + t["size"])
+            better = now > s["best"]["dice"]
+            run = F.struct(now.alias("dice"), shared.alias("shared"), a.alias("first"), x.alias("last"))
+            return F.struct(own.alias("own"), shared.alias("shared"), F.when(better, run).otherwise(s["best"]).alias("best"))
+
+        def best(x: Column) -> Column:
+            a, zero = x["a"], F.lit(0)
+            none = F.struct(F.lit(0.0).alias("dice"), zero.alias("shared"), a.alias("first"), a.alias("last"))
+            start = F.struct(zero.alias("own"), zero.alias("shared"), none.alias("best"))
+            return F.aggregate(F.sequence(a, a + x["n"] - 1), start, lambda s, at: step(s, at, a), lambda s: s["best"])
+
+        starts = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+        starts = F.transform(starts, lambda a: F.struct(a.alias("a"), reach(a).alias("n")))
+        starts = F.filter(starts, lambda x: enough(t, F.slice(e, x["a"] + 1, x["n"])))
+        good = F.filter(F.transform(starts, best), lambda r: r["dice"] >= at_least)
+        order = lambda r: F.struct(-r["dice"], r["first"])
+        overlap = lambda x, y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+        return F.transform(
+            _without(good, order, overlap, RUN),
+            lambda r: F.struct(
+                r["dice"].alias("dice"), r["shared"].alias("shared"), r["first"].alias("first"),
+                t["template"].alias("template"), t["licence"].alias("licence"), t["grams"].alias("grams"), r["last"].alias("last"),
+                F.filter(F.sequence(r["first"], r["last"]), lambda i: F.get(hit, i)).alias("hits"),
+            ),
+        )
+
+    def of_template(t: Column) -> Column:
+        in_pairs = runs(t, F.col("pairs"), F.col("pairs_before"))
+        if not single:
+            return in_pairs
+        return F.when(F.contains(F.get(t["grams"], F.lit(0)), F.lit(" ")), in_pairs).otherwise(runs(t, F.col("w"), F.col("w_before")))
+
+    equal = lambda x, y: (x["shared"] == y["shared"]) & (x["dice"] == y["dice"]) & (x["template"] != y["template"])
+    clash = lambda x, y: F.arrays_overlap(x["hits"], y["hits"]) & ~equal(x, y)
+    order = lambda x: F.struct(-x["shared"], -x["dice"], x["template"], x["first"])
+    kept = _without(F.flatten(F.transform("near", of_template)), order, clash, PASSAGE)
+
+    def matches(words: Column, t: Column) -> Column:
+        dice = lambda g: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"])) >= at_least
+        return _let(bigrams(words), dice)
+
+    line = lambda i: F.get("number", i)
+    touched = lambda x: F.slice("lines", line(x["first"]), line(x["last"]) - line(x["first"]) + 1)
+    beyond = F.filter(kept, lambda x: ~matches(F.col("w"), x) & ~F.exists(touched(x), lambda words: matches(words, x)))
+    rows = F.transform(
+        beyond,
+        lambda x: F.struct(line(x["first"]).alias("line"), x["licence"].alias("licence"), x["template"].alias("template"), x["dice"].alias("dice")),
+    )
+    return found.select("doc_id", F.inline(rows))
+
+
 def op8_licenses(spark, folder):
     """All matches in all documents."""
     return scan(table(spark, folder, "documents").select("doc_id", "text"))

@@ -33,6 +33,63 @@ def test_matches_are_those_of_all_templates(spark):
     assert {i: sorted(m) for i, m in got.items()} == want and len(want) > len(TEMPLATES)
 
 
+def runs(text, template, at_least=0.8):
+    """Whether any run of words matches, by trying all of them."""
+    import re
+
+    w = [x for x in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()) if x]
+    pairs = w if " " not in template[0] else [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    best = 0
+    for a in range(len(pairs)):
+        for b in range(a + 1, len(pairs) + 1):
+            g = set(pairs[a:b])
+            best = max(best, 2 * len(g & set(template)) / (len(g) + len(template)))
+    return best if best >= at_least else None
+
+
+def test_notices_inside_a_text(spark):
+    """Wrapped, in a sentence, with words put in, between prose, beside another."""
+    import textwrap
+
+    prose = "".join(f"line {i} of{i} the{i} program and{i} of the case any{i} other{i} use{i} i{i} j{i} k{i} l{i}\n" for i in range(30))
+    wrapped = "\n".join(" * " + x for x in textwrap.wrap(TEMPLATES[3][1], 70))
+    apache = "\n".join("dnl " + x for x in textwrap.wrap(TEMPLATES[5][1], 70))
+    sentence = "The library that we describe was Released under the MIT License. See the file for more on that and all else."
+    texts = [
+        prose + wrapped + "\n" + prose, prose + apache + "\n" + prose.upper(), sentence, prose + sentence + "\n" + wrapped + "\n" + prose,
+        "It is said this work is licensed under the GNU Lesser General Public License, version 3, and many more words follow here.",
+        "Permission of the software to deal in the software without any of the notices. " * 5, wrapped + " and " + apache,
+    ]
+    got = {}
+    for r in scan(documents(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.template, round(r.dice, 9)))
+    names = {t: g for t, _, g in template_sets()}
+    best = lambda i, t: round(runs(texts[i - 1], names[t]), 9)
+    end = wrapped.count("\n") + 1
+    assert {i: sorted(m) for i, m in got.items()} == {
+        1: [(31, "MIT 3", 1.0)], 2: [(31, "Apache-2.0 5", best(2, "Apache-2.0 5"))], 3: [(1, "MIT 0", 1.0)],
+        4: [(31, "MIT 0", 1.0), (32, "MIT 3", 1.0)], 5: [(1, "LGPL-3.0 8", 1.0)],
+        7: [(1, "MIT 3", 1.0), (end, "Apache-2.0 5", best(7, "Apache-2.0 5"))],
+    }
+    assert 0.8 < best(2, "Apache-2.0 5") < 1
+
+
+def test_the_best_run_is_that_of_all_runs(spark):
+    import random
+
+    rng, templates = random.Random(3), [("A", "a b c a d e f g"), ("B", "x")]
+    texts = [" ".join(rng.choice("abcdefgz") for _ in range(4)) + " " + " ".join(
+        x for y in "abcadefg" for x in ([y, "z"] if rng.random() < 0.12 else [] if rng.random() < 0.1 else [y])
+    ) + " " + " ".join(rng.choice("abcdzz") for _ in range(12)) for _ in range(60)]
+    texts += ["q x q\np1 p2 p3 p4 p5 p6 " + "a b " * 40 + "c a d e f g p7 p8 p9"]
+    got = {}
+    for r in scan(documents(spark, texts), templates).collect():
+        got[r.doc_id, r.template] = max(r.dice, got.get((r.doc_id, r.template), 0))
+    sets = template_sets(templates)
+    want = {(i, t): b for i, x in enumerate(texts, 1) for t, _, g in sets if (b := runs(x, g))}
+    assert got == want and 10 < len(want) < 61 and (61, "B 1") in want
+
+
 def test_no_rows(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert scan(documents(spark, ["MIT"]), templates=[]).count() == 0
