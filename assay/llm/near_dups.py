@@ -1,8 +1,9 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Documents with equal shingle sets form one class. Every class gets ``SIG`` minwise hashes. In each of ``trees`` independent
-trees, a node picks one coordinate of the signature, and a second one for a quarter of the nodes, so that a pair at the
-wanted similarity is expected to stay together on one branch; classes that agree at a picked coordinate go to the same child.
+Documents with equal shingle sets form one class. Every class gets ``OWN`` minwise hashes for each of ``trees`` trees, which
+share none and so are independent. A node picks one coordinate of its tree's, and further ones (at 0.8 a second one for a
+quarter of the nodes), so that a pair at the wanted similarity is expected to stay together on one branch; classes that agree
+at a picked coordinate go to the same child.
 Nodes of at most ``LEAF`` classes are compared exhaustively. Larger ones compare all members with one of them and branch on,
 until they are small or branching no longer parts them; the rest is compared in blocks. Members already known to be connected need no comparison: a node mostly
 of one component ends, and the classes that met the component there are compared with all of it, once for all trees. So a
@@ -11,6 +12,7 @@ large group of near copies costs comparisons in proportion to its size and to th
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,15 +26,11 @@ from assay.llm.components import components
 from assay.llm.store import table, written
 from assay.llm.text import words
 
-SIG, TREES, DEPTH, LEAF, BLOCK = 64, 16, 10, 16, 128
-#: Of the 64 two-bit marks, a pair of similarity 0.8 agrees in 54.4 with a deviation of 2.9; 42 is 4.3 deviations off.
-AGREE = 42
+SIG, OWN, TREES, DEPTH, LEAF, BLOCK = 64, 16, 16, 10, 16, 128
+TREE = np.uint64(0xFFF)  # the bits of a node's number that tell its tree
 #: Where a level leaves more than this share of the rows in large nodes, they are alike and further branching is in vain.
 SHRINK = 0.8
 FEW = 1_000_000  # keys of 16 bytes that may be broadcast
-_RNG = np.random.default_rng(20240607)
-FACTORS = _RNG.integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-TERMS = _RNG.integers(0, 1 << 63, SIG, dtype=np.uint64)
 ODD, ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 PAIRS = np.uint64(0x5555555555555555)
 NODES = "node long, key binary, n int, sketch binary"
@@ -66,16 +64,25 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(ids[:-1] * ODD + ids[1:]))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    least = np.full(SIG, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        np.minimum(least, (found[at : at + 4096, None] * FACTORS + TERMS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+@functools.cache
+def _hashing(trees: int) -> tuple[np.ndarray, np.ndarray]:
+    rng, width = np.random.default_rng(20240607), max(SIG, trees * OWN)
+    factors = rng.integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 1 << 63, width, dtype=np.uint64)
+
+
+def signature(found: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """Minwise values of a set, ``OWN`` for each tree, 16 bits of each."""
+    factors, terms = _hashing(trees)
+    least = np.full(len(terms), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (found[at : at + 1024, None] * factors + terms).min(axis=0), out=least)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 16 bytes a row."""
-    two = mix(sig.astype(np.uint64)) & np.uint64(3)
+    """Two bits of each of the first SIG coordinates, 16 bytes a row."""
+    two = mix(sig[:, :SIG].astype(np.uint64)) & np.uint64(3)
     shift = np.uint64(2) * np.arange(32, dtype=np.uint64)
     return np.bitwise_or.reduce(two.reshape(len(sig), 2, 32) << shift, axis=2)
 
@@ -85,16 +92,26 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return SIG - np.bitwise_count((x | (x >> np.uint64(1))) & PAIRS).sum(axis=-1, dtype=np.int64)
 
 
+def agree(ratio: float) -> int:
+    """In how many marks a pair of this similarity agrees at least, 4.3 deviations below the mean (42 of 64 at 0.8)."""
+    p = ratio + (1 - ratio) / 4
+    return max(0, int(SIG * p - 4.3 * (SIG * p * (1 - p)) ** 0.5))
+
+
 def _matrix(column: pd.Series, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), width)
 
 
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
 def _bytes(rows: np.ndarray) -> list[bytes]:
     data, width = np.ascontiguousarray(rows).tobytes(), rows.shape[1] * rows.itemsize
     return [data[i : i + width] for i in range(0, len(data), width)]
 
 
-def featured(docs: DataFrame) -> DataFrame:
+def featured(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, mark (hash of the text), n (set size), key (of the set) and sig."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +122,7 @@ def featured(docs: DataFrame) -> DataFrame:
                 found = shingles(text, hashes)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sigs.append(signature(found).tobytes() if len(found) else None)
+                sigs.append(signature(found, trees).tobytes() if len(found) else None)
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "mark": batch["mark"], "n": sizes, "key": keys, "sig": sigs}
             )
@@ -116,33 +133,38 @@ def featured(docs: DataFrame) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _branch(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of nodes and the row each comes from."""
-    pick = mix(node ^ ODD)
-    rows = np.arange(len(node))
-    one = (pick % np.uint64(SIG)).astype(int)
-    more = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(4) == 0)
-    two = ((one[more] + 1 + (pick[more] >> np.uint64(40)).astype(int) % (SIG - 1)) % SIG).astype(int)
-    rows, places = np.concatenate([rows, rows[more]]), np.concatenate([one, two])
-    value = sig[rows, places].astype(np.uint64) * np.uint64(SIG) + places.astype(np.uint64)
-    return mix(node[rows] * ODD + mix(value)), rows
+def _roots(trees: int) -> np.ndarray:
+    tree = np.arange(trees, dtype=np.uint64)
+    return mix(tree + np.uint64(1)) & ~TREE | tree
 
 
-def _grown(levels: int, trees: int):
+def _branch(node: np.ndarray, sig: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Children of nodes and the row each comes from."""
+    pick, tree = mix(node ^ ODD), (node & TREE).astype(int)
+    first = (pick % np.uint64(OWN)).astype(int)
+    step = (pick >> np.uint64(8)).astype(np.uint8).astype(int) | 1  # odd, so that OWN picks differ
+    count = (1 / ratio + (pick >> np.uint64(32)).astype(float) / 2**32).astype(int).clip(1, OWN)
+    rows = np.concatenate([np.flatnonzero(count > c) for c in range(count.max(initial=1))])
+    nth = np.concatenate([np.full((count > c).sum(), c) for c in range(count.max(initial=1))])
+    places = tree[rows] * OWN + (first[rows] + nth * step[rows]) % OWN
+    value = sig[rows, places].astype(np.uint64) * np.uint64(sig.shape[1]) + places.astype(np.uint64)
+    return mix(node[rows] * ODD + mix(value)) & ~TREE | node[rows] & TREE, rows
+
+
+def _grown(levels: int, trees: int, ratio: float):
     """Rows of (key, n, sig[, node]) to their nodes ``levels`` further down; without node, from the roots."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 batch = whole.iloc[at : at + 2000]
-                sig = _matrix(batch["sig"], np.uint32, SIG)
+                sig = _signatures(batch["sig"])
                 if "node" in batch:
                     node, rows = batch["node"].to_numpy().astype(np.uint64), np.arange(len(batch))
                 else:
-                    roots = mix(np.arange(1, trees + 1, dtype=np.uint64))
-                    node, rows = np.repeat(roots, len(batch)), np.tile(np.arange(len(batch)), trees)
+                    node, rows = np.repeat(_roots(trees), len(batch)), np.tile(np.arange(len(batch)), trees)
                 for _ in range(levels):
-                    node, origin = _branch(node, sig[rows])
+                    node, origin = _branch(node, sig[rows], ratio)
                     rows = rows[origin]
                 marks, keys = np.array(_bytes(sketch(sig)), object), batch["key"].to_numpy()
                 yield pd.DataFrame(
@@ -159,7 +181,7 @@ def _grown(levels: int, trees: int):
 
 def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, ratio: float) -> np.ndarray:
     """Whether sizes and sketches allow the similarity."""
-    return (np.minimum(n, m) >= ratio * np.maximum(n, m)) & (agreement(a, b) >= AGREE)
+    return (np.minimum(n, m) >= ratio * np.maximum(n, m)) & (agreement(a, b) >= agree(ratio))
 
 
 def _compare_neighbours(ratio: float):
@@ -296,12 +318,12 @@ def near_duplicates(
     component. Rows that repeat a doc_id are judged by their own texts. A null doc_id is never the smallest unless all are
     null, in which case component_id is null and the row is kept.
 
-    A pair at ``percent`` 80 stays together in a tree to depth 10 with probability 0.36, so 16 trees find 0.999 of such
-    pairs there, and more where nodes get small sooner; more similar pairs are found more surely.
+    A pair at ``percent`` 80 stays together in a tree to depth 10 with probability 0.36, so 16 trees, with coordinates of
+    their own, find 0.999 of such pairs there, and more where nodes get small sooner; more similar pairs are found more surely.
     """
     ratio = percent / 100
     docs = docs.select("doc_id", "text")
-    features = written(featured(docs), "near-features")
+    features = written(featured(docs, trees), "near-features")
     classes = written(
         features.filter("n > 0").groupBy("key").agg(
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"),
@@ -310,7 +332,7 @@ def near_duplicates(
         "near-classes",
     )
     known, found, met, before = None, [], [], float("inf")  # known: (key, label) of classes with links so far
-    frontier = classes.select("key", "n", "sig").mapInPandas(_grown(2, trees), NODES)
+    frontier = classes.select("key", "n", "sig").mapInPandas(_grown(2, trees, ratio), NODES)
     for level in range(2, depth + 1):
         pairs, large, led = _compare_level(frontier, known, ratio, level == 2)
         found.append(written(pairs.distinct(), f"near-pairs-{level}"))
@@ -327,7 +349,7 @@ def near_duplicates(
         before = left
         if level < depth:
             joined = large.select("node", "key").join(classes.select("key", "n", "sig"), "key")
-            frontier = written(joined.mapInPandas(_grown(1, trees), NODES), f"near-nodes-{level + 1}")
+            frontier = written(joined.mapInPandas(_grown(1, trees, ratio), NODES), f"near-nodes-{level + 1}")
     if found:
         fresh = written(_apart(_union(found).distinct(), known), "near-pairs")
         edges = edges.unionByName(written(confirmed(fresh, classes, docs, percent), "near-edges"))
@@ -433,7 +455,7 @@ def _exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, percent:
 
     @F.pandas_udf("binary")
     def sketched(sig: pd.Series) -> pd.Series:
-        return pd.Series(_bytes(sketch(_matrix(sig, np.uint32, SIG))) if len(sig) else [], dtype=object)
+        return pd.Series(_bytes(sketch(_signatures(sig))) if len(sig) else [], dtype=object)
 
     texts = texts_of(units.select("key").distinct(), classes, docs).join(classes.select("key", "n", "sig"), "key")
     texts = texts.select("key", "n", "text", sketched("sig").alias("sketch"))

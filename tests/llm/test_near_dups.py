@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from assay.llm import near_dups
@@ -91,6 +92,27 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
 
 
+@pytest.mark.parametrize("similarity,depth", [(0.8, 8), (0.8, 10), (0.82, 10)])
+def test_trees_are_independent(similarity, depth):
+    """Of simulated pairs, each coordinate equal with this probability, 0.999 share a node of some tree at this depth."""
+    rng, trees, pairs, met = np.random.default_rng(1), near_dups.TREES, 2000, 0
+    width = len(near_dups.signature(np.arange(9, dtype=np.uint64)))
+    for _ in range(10):
+        a = rng.integers(0, 1 << 16, (pairs, width), dtype=np.uint16)
+        b = np.where(rng.random((pairs, width)) < similarity, a, a ^ np.uint16(1))
+        node, rows = np.repeat(near_dups._roots(trees), pairs), np.tile(np.arange(pairs), trees)
+        for _ in range(depth):
+            x, origin = near_dups._branch(node, a[rows], 0.8)
+            y, _ = near_dups._branch(node, b[rows], 0.8)
+            node, rows = x[x == y], rows[origin][x == y]
+        met += len(np.unique(rows))
+    assert met >= 0.999 * 10 * pairs
+
+
+def test_marks_that_must_agree_follow_from_the_threshold():
+    assert [near_dups.agree(x) for x in (0.5, 0.8, 0.9, 1.0)] == [23, 42, 50, 64]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(docs).count() == 0 and without_near_duplicates(docs).count() == 0
