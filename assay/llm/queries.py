@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from assay.llm.decontaminate import OP5_SQL, op5_decontaminate
+from assay.llm.fill_middle import OP13_SQL, op13_fill_middle
 from assay.llm.language_model import op7_language_model
 from assay.llm.licenses import OP8_SQL, op8_licenses
 from assay.llm.mixing import op6_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op13_fill_middle": op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -32,4 +34,5 @@ ORACLE = {
     "op4_near_dups": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_licenses": OP8_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
