@@ -9,6 +9,7 @@ from assay.llm.language_model import op7_language_model
 from assay.llm.licenses import OP8_SQL, op8_licenses
 from assay.llm.mixing import op6_mixing
 from assay.llm.near_dups import OP4_SQL, op4_near_dups
+from assay.llm.pieces import op11_pieces
 from assay.llm.quality_classifier import op9_quality
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pieces": op11_pieces,
     "op13_fill_middle": op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
