@@ -10,6 +10,7 @@ from assay.llm.licenses import OP8_SQL, op8_licenses
 from assay.llm.mixing import op6_mixing
 from assay.llm.near_dups import OP4_SQL, op4_near_dups
 from assay.llm.pieces import op11_pieces
+from assay.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from assay.llm.quality_classifier import op9_quality
 from assay.llm.quality_rules import op10_quality_rules
 from assay.llm.sharding import op2_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_quality_rules": op10_quality_rules,
     "op11_pieces": op11_pieces,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_middle": op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
@@ -36,5 +38,6 @@ ORACLE = {
     "op4_near_dups": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_licenses": OP8_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_fill_middle": OP13_SQL,
 }
