@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.sources.quoted import read_quoted
+
 #: suffixes that count as tables, with their reader
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl"}
 
@@ -21,15 +23,15 @@ def read_csv(
 ) -> DataFrame:
     """Header row; types are inferred unless a schema is given. Dates stay text.
 
-    Fields follow RFC 4180: quoted ones may hold separators, doubled quotes and line breaks. A file in
-    which they may hold line breaks can't be split over tasks; ``multi_line=False`` promises that none
-    does, splits large files, and fails on a record that breaks the promise instead of shifting columns.
-    Inference scans the files once more, so give a schema for large inputs.
+    Fields follow RFC 4180: quoted ones may hold separators, doubled quotes and line breaks, and large
+    files are split over tasks all the same (``sources.quoted``), at the price of two more scans.
+    ``multi_line=False`` promises that no field holds a line break, saves these scans, and fails on a
+    record that breaks the promise. Inference scans the files once more, so give a schema for large inputs.
     """
+    if multi_line:
+        return read_quoted(spark, path, schema, sep)
     reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    if not multi_line:
-        reader = reader.option("mode", "FAILFAST")
+    reader = reader.option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return (
