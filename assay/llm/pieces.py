@@ -26,26 +26,49 @@ from pyspark.sql import types as T
 from assay.llm.store import table
 
 SPACE = "▁"
-#: What a worker remembers: chunks of at most so many characters, and so many chunks or pairs before it begins anew.
-SHORT, REMEMBERED = 48, 400_000
+#: What a worker remembers: chunks of at most so many characters, and twice so many chunks or pairs.
+SHORT, REMEMBERED = 48, 200_000
 
 
 class _Memory(dict):
-    """Results by key; forgets all when it is full."""
+    """Results by key. A full memory becomes the older one, and what isn't asked for again is forgotten with that."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, key):
-        found = self.find(key)
-        if len(key) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = found
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+            if len(key) > SHORT:
+                return found
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
+def _splitter(pieces):
+    """A function that cuts texts where no merge can go across, as the two characters stand side by side in no piece.
+
+    That holds before a space where no piece has one inside, and between letters, with all characters that stand beside them
+    in some piece and beside those, and other characters.
+    """
+    pairs = {(a, b) for piece in pieces for a, b in zip(piece, piece[1:], strict=False)}
+    if any(b == SPACE != a for a, b in pairs):
+        return lambda text: [text] if text else []
+    pairs = {pair for pair in pairs if SPACE not in pair}
+    letters: set[str] = set()
+    more = {c for piece in pieces for c in piece if c.isalpha()}
+    while more:
+        letters |= more
+        more = {c for pair in pairs if letters & {*pair} for c in pair} - letters
+    inside = "".join(map(re.escape, sorted(letters)))
+    return re.compile(f"{SPACE}*[{inside}]+|{SPACE}*[^{inside}{SPACE}]+|{SPACE}+").findall
+
+
 class PrefixTables:
     """The pieces of a model, and encodings by tables of prefixes."""
 
@@ -66,9 +89,7 @@ class PrefixTables:
             if self._merged(piece) is not None:
                 self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
-        # Where no piece has a space behind other characters, no merge goes over the border before a space.
-        inside = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
-        self.chunks = re.compile(".+" if inside else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL).findall
+        self.chunks = _splitter(self.ids)
         self.known = _Memory(self._ids)
         self.beside = _Memory(self._beside)
 
@@ -184,7 +205,9 @@ def decoder(spark: SparkSession, model: bytes):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = tables(shared.value).processor
         for rows in batches:
-            yield pa.array([None if r is None else processor.decode(r) for r in (x.as_py() for x in rows)], pa.string())
+            offsets, ids = rows.offsets.to_numpy().tolist(), rows.values.to_numpy()
+            texts = [processor.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+            yield pa.array(texts, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
     return decode
 
