@@ -12,8 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-#: columns per stack expression; wider tables are split so that generated code
-#: stays small. Each piece scans only its own columns.
+#: columns per stack expression with one value each, fewer with more values; wider
+#: tables are split so that generated code stays small. Each piece scans only its
+#: own columns.
 STACK_WIDTH = 48
 
 
@@ -27,10 +28,11 @@ def long_form(
     output names of the value expressions. None if no column is listed.
     """
     shown = ", ".join(["cid", *names])
+    width = max(8, 2 * STACK_WIDTH // (1 + len(names)))
     pieces = []
     for df, columns in sources:
-        for start in range(0, len(columns), STACK_WIDTH):
-            part = columns[start : start + STACK_WIDTH]
+        for start in range(0, len(columns), width):
+            part = columns[start : start + width]
             args = ", ".join(f"{cid}, {', '.join(values)}" for cid, values in part)
             pieces.append(df.selectExpr(f"stack({len(part)}, {args}) AS ({shown})"))
     return reduce(DataFrame.unionAll, pieces) if pieces else None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import col, literal_rows, percent
+from assay.sinks.runs import materialize
 
 
 def _hash(df: DataFrame) -> Column:
@@ -21,19 +22,33 @@ def _hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
+#: hashes that occur more than once and may be broadcast (16 bytes each); beyond it all rows are grouped
+FEW = 4_000_000
+
+
 def repeated_groups(df: DataFrame) -> DataFrame:
     """(copies, groups): how many distinct rows there are with so many copies.
 
-    A hash per row is counted first. Only rows whose hash repeats, which are few unless rows do repeat,
-    are grouped by all their columns; so equality is Spark's own and the rest of the table isn't shuffled.
+    A 64-bit hash per row is counted first, per task and then over all. Hashes that repeat are broadcast, so that rows which
+    occur once never move, and rows which may repeat are counted in their task before the counts move: a row in a third of the
+    table moves once per task. Equality is Spark's own. With more than ``FEW`` repeated hashes, where most rows repeat anyway,
+    all rows are counted per task and then over all.
     """
     if not df.columns:
         return df.groupBy().agg(F.count("*").alias("copies")).withColumn("groups", F.lit(1).cast("bigint"))
+    hashes = df.select(_hash(df).alias("h"))
+    again = materialize(hashes.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated-hashes")
+    spark, rows = df.sparkSession, df.count()  # reads no column
+    few, copies = again.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    single = literal_rows(spark, "copies bigint, groups bigint", [(1, rows - copies)] if rows > copies else [])
+    if not few:
+        return single
     hashed = df.select(_hash(df).alias("h"), F.struct(*[col(c) for c in df.columns]).alias("row"))
-    counted = hashed.groupBy("h").agg(F.count("*").alias("copies"))
-    single = counted.where("copies = 1").groupBy("copies").agg(F.count("*").alias("groups"))
-    again = hashed.join(counted.where("copies > 1").select("h"), "h", "left_semi")
-    real = again.groupBy("h", "row").agg(F.count("*").alias("copies"))
+    if few > FEW:
+        real = hashed.groupBy("h", "row").agg(F.count("*").alias("copies"))
+        return real.groupBy("copies").agg(F.count("*").alias("groups"))
+    hashed = hashed.join(F.broadcast(again.select("h")), "h", "left_semi")
+    real = hashed.groupBy("h", "row").agg(F.count("*").alias("copies"))
     return single.unionByName(real.groupBy("copies").agg(F.count("*").alias("groups")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import col, join_by_run, missing, numeric_value, type_category
+from assay.operators.profile import frequencies
 
 KEY = ["run_id", "table_name"]
 
@@ -68,22 +69,26 @@ TREATMENTS = (
 )
 
 
-def _mode(df: DataFrame, name: str) -> Column:
-    """The most frequent value, the smallest on ties, as a scalar subquery.
-
-    Counted by value first, so a common value costs a row per task.
-    """
-    counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    return counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v")))).scalar()
+def _fills(df: DataFrame, means: list[str], modes: list[str]) -> dict[str, str | None]:
+    """The mean or the most frequent value (the smallest on ties) of columns, as text: a row of a scan each, however many."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    found: dict[str, str | None] = {}
+    if means:
+        row = df.agg(*[F.avg(numeric_value(n, types[n])).cast("string").alias(str(i)) for i, n in enumerate(means)]).first()
+        found |= {n: row[i] for i, n in enumerate(means)}
+    if modes:
+        counts = frequencies(df.select(*[col(n) for n in modes]), digests=False)
+        value = "coalesce(txt, CAST(lng AS STRING), CAST(dbl AS STRING))"
+        best = counts.groupBy("cid").agg(F.expr(f"min_by({value}, struct(-n, lng, dbl, txt)) AS v")).collect()
+        found |= dict.fromkeys(modes) | {modes[r.cid]: r.v for r in best}
+    return found
 
 
 def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataFrame | None = None) -> DataFrame:
     """Apply treatments per column, e.g. ``{"amount": ["flag", "median"]}``.
 
-    Replacement values are scalar subqueries over the whole table. ``medians`` is a
-    profile of the table with quantiles; without it ``median`` is not available.
+    Replacement values come from the whole table: one scan for all means, one for all modes, none for medians. ``medians``
+    is a profile of the table with quantiles; without it ``median`` is not available.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     for name, steps in plan.items():
@@ -92,20 +97,23 @@ def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataF
             raise ValueError(f"unknown column or treatment: {name} {sorted(unknown)}")
 
     def wants(step: str) -> list[str]:
-        return [n for n, steps in plan.items() if step in steps]
+        return [n for n, steps in plan.items() if step in steps and "drop_column" not in steps]
 
     if wants("median") and medians is None:
         raise ValueError("median needs the table's profile")
-
-    def fill(step: str, name: str) -> Column:
-        if step == "mean":
-            return df.agg(F.avg(numeric_value(name, types[name]))).scalar()
-        if step == "median":
-            return medians.where(F.col("column_name") == name).agg(F.max("median")).scalar()
-        return _mode(df, name)
+    nested = [n for n in wants("mode") if type_category(types[n]) == "complex"]
+    if nested:
+        raise ValueError(f"no mode of nested columns: {nested}")
+    # the first of a column's replacements is the one that counts
+    first = {n: next((s for s in ("mean", "median", "mode") if s in steps), None) for n, steps in plan.items()}
+    chosen = lambda step: [n for n in wants(step) if first[n] == step]
+    fills = _fills(df, chosen("mean"), chosen("mode"))
+    if chosen("median"):
+        known = medians.where(F.col("column_name").isin(chosen("median")))
+        fills |= {r.column_name: r.v for r in known.selectExpr("column_name", "CAST(median AS STRING) AS v").collect()}
 
     kept = df
-    for name in wants("drop_rows"):
+    for name in [n for n, steps in plan.items() if "drop_rows" in steps]:
         kept = kept.where(~missing(name, types[name]))
 
     out = []
@@ -114,10 +122,10 @@ def apply_treatment(df: DataFrame, plan: Mapping[str, list[str]], medians: DataF
         if "drop_column" in steps:
             continue
         value = F.when(~missing(name, data_type), col(name))
-        for step in ("mean", "median", "mode"):
-            if step in steps:
-                number = step != "mode" and type_category(data_type) == "numeric"
-                value = F.coalesce(value.cast("double") if number else value, fill(step, name))
+        if name in fills:
+            number = first[name] != "mode" and type_category(data_type) == "numeric"
+            kind = "double" if number else data_type
+            value = F.coalesce(value.cast(kind), F.lit(fills[name]).cast(kind))
         if "unknown" in steps:
             value = F.coalesce(value, F.lit("Unknown"))
         out.append((value if steps else col(name)).alias(name))

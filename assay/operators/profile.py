@@ -3,10 +3,11 @@
 All columns of all tables share one integer key, ``cid``, so a set of tables is
 profiled by a fixed number of aggregates however many tables and columns it has:
 
-* statistics: per value class a long scan and one partial/final aggregate; only
-  one row per column and task is shuffled;
-* frequencies: one shuffle of (cid, distinct value, count), pre-counted per task.
-  Exact distinct counts, top values and quantiles all read that exchange.
+* statistics: one long scan and one partial/final aggregate; only one row per
+  column and task is shuffled;
+* frequencies: one shuffle of (cid, distinct value, count),
+  pre-counted per task and stored, values by class. Exact distinct counts, top
+  values, quantiles and outliers all read that table.
 
 Every later rule works on the result, which can be unioned over runs.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from assay import rules
 from assay.functions import literal_rows, long_form, numeric_sql, quoted, text, type_category
 from assay.operators.quantiles import quantiles
+from assay.sinks.runs import materialize
 
 STATS, DISTINCT, TOP, QUANTILES, OUTLIERS, PATTERNS = (
     "stats", "distinct", "top", "quantiles", "outliers", "patterns",
@@ -117,21 +119,15 @@ class Lake:
         )
         return literal_rows(self.spark, ddl, self.rows)
 
-    def long(self, category: str | None, value, keep=None) -> DataFrame | None:
-        """(cid, v) of the columns of a category, by a function field -> SQL."""
+    def long(self, names, values, keep=None, cids=None) -> DataFrame | None:
+        """(cid, *names) of the columns that ``keep``(field, category) lets through, or of those among ``cids``.
+
+        ``values`` (field, category) gives one SQL expression per name.
+        """
+        wanted = lambda cid, f, c: (keep is None or keep(f, c)) and (cids is None or cid in cids)
         return long_form(
-            [
-                (
-                    df,
-                    [
-                        (cid, [value(f)])
-                        for cid, f, c in columns
-                        if (category is None or c == category) and (keep is None or keep(f))
-                    ],
-                )
-                for df, columns in self.tables
-            ],
-            ["v"],
+            [(df, [(cid, values(f, c)) for cid, f, c in columns if wanted(cid, f, c)]) for df, columns in self.tables],
+            names,
         )
 
     def small(self, df: DataFrame) -> DataFrame:
@@ -141,62 +137,67 @@ class Lake:
 
 # --- statistics pass ----------------------------------------------------------
 
-
-def _aggregate(long: DataFrame, *expressions: str) -> DataFrame:
-    counts = ("count(*) AS total_count", "count(*) - count(v) AS null_count")
-    return long.groupBy("cid").agg(*[F.expr(e) for e in (*counts, *expressions)])
-
-
+#: expressions over the value of each class
 _NUMERIC = (
-    "min(v) AS min_value",
-    "max(v) AS max_value",
-    "avg(v) AS mean",
-    "IF(count(v) > 0, coalesce(stddev_samp(v), 0D), NULL) AS std",
+    "min(num) AS min_value",
+    "max(num) AS max_value",
+    "avg(num) AS mean",
+    "IF(count(num) > 0, coalesce(stddev_samp(num), 0D), NULL) AS std",
     # undefined where all values are equal
-    "IF(min(v) < max(v), skewness(v), NULL) AS skewness",
-    "IF(min(v) < max(v), kurtosis(v), NULL) AS kurtosis",
-    "count_if(v < 0) AS negative_count",
+    "IF(min(num) < max(num), skewness(num), NULL) AS skewness",
+    "IF(min(num) < max(num), kurtosis(num), NULL) AS kurtosis",
+    "count_if(num < 0) AS negative_count",
 )
 
 _BOOLEAN = (
-    "count_if(v) AS true_count",
-    "count_if(NOT v) AS false_count",
-    "round(count_if(v) * 100D / greatest(count(v), 1), 1) AS true_percent",
+    "count_if(flag) AS true_count",
+    "count_if(NOT flag) AS false_count",
+    "round(count_if(flag) * 100D / greatest(count(flag), 1), 1) AS true_percent",
 )
 
 _STRING = (
-    "CAST(min(length(v)) AS BIGINT) AS min_length",
-    "CAST(max(length(v)) AS BIGINT) AS max_length",
-    "avg(length(v)) AS avg_length",
-    "count_if(v = '') AS empty_count",
+    "CAST(min(length(txt)) AS BIGINT) AS min_length",
+    "CAST(max(length(txt)) AS BIGINT) AS max_length",
+    "avg(length(txt)) AS avg_length",
+    "count_if(txt = '') AS empty_count",
 )
 
+#: counts that are null, not 0, for columns of another category
+_COUNTS_OF = {
+    "numeric": ("negative_count",),
+    "boolean": ("true_count", "false_count", "true_percent"),
+    "datetime": ("range_days", "future_count"),
+}
+
 
 def _matches(name: str) -> str:
     low, high = rules.PII_PATTERN_LENGTHS[name]
-    fits = f"length(v) >= {low}" if high is None else f"length(v) BETWEEN {low} AND {high}"
+    fits = f"length(txt) >= {low}" if high is None else f"length(txt) BETWEEN {low} AND {high}"
     if name == "email":
-        fits += " AND contains(v, '@')"
-    return f"{fits} AND v RLIKE {text(rules.PII_PATTERNS[name])}"
+        fits += " AND contains(txt, '@')"
+    return f"{fits} AND txt RLIKE {text(rules.PII_PATTERNS[name])}"
 
 
 def _pattern_expressions() -> list[str]:
     words = ", ".join(text(w) for w in rules.BOOLEAN_WORDS_AND_LETTERS)
     return [
-        "coalesce(bool_or(contains(v, '@')), false) AS has_email",
-        f"coalesce(bool_or(v RLIKE {text(rules.CONTAINS_PHONE)}), false) AS has_phone",
-        f"coalesce(bool_or(v RLIKE {text(rules.CONTAINS_URL)}), false) AS has_url",
+        "coalesce(bool_or(contains(txt, '@')), false) AS has_email",
+        f"coalesce(bool_or(txt RLIKE {text(rules.CONTAINS_PHONE)}), false) AS has_phone",
+        f"coalesce(bool_or(txt RLIKE {text(rules.CONTAINS_URL)}), false) AS has_url",
         *[f"count_if({_matches(p)}) AS {p}_count" for p in rules.PII_PATTERNS],
-        "count_if(trim(v) <> '') AS nonblank_count",
-        "count_if(startswith(ltrim(v), '{')) AS object_count",
-        "count_if(startswith(ltrim(v), '[')) AS array_count",
-        "count_if(startswith(ltrim(v), '<')) AS markup_count",
-        f"count_if(replace(v, ',', '') RLIKE {text(rules.NUMBER)}) AS number_count",
-        f"count_if(v RLIKE {text(rules.CONTAINS_DATE)}) AS date_count",
-        f"count_if(length(trim(v)) <= 5 AND lower(trim(v)) IN ({words})) AS boolean_count",
+        "count_if(trim(txt) <> '') AS nonblank_count",
+        "count_if(startswith(ltrim(txt), '{')) AS object_count",
+        "count_if(startswith(ltrim(txt), '[')) AS array_count",
+        "count_if(startswith(ltrim(txt), '<')) AS markup_count",
+        f"count_if(replace(txt, ',', '') RLIKE {text(rules.NUMBER)}) AS number_count",
+        f"count_if(txt RLIKE {text(rules.CONTAINS_DATE)}) AS date_count",
+        f"count_if(length(trim(txt)) <= 5 AND lower(trim(txt)) IN ({words})) AS boolean_count",
     ]
 
 
+_STRING_COUNTS = ["empty_count", *(e.rsplit(" AS ", 1)[1] for e in _pattern_expressions())]
+
+
 def _size_sql(f: T.StructField) -> str:
     c = quoted(f.name)
     if isinstance(f.dataType, (T.ArrayType, T.MapType)):
@@ -212,53 +213,59 @@ def _date_named(f: T.StructField) -> bool:
     return any(w in f.name.lower() for w in rules.DATE_NAME_WORDS)
 
 
+#: the column of the long rows that holds the values of a category, and its type
+_CLASSES = {
+    "numeric": ("num", "DOUBLE"),
+    "string": ("txt", "STRING"),
+    "boolean": ("flag", "BOOLEAN"),
+    "datetime": ("ts", "TIMESTAMP_NTZ"),
+    "complex": ("size", "INT"),
+}
+
+
+def _value_sql(f: T.StructField, category: str) -> dict[str, str]:
+    c = quoted(f.name)
+    if category == "numeric":
+        return {"num": numeric_sql(f.name, f.dataType)}
+    if category == "string":
+        # strings in columns named like dates: also the time, where they parse
+        time = {"ts": f"CAST(try_to_timestamp({c}) AS TIMESTAMP_NTZ)"} if _date_named(f) else {}
+        return {"txt": f"CAST({c} AS STRING)", **time}
+    if category == "datetime":
+        return {"ts": f"CAST({c} AS TIMESTAMP_NTZ)"}
+    return {"flag": c} if category == "boolean" else {"size": _size_sql(f)}
+
+
 def _statistics(lake: Lake, patterns: bool, as_of: str | None) -> DataFrame:
+    """One row per column of a table that has rows; a single scan and aggregate for all categories."""
     now = f"TIMESTAMP_NTZ {text(as_of)}" if as_of else "localtimestamp()"
-    moments = "timestampdiff(SECOND, min(v), max(v))"
-    frames = []
-
-    def add(category, value, *expressions):
-        if category in lake.categories:
-            frames.append(_aggregate(lake.long(category, value), *expressions))
-
-    add("numeric", lambda f: numeric_sql(f.name, f.dataType), *_NUMERIC)
-    add(
-        "string",
-        lambda f: f"CAST({quoted(f.name)} AS STRING)",
-        *_STRING,
-        *(_pattern_expressions() if patterns else ()),
-    )
-    add("boolean", lambda f: quoted(f.name), *_BOOLEAN)
-    add(
-        "datetime",
-        lambda f: f"CAST({quoted(f.name)} AS TIMESTAMP_NTZ)",
-        "min(v) AS min_ts",
-        "max(v) AS max_ts",
-        f"CAST(floor({moments} / 86400) AS BIGINT) AS range_days",
-        f"count_if(v > {now}) AS future_count",
-    )
-    add("complex", _size_sql, "avg(v) AS avg_size")
-    stats = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-    # strings in columns named like dates: the oldest and newest value that parse
-    dated = lake.long(
-        "string",
-        lambda f: f"CAST(try_to_timestamp({quoted(f.name)}) AS TIMESTAMP_NTZ)",
-        _date_named,
-    )
-    if dated is not None:
-        parsed = dated.groupBy("cid").agg(F.expr("min(v) AS first_ts"), F.expr("max(v) AS last_ts"))
-        if "datetime" not in lake.categories:
-            stats = stats.selectExpr(
-                "*", "CAST(NULL AS TIMESTAMP_NTZ) AS min_ts", "CAST(NULL AS TIMESTAMP_NTZ) AS max_ts"
-            )
-        stats = stats.join(lake.small(parsed), "cid", "left").withColumns(
-            {
-                "min_ts": F.expr("coalesce(min_ts, first_ts)"),
-                "max_ts": F.expr("coalesce(max_ts, last_ts)"),
-            }
-        )
-    return stats
+    used = {
+        name for _, columns in lake.tables for _, f, category in columns for name in _value_sql(f, category)
+    }
+    names = {name: kind for name, kind in _CLASSES.values() if name in used}
+
+    def values(f, category):
+        own = _value_sql(f, category)
+        return [f"CAST({own.get(name, 'NULL')} AS {kind})" for name, kind in names.items()]
+
+    missing = " AND ".join(f"{name} IS NULL" for name in names)
+    expressions = ["count(*) AS total_count", f"count_if({missing}) AS null_count"]
+    if "num" in used:
+        expressions += _NUMERIC
+    if "txt" in used:
+        expressions += [*_STRING, *(_pattern_expressions() if patterns else ())]
+    if "flag" in used:
+        expressions += _BOOLEAN
+    if "ts" in used:
+        expressions += [
+            "min(ts) AS min_ts",
+            "max(ts) AS max_ts",
+            "CAST(floor(timestampdiff(SECOND, min(ts), max(ts)) / 86400) AS BIGINT) AS range_days",
+            f"count_if(ts > {now}) AS future_count",
+        ]
+    if "size" in used:
+        expressions.append("avg(size) AS avg_size")
+    return lake.long(list(names), values).groupBy("cid").agg(*[F.expr(e) for e in expressions])
 
 
 # --- frequency pass -----------------------------------------------------------
@@ -285,23 +292,27 @@ def _text_sql(f: T.StructField) -> str:
     return f"CAST({c} AS STRING)"
 
 
-def _frequencies(lake: Lake) -> DataFrame:
-    """(cid, lng, dbl, txt, n): the count of every distinct non-null value.
+def _frequencies(lake: Lake, digests: bool = True) -> DataFrame:
+    """(cid, lng, dbl, txt, n): the count of every distinct non-null value; without ``digests`` long texts stay as they are.
 
     The value sits in the column of its class, so numbers are never turned into
-    text on the way to the shuffle. A value held by a third of the rows costs one
-    row per task.
+    text on the way to the shuffle; decimals have their double and their text. A
+    value held by a third of the rows costs one row per task.
     """
-    is_lng = lambda f: isinstance(f.dataType, _INTEGRAL)
-    is_dbl = lambda f: isinstance(f.dataType, _FRACTIONAL)
+    is_lng = lambda f, _: isinstance(f.dataType, _INTEGRAL)
+    is_dbl = lambda f, _: isinstance(f.dataType, _FRACTIONAL)
     kinds = (
-        (is_lng, lambda f: f"CAST({quoted(f.name)} AS BIGINT)", "v", "NULL", "NULL"),
-        (is_dbl, lambda f: numeric_sql(f.name, f.dataType), "NULL", "v", "NULL"),
-        (lambda f: not is_lng(f) and not is_dbl(f), _text_sql, "NULL", "NULL", "v"),
-    )
+        (is_lng, lambda f, _: [f"CAST({quoted(f.name)} AS BIGINT)"], "v", "NULL", "NULL"),
+        (is_dbl, lambda f, _: [numeric_sql(f.name, f.dataType)], "NULL", "v", "NULL"),
+        (
+            lambda f, c: not is_lng(f, c) and not is_dbl(f, c),
+            lambda f, c: [_text_sql(f) if digests else f"CAST({quoted(f.name)} AS STRING)", numeric_sql(f.name, f.dataType) if c == "numeric" else "CAST(NULL AS DOUBLE)"],
+            "NULL", "d", "v",
+        ),
+    )
     pieces = []
     for keep, value, lng, dbl, txt in kinds:
-        long = lake.long(None, value, keep)
+        long = lake.long(["v", "d"] if dbl == "d" else ["v"], value, keep)
         if long is not None:
             pieces.append(
                 long.where("v IS NOT NULL").selectExpr(
@@ -313,26 +324,21 @@ def _frequencies(lake: Lake) -> DataFrame:
     return values.groupBy("cid", "lng", "dbl", "txt").agg(F.expr("count(*) AS n"))
 
 
-def frequencies(df: DataFrame) -> DataFrame:
+def frequencies(df: DataFrame, digests: bool = True) -> DataFrame:
     """The value frequencies of one table; ``cid`` is the column's position."""
-    return _frequencies(Lake({"": df}))
+    return _frequencies(Lake({"": df}), digests)
 
 
 def _distinct(freq: DataFrame) -> DataFrame:
-    # the sum keeps every branch reading the same exchange, column for column
-    return freq.groupBy("cid").agg(
-        F.expr("count(*) AS unique_count"), F.expr("sum(n) AS present_count")
-    )
+    return freq.groupBy("cid").agg(F.expr("count(*) AS unique_count"))
 
 
 def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
     """(cid, tops): the row limit is applied in each task before the shuffle."""
-    decimals = [str(r[0]) for r in lake.rows if r[4].startswith("decimal")]
-    by_value = f"CASE WHEN cid IN ({', '.join(decimals)}) THEN try_cast(txt AS DOUBLE) END, " if decimals else ""
     best = (
         freq.selectExpr(
             "*",
-            f"row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, {by_value}txt) AS rank",
+            "row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, txt) AS rank",
         )
         .where(f"rank <= {int(top_n)}")
         .selectExpr(
@@ -340,7 +346,8 @@ def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
             "n AS count",
         )
     )
-    best = _restore_long_text(lake, best)
+    # at most top_n rows per column
+    best = _restore_long_text(lake, materialize(best, "top-values"))
     return best.groupBy("cid").agg(
         F.expr(
             "transform(sort_array(collect_list(struct(rank, value, count))), "
@@ -350,14 +357,14 @@ def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
 
 
 def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
-    """Put the text back for top values that were counted by digest."""
-    long = lake.long("string", lambda f: quoted(f.name))
+    """Put the text back for top values that were counted by digest; only their columns are read again."""
+    hidden = {r.cid for r in best.where("startswith(value, 'sha256:')").select("cid").collect()}
+    long = lake.long(["v"], lambda f, _: [quoted(f.name)], lambda _, c: c == "string", hidden)
     if long is None:
         return best
     long = long.where(_BY_DIGEST.format(x="v")).selectExpr(
         "cid", f"{_DIGEST.format(x='v')} AS value", "v"
     )
-    # at most top_n rows per column, so this side is bounded by the schema
     wanted = best.where("startswith(value, 'sha256:')").select("cid", "value")
     texts = (
         long.join(lake.small(wanted), ["cid", "value"], "left_semi")
@@ -371,27 +378,25 @@ def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
 
 
 def _numeric_long(lake: Lake) -> DataFrame:
-    return lake.long("numeric", lambda f: numeric_sql(f.name, f.dataType)).where("v IS NOT NULL")
+    rows = lake.long(["v"], lambda f, _: [numeric_sql(f.name, f.dataType)], lambda _, c: c == "numeric")
+    return rows.where("v IS NOT NULL")
 
 
-def _numeric_counts(lake: Lake, freq: DataFrame) -> DataFrame:
+def _numeric_counts(freq: DataFrame) -> DataFrame:
     """(cid, v, n) of the numeric columns."""
-    numeric = ", ".join(str(r[0]) for r in lake.rows if r[5] == "numeric")
-    return freq.where(f"cid IN ({numeric})").selectExpr(
-        "cid", "coalesce(CAST(lng AS DOUBLE), dbl, try_cast(txt AS DOUBLE)) AS v", "n"
-    )
+    return freq.where("lng IS NOT NULL OR dbl IS NOT NULL").selectExpr("cid", "coalesce(CAST(lng AS DOUBLE), dbl) AS v", "n")
 
 
-def _quantiles(lake: Lake, counts: DataFrame, method: str | None) -> DataFrame:
-    found = quantiles(counts, _numeric_long(lake), [0.25, 0.5, 0.75], method)
+def _quantiles(counts: DataFrame) -> DataFrame:
+    found = quantiles(counts, [0.25, 0.5, 0.75])
     return found.withColumnsRenamed({"p0": "q25", "p1": "median", "p2": "q75"})
 
 
 def _outliers(lake: Lake, counts: DataFrame, bounds: DataFrame, z: float) -> DataFrame:
     """Values beyond one row of bounds per column, from (cid, v, n) rows.
 
-    With exact counts at hand these are the distinct values, read again from the
-    exchange they lie in; otherwise every value counts once.
+    With exact counts at hand these are the stored distinct values; otherwise every
+    value counts once.
     """
     return (
         counts.join(lake.small(bounds), "cid")
@@ -427,7 +432,7 @@ def _sketches(lake: Lake) -> DataFrame:
             )
             .selectExpr("cid", "unique_count", "q[0] AS q25", "q[1] AS median", "q[2] AS q75")
         )
-    other = lake.long(None, _text_sql, lambda f: type_category(f.dataType) != "numeric")
+    other = lake.long(["v"], lambda f, _: [f"CAST({_text_sql(f)} AS STRING)"], lambda _, c: c != "numeric")
     if other is not None:
         pieces.append(other.groupBy("cid").agg(F.expr("approx_count_distinct(v) AS unique_count")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
@@ -445,12 +450,12 @@ def profile_tables(
     iqr_k: float = 3.0,
     z_k: float = 3.0,
     as_of: str | None = None,
-    quantile_method: str | None = None,
     exact: bool = True,
 ) -> DataFrame:
     """The profile of a set of tables, one row per column.
 
-    ``parts`` names what to compute; columns of parts left out are null. With
+    ``parts`` names what to compute; columns of parts left out are null. Value
+    counts that several parts read are stored first, by a job of this call. With
     ``exact=False`` distinct counts and quantiles come from sketches in one scan
     and no frequencies are shuffled (and no top values are given).
     """
@@ -460,20 +465,25 @@ def profile_tables(
     if OUTLIERS in parts:
         parts |= {STATS, QUANTILES}
     stats = _statistics(lake, PATTERNS in parts, as_of)
+    if OUTLIERS in parts and numeric:  # read for the bounds as well
+        stats = materialize(stats, "statistics")
     # each frame joined below has one row per column
     extra = []
     quartiles = None
+    readers = (parts & {DISTINCT, TOP}) | (parts & {QUANTILES, OUTLIERS} if numeric else set())
     if not exact:
         quartiles = _sketches(lake)
         extra.append(quartiles)
         counts = _numeric_long(lake).selectExpr("cid", "v", "1L AS n") if numeric else None
-    elif parts & {DISTINCT, TOP, QUANTILES}:
+    elif readers:
         freq = _frequencies(lake)
+        if len(readers) > 1:
+            freq = materialize(freq, "frequencies")
         if DISTINCT in parts:
             extra.append(_distinct(freq))
         if QUANTILES in parts and numeric:
-            counts = _numeric_counts(lake, freq)
-            quartiles = _quantiles(lake, counts, quantile_method)
+            counts = _numeric_counts(freq)
+            quartiles = _quantiles(counts)
             extra.append(quartiles)
     fences = (
         f"q25 - (q75 - q25) * {float(iqr_k)!r}D AS iqr_lower",
@@ -505,7 +515,13 @@ def _conform(profile: DataFrame, run_id: str | None, counted: bool) -> DataFrame
     """The fixed columns of a profile; what was not computed is null."""
     share = "coalesce(try_divide({part} * 100D, total_count), 0D)"
     known = "CASE WHEN total_count IS NOT NULL THEN {x} END"
-    derived = {
+    of_class = {
+        name: f"CASE WHEN type_category = '{category}' THEN {name} END"
+        for category, names in (*_COUNTS_OF.items(), ("string", _STRING_COUNTS))
+        for name in names
+        if name in profile.columns
+    }
+    derived = of_class | {
         "run_id": "NULL" if run_id is None else text(run_id),
         "null_percent": known.format(x=share.format(part="null_count")),
         "error": "CASE WHEN total_count IS NULL THEN 'empty table' END",

@@ -1,13 +1,8 @@
-"""Exact, linearly interpolated quantiles that spill instead of filling a heap.
+"""Exact, linearly interpolated quantiles of any number of columns, without a task that holds a column.
 
-Input is a frequency table: one row per (cid, distinct value) with a count. Two
-plans give the same numbers:
-
-* ``window``: a running count per column over its sorted distinct values. One
-  task sorts one column, so it is used only below a checked input size.
-* ``bracket``: two rounds of bounded sketches close in on each wanted rank with
-  exact counts below the bracket; only the values inside the last bracket, about
-  one row in a hundred thousand, are sorted. No task sees a whole column.
+Input is a frequency table: one row per (cid, distinct value) with a count. It is dealt by ranges of (cid, value), so that
+a column lies in as many tasks as it needs; totals per range and column, a few rows, are summed up along each column; a
+wanted rank then lies in one known range, and only such ranges are numbered row by row.
 """
 
 from __future__ import annotations
@@ -17,124 +12,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: input size up to which one task may sort a column's distinct values
-WINDOW_LIMIT_BYTES = 256 * 1024 * 1024
-
-_ACCURACY = 10_000
-_GRID = 400
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def _array(values: Sequence[float]) -> str:
-    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
-
-
-def _interpolated(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Pick the two neighbours of each rank from rows (cid, p, n, v, before, upto)."""
-    picked = (
-        counted.selectExpr("*", "floor(p * (n - 1)) AS lo_rank", "ceil(p * (n - 1)) AS hi_rank")
-        .groupBy("cid", "p")
-        .agg(
-            F.expr("max(CASE WHEN before <= lo_rank AND lo_rank < upto THEN v END) AS a"),
-            F.expr("max(CASE WHEN before <= hi_rank AND hi_rank < upto THEN v END) AS b"),
-            F.expr("max(p * (n - 1) - lo_rank) AS w"),
-        )
-        .selectExpr(
-            "cid",
-            "p",
-            "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a + (b - a) * w "
-            "ELSE CAST(raise_error('quantile rank outside its bracket') AS DOUBLE) END AS q",
-        )
+from assay.sinks.runs import materialize
+
+
+def ranged(freq: DataFrame) -> DataFrame:
+    """(cid, v, n, block) stored in the order of (cid, v): every block is one range."""
+    dealt = freq.select("cid", "v", "n").repartitionByRange("cid", "v").sortWithinPartitions("cid", "v")
+    return materialize(dealt.withColumn("block", F.spark_partition_id()), "value-ranges")
+
+
+def quantiles(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(cid, p0, p1, …): one column per entry of ``probs``, from (cid, v, n) without nulls."""
+    ranges = ranged(freq)
+    totals = ranges.groupBy("cid", "block").agg(F.expr("sum(n) AS total")).selectExpr(
+        "cid", "block",
+        "sum(total) OVER (PARTITION BY cid ORDER BY block ROWS UNBOUNDED PRECEDING) - total AS before",
+        "sum(total) OVER (PARTITION BY cid ORDER BY block ROWS UNBOUNDED PRECEDING) AS upto",
+        "sum(total) OVER (PARTITION BY cid) AS n_all",
+    )
+    points = ", ".join(f"named_struct('i', {i}, 'p', {float(p)!r}D)" for i, p in enumerate(probs))
+    # two neighbours of each rank, which may lie in different ranges
+    ranks = totals.selectExpr("*", f"inline(array({points}))").selectExpr(
+        "cid", "block", "before", "upto", "i", "p * (n_all - 1) AS at",
+        "explode(array(floor(p * (n_all - 1)), ceil(p * (n_all - 1)))) AS rank",
     )
-    return picked.groupBy("cid").agg(
-        *[F.expr(f"max(CASE WHEN p = {float(p)!r}D THEN q END) AS p{i}") for i, p in enumerate(probs)]
+    wanted = ranks.where("before <= rank AND rank < upto").distinct()
+    blocks = wanted.groupBy("cid", "block").agg(
+        F.first("before").alias("before"), F.collect_set(F.struct("i", "at", "rank")).alias("wanted")
     )
-
-
-def _by_window(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    running = freq.selectExpr(
-        "cid",
-        "v",
-        "n AS c",
-        "sum(n) OVER (PARTITION BY cid ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
-        "sum(n) OVER (PARTITION BY cid) AS n",
-    ).selectExpr("cid", "v", "upto", "upto - c AS before", "n")
-    # keep the few rows that hold a wanted rank before repeating them per quantile
-    wanted = " OR ".join(
-        f"(before <= ceil({float(p)!r}D * (n - 1)) AND floor({float(p)!r}D * (n - 1)) < upto)"
-        for p in probs
+    # one row per column, range and wanted rank: of the values, only these ranges are read further
+    running = ranges.join(F.broadcast(blocks), ["cid", "block"]).selectExpr(
+        "cid", "v", "wanted", "n",
+        "before + sum(n) OVER (PARTITION BY cid, block ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
     )
-    rows = running.where(wanted).selectExpr("*", f"explode({_array(probs)}) AS p")
-    return _interpolated(rows, probs)
-
-
-def _sketch(points: Sequence[float], value: str = "v") -> str:
-    inside = [min(max(x, 0.0), 1.0) for x in points]
-    return f"percentile_approx({value}, {_array(inside)}, {_ACCURACY})"
-
-
-def _by_bracket(values: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """``values`` holds (cid, v) and no nulls; it is scanned three times."""
-    margin = 4.0 / _ACCURACY
-    points = [x for p in probs for x in (p - margin, p + margin)]
-    # round 1: one sketch per column. A bracket must be several ranks wide, so it
-    # is left open for few rows and at either end.
-    first = values.groupBy("cid").agg(F.expr("count(*) AS n"), F.expr(f"{_sketch(points)} AS s"))
-    low, high = "CAST('-Infinity' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
-    spans = ", ".join(
-        f"named_struct('p', {float(p)!r}D, "
-        f"'lo', IF(n * {margin} < 4 OR {p - margin} <= 0, {low}, s[{2 * i}]), "
-        f"'hi', IF(n * {margin} < 4 OR {p + margin} >= 1, {high}, s[{2 * i + 1}]))"
-        for i, p in enumerate(probs)
-    )
-    brackets = first.selectExpr("cid", "n", f"inline(array({spans}))")
-    # round 2: exact count below each bracket and a finer sketch inside it
-    second = (
-        values.join(F.broadcast(brackets), "cid")
-        .selectExpr("*", "CASE WHEN v >= lo AND v <= hi THEN v END AS x")
-        .groupBy("cid", "p", "n", "lo", "hi")
-        .agg(
-            F.expr("count_if(v < lo) AS below"),
-            F.expr("count(x) AS within"),
-            F.expr(f"{_sketch([i / _GRID for i in range(_GRID + 1)], 'x')} AS g"),
-        )
-    )
-    narrow = second.selectExpr(
-        "*", f"try_divide(p * (n - 1) - below, within) * {_GRID} AS spot"
-    ).selectExpr(
-        "cid",
-        "p",
-        "n",
-        f"IF(within < {4 * _GRID} OR floor(spot) - 2 < 0, lo, get(g, CAST(floor(spot) AS INT) - 2)) AS lo",
-        f"IF(within < {4 * _GRID} OR ceil(spot) + 3 > {_GRID}, hi, get(g, CAST(ceil(spot) AS INT) + 3)) AS hi",
-    )
-    # round 3: one row counts everything below, the rest are distinct values inside
-    counted = (
-        values.join(F.broadcast(narrow), "cid")
-        .where("v <= hi")
-        .selectExpr("cid", "p", "n", "CASE WHEN v >= lo THEN v END AS v")
-        .groupBy("cid", "p", "n", "v")
-        .agg(F.expr("count(*) AS c"))
-    )
-    running = counted.selectExpr(
-        "cid", "p", "n", "v", "c",
-        "sum(c) OVER (PARTITION BY cid, p ORDER BY v NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto",
-    ).where("v IS NOT NULL")
-    return _interpolated(running.selectExpr("*", "upto - c AS before"), probs)
-
-
-def quantiles(
-    freq: DataFrame, values: DataFrame, probs: Sequence[float], method: str | None = None
-) -> DataFrame:
-    """(cid, p0, p1, …): one column per entry of ``probs``.
-
-    ``freq`` (cid, v, n) and ``values`` (cid, v) describe the same data.
-    """
-    if method is None:
-        method = "window" if plan_bytes(values) <= WINDOW_LIMIT_BYTES else "bracket"
-    return _by_window(freq, probs) if method == "window" else _by_bracket(values, probs)
+    found = running.selectExpr("cid", "v", "upto", "n", "inline(wanted)").where("rank < upto AND rank >= upto - n")
+    ends = found.groupBy("cid", "i", "at").agg(F.expr("min_by(v, rank) AS a"), F.expr("max_by(v, rank) AS b"))
+    values = ends.selectExpr("cid", "i", "a + (b - a) * (at - floor(at)) AS q")
+    return values.groupBy("cid").agg(*[F.expr(f"max(CASE WHEN i = {i} THEN q END) AS p{i}") for i in range(len(probs))])

@@ -7,14 +7,18 @@ nor the number of repeats reaches the join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay import rules
-from assay.functions import col, first_of_run, join_by_run, name_has_any, percent
+from assay.functions import col, first_of_run, join_by_run, literal_rows, name_has_any, percent, quoted
+from assay.operators.profile import Lake
+from assay.sinks.runs import materialize
 
 KEY = ["run_id", "table_name"]
 CONFIDENCE = ["low", "medium", "high"]
@@ -109,6 +113,27 @@ def join_candidates(profile: DataFrame, max_tables: int | None = None) -> DataFr
     return _pairs(profile, max_tables)
 
 
+def join_classes(profile: DataFrame, max_tables: int | None = None) -> DataFrame:
+    """The tables that can be joined on a key-like column of one name and type: one row per member of such a class.
+
+    A class of N tables has N rows where ``join_candidates`` lists N * (N - 1) / 2 pairs. ``members`` counts its tables,
+    ``keys`` those in which the column is nearly unique; ``is_key`` marks these, and ``confidence`` is the best of any pair.
+    """
+    cols = _key_columns(profile, max_tables).where(name_has_any(F.col("column_name"), rules.JOIN_NAME_WORDS))
+    # as for pairs, each table has one column of a name
+    known = ["run_id", "column_name", "data_type"]
+    members = W.partitionBy(*known)
+    named = F.lower("column_name").contains("id")
+    best = F.max("u").over(members)
+    return (
+        cols.withColumn("members", F.count("*").over(members))
+        .withColumn("keys", F.count_if(F.col("u") > 95).over(members))
+        .withColumn("confidence", F.when(named & (best > 90), "high").when(best > 50, "medium").otherwise("low"))
+        .where("members > 1")
+        .select(*known, "table_name", (F.col("u") > 95).alias("is_key"), "members", "keys", "confidence")
+    )
+
+
 def fk_naming(profile: DataFrame, max_tables: int | None = None) -> DataFrame:
     """``customer_id`` -> ``customer.id`` or ``customers.id``, in both directions."""
     cols = _key_columns(profile, max_tables).withColumn("low", F.lower("column_name"))
@@ -187,6 +212,35 @@ def join_paths(edges: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
+def path_hubs(edges: DataFrame) -> DataFrame:
+    """Two-hop paths counted by the table in the middle, without listing them.
+
+    Columns: ``neighbours`` (tables joined with it), ``paths`` as ``join_paths`` would list them, ``sure_paths`` of which both
+    edges are high, and the ``confidence`` of the strongest. One row per edge is shuffled, whatever the number of paths.
+    """
+    back = edges.select("run_id", F.col("table2").alias("table1"), F.col("table1").alias("table2"), "confidence")
+    both = edges.select(*back.columns).unionByName(back).where("table1 <> table2")
+    sides = both.groupBy("run_id", F.col("table2").alias("middle_table"), "table1").agg(
+        F.count("*").alias("all"),
+        F.count_if(F.col("confidence").isin("high", "medium")).alias("strong"),
+        F.count_if(F.col("confidence") == "high").alias("high"),
+    )
+    # pairs of edges to two different tables: all pairs of edges less those to the same one
+    pairs = lambda a, b: F.sum(a) * F.sum(b) - F.sum(F.col(a) * F.col(b))
+    return (
+        sides.groupBy("run_id", "middle_table")
+        .agg(
+            F.count("*").alias("neighbours"), pairs("strong", "all").alias("paths"),
+            pairs("high", "high").alias("sure_paths"), pairs("strong", "strong").alias("strong_paths"),
+        )
+        .where("paths > 0")
+        .select(
+            "run_id", "middle_table", "neighbours", "paths", "sure_paths",
+            F.when(F.col("sure_paths") > 0, "high").when(F.col("strong_paths") > 0, "medium").otherwise("low").alias("confidence"),
+        )
+    )
+
+
 def erd_nodes(edges: DataFrame) -> DataFrame:
     ends = edges.select("run_id", F.col("table1").alias("id")).unionAll(
         edges.select("run_id", F.col("table2").alias("id"))
@@ -270,3 +324,76 @@ def value_overlap(
         .withColumn("overlap_percent", percent(F.col("matched_values"), F.col("child_values")))
         .withColumn("is_included", F.col("overlap_percent") >= min_overlap_percent)
     )
+
+
+# --- inclusion over a whole lake ----------------------------------------------
+
+#: classes of columns whose values can be equal, with the SQL that makes values of one class comparable
+_COMPARABLE = (
+    ("integer", (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "CAST({c} AS BIGINT)"),
+    ("number", (T.FloatType, T.DoubleType, T.DecimalType), "CAST({c} AS DOUBLE)"),
+    ("text", (T.StringType, T.CharType, T.VarcharType), "CAST({c} AS STRING)"),
+    ("time", (T.DateType, T.TimestampType, T.TimestampNTZType), "CAST({c} AS TIMESTAMP_NTZ)"),
+)
+
+
+def _shared_values(lake: Lake, wanted: set[int], exact: bool) -> DataFrame:
+    """(a, b, n): how many distinct values the columns ``a`` and ``b`` share; of a column with itself, how many it has.
+
+    Every value goes to one place with the columns that hold it, once per column and task. Values with the same set of
+    columns are counted together before pairs are made, so pairs depend on the sets that occur and not on the values.
+    """
+    pieces = []
+    for name, types, sql in _COMPARABLE:
+        rows = lake.long(
+            ["v"], lambda f, _, sql=sql: [sql.format(c=quoted(f.name))],
+            lambda f, _, types=types: isinstance(f.dataType, types), wanted,
+        )
+        if rows is not None:
+            value = "CAST(v AS STRING)" if exact else f"xxhash64('{name}', v)"
+            pieces.append(rows.where("v IS NOT NULL").selectExpr("cid", f"'{name}' AS class", f"{value} AS v"))
+    held = reduce(DataFrame.unionAll, pieces).groupBy("class", "v").agg(F.array_sort(F.collect_set("cid")).alias("cids"))
+    sets = held.groupBy("cids").agg(F.count("*").alias("n"))
+    sides = sets.select("n", "cids", F.explode("cids").alias("a")).select("n", "a", F.explode("cids").alias("b"))
+    return sides.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def inclusion_dependencies(tables: Mapping[str, DataFrame], min_overlap_percent: float = 80.0) -> DataFrame:
+    """Pairs of columns of a lake of which the first has most of its distinct values in the second.
+
+    Columns: table and column of both, ``child_values`` (distinct, nulls left out), ``matched_values``, ``overlap_percent``
+    and ``is_included`` (all of them). All columns are compared in one job: hashes of values are brought together first, then
+    the values themselves of the columns that passed, so that no hash that two values share counts. Integers, other numbers,
+    texts and times are compared among themselves; other types are left out.
+    """
+    lake = Lake(tables)
+    known = tuple(t for _, types, _ in _COMPARABLE for t in types)
+    every = {cid for _, columns in lake.tables for cid, f, _ in columns if isinstance(f.dataType, known)}
+
+    def passing(wanted: set[int], exact: bool) -> DataFrame:
+        counts = _shared_values(lake, wanted, exact)
+        own = counts.where("a = b").select("a", F.col("n").alias("child_values"))
+        pairs = counts.where("a <> b").withColumnRenamed("n", "matched_values").join(lake.small(own), "a")
+        share = percent(F.col("matched_values"), F.col("child_values"))
+        return pairs.withColumn("overlap_percent", share).where(F.col("overlap_percent") >= min_overlap_percent)
+
+    if not every:
+        return literal_rows(lake.spark, _INCLUSION, [])
+    first = materialize(passing(every, False), "inclusion-candidates")
+    # columns are bounded by the schema
+    wanted = {r.cid for r in first.select(F.explode(F.array("a", "b")).alias("cid")).distinct().toLocalIterator()}
+    if not wanted:
+        return literal_rows(lake.spark, _INCLUSION, [])
+    sure = passing(wanted, True).join(first.select("a", "b"), ["a", "b"], "left_semi")
+    schema = lake.schema()
+    named = lambda key, side: schema.selectExpr(f"cid AS {key}", f"table_name AS {side}_table", f"column_name AS {side}_column")
+    return sure.join(lake.small(named("a", "child")), "a").join(lake.small(named("b", "parent")), "b").select(
+        "child_table", "child_column", "parent_table", "parent_column", "child_values", "matched_values", "overlap_percent",
+        (F.col("matched_values") == F.col("child_values")).alias("is_included"),
+    )
+
+
+_INCLUSION = (
+    "child_table string, child_column string, parent_table string, parent_column string, child_values bigint, "
+    "matched_values bigint, overlap_percent double, is_included boolean"
+)

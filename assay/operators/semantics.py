@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay import rules
-from assay.functions import literal_rows, long_form, numeric_sql, type_category
+from assay.functions import literal_rows, numeric_sql, type_category
 
 KEY = ["run_id", "table_name"]
 
@@ -174,39 +176,112 @@ def interesting_columns(profile: DataFrame) -> DataFrame:
 
 # --- correlations -------------------------------------------------------------
 
+#: columns whose products one scan makes: up to five square matrices of this width lie in a task
+BLOCK = 1024
+_MOMENTS = ("n", "mean_a", "mean_b", "m2_a", "m2_b", "c", "odd")
+_MOMENT_ROWS = "i int, " + ", ".join(f"{name} array<double>" for name in _MOMENTS)
+
+
+def _moments(x: np.ndarray, y: np.ndarray, shift_x: np.ndarray, shift_y: np.ndarray) -> list[np.ndarray]:
+    """Sums over the rows where both are known, for each column of ``x`` with each of ``y``; nulls are NaN."""
+    known_x, known_y = ~np.isnan(x), ~np.isnan(y)
+    finite_x, finite_y = np.isfinite(x), np.isfinite(y)
+    a, b = np.where(finite_x, x - shift_x, 0.0), np.where(finite_y, y - shift_y, 0.0)
+    mx, my = known_x.astype(float), known_y.astype(float)
+    odd = (known_x & ~finite_x).astype(float).T @ my + mx.T @ (known_y & ~finite_y).astype(float)
+    return [mx.T @ my, a.T @ my, mx.T @ b, (a * a).T @ my, mx.T @ (b * b), a.T @ b, odd]
+
+
+def _centred(sums: list[np.ndarray], shift_x: np.ndarray, shift_y: np.ndarray) -> list[np.ndarray]:
+    """Counts, means and central moments from sums of shifted values."""
+    n, sa, sb, saa, sbb, sab, odd = sums
+    count = np.maximum(n, 1)
+    m2_a, m2_b = saa - sa * sa / count, sbb - sb * sb / count
+    # what rounding leaves of values that are all equal is nothing
+    m2_a, m2_b = np.where(m2_a > 1e-13 * saa, m2_a, 0.0), np.where(m2_b > 1e-13 * sbb, m2_b, 0.0)
+    return [n, shift_x[:, None] + sa / count, shift_y[None, :] + sb / count, m2_a, m2_b, sab - sa * sb / count, odd]
+
+
+def _together(p: list[np.ndarray], q: list[np.ndarray]) -> list[np.ndarray]:
+    """Moments of two disjoint sets of rows put together."""
+    n = p[0] + q[0]
+    share = q[0] / np.maximum(n, 1)
+    da, db = np.where(p[0] * q[0] > 0, q[1] - p[1], 0.0), np.where(p[0] * q[0] > 0, q[2] - p[2], 0.0)
+    mean = [np.where(p[0] > 0, u + d * share, v) for u, v, d in ((p[1], q[1], da), (p[2], q[2], db))]
+    w = p[0] * share
+    return [n, *mean, p[3] + q[3] + da * da * w, p[4] + q[4] + db * db * w, p[5] + q[5] + da * db * w, p[6] + q[6]]
+
+
+def _block_moments(df: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
+    """One row per column of ``rows``, with an array over ``columns`` for each moment; a partial per task is shuffled."""
+    same = rows == columns
+    width = len(rows)
+
+    def shifts(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The first value of every column, so that constant columns are exactly 0."""
+        at = np.argmax(np.isfinite(x), axis=0)
+        first = x[at, np.arange(x.shape[1])]
+        return np.where(np.isnan(before) & np.isfinite(first), first, before)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            shift = shifts(data, np.full(data.shape[1], np.nan))
+            shift = np.nan_to_num(shift)
+            x, y = data[:, :width], data if same else data[:, width:]
+            sx, sy = shift[:width], shift if same else shift[width:]
+            part = _centred(_moments(x, y, sx, sy), sx, sy)
+            total = part if total is None else _together(total, part)
+        if total is not None:
+            columns_ = [pa.array(range(width), pa.int32())] + [pa.array(list(m), pa.list_(pa.float64())) for m in total]
+            yield pa.RecordBatch.from_arrays(columns_, names=["i", *_MOMENTS])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = [np.array(row[m]) for m in _MOMENTS]
+                totals[row["i"]] = _together(totals[row["i"]], part) if row["i"] in totals else part
+        if totals:
+            columns_ = [pa.array(totals, pa.int32())] + [pa.array([t[k] for t in totals.values()], pa.list_(pa.float64())) for k in range(len(_MOMENTS))]
+            yield pa.RecordBatch.from_arrays(columns_, names=["i", *_MOMENTS])
+
+    values = df.selectExpr(*rows, *([] if same else columns))
+    return values.mapInArrow(counted, _MOMENT_ROWS).repartition("i").mapInArrow(added, _MOMENT_ROWS)
+
+
 def correlation_pairs(df: DataFrame) -> DataFrame:
     """(col_a, col_b, r) for all pairs of numeric columns, nulls left out pair by pair.
 
-    Pairs are laid out as rows of each task and aggregated where they stand; one
-    row per pair and task is shuffled. A pass computes up to ``STACK_WIDTH`` pairs
-    and reads only their columns, so wide tables get more passes, not larger ones.
+    One scan makes the moments of all pairs of up to ``BLOCK`` columns as products of matrices of values, squares and known
+    values, batch by batch; each task sends one row per column. Wider tables take a scan per pair of blocks. ``r`` is null
+    where a column has one value only, or no value beside the other's, and NaN where values are infinite.
     """
     cols = [f for f in df.schema.fields if type_category(f.dataType) == "numeric"]
-    pairs = list(combinations(cols, 2))
     spark = df.sparkSession
-    names = literal_rows(
-        spark, "cid int, col_a string, col_b string",
-        [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)],
+    pairs = literal_rows(
+        spark, "i int, j int, col_a string, col_b string",
+        [(i, j, a.name, b.name) for (i, a), (j, b) in combinations(enumerate(cols), 2)],
     )
-    long = long_form(
-        [
-            (
-                df,
-                [
-                    (i, [numeric_sql(a.name, a.dataType), numeric_sql(b.name, b.dataType)])
-                    for i, (a, b) in enumerate(pairs)
-                ],
+    named = [f"{numeric_sql(f.name, f.dataType)} AS c{i}" for i, f in enumerate(cols)]
+    blocks = [named[k : k + BLOCK] for k in range(0, len(named), BLOCK)]
+    parts = []
+    for (p, rows), (q, columns) in combinations_with_replacement(enumerate(blocks), 2):
+        moments = _block_moments(df, rows, columns)
+        entry = F.posexplode(F.arrays_zip(*_MOMENTS))
+        parts.append(
+            moments.select("i", entry.alias("j", "m")).where(f"i + {p * BLOCK} < j + {q * BLOCK}").select(
+                (F.col("i") + p * BLOCK).alias("i"), (F.col("j") + q * BLOCK).alias("j"),
+                F.expr("CASE WHEN m.odd > 0 THEN double('nan') ELSE try_divide(m.c, sqrt(m.m2_a) * sqrt(m.m2_b)) END AS r"),
             )
-        ],
-        ["a", "b"],
-    )
-    if long is None:
-        return names.selectExpr("col_a", "col_b", "CAST(NULL AS DOUBLE) AS r")
-    # corr() itself divides by zero for a constant column
-    r = F.expr("try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b)) AS r")
-    found = long.where("a IS NOT NULL AND b IS NOT NULL").groupBy("cid").agg(r)
-    # at most one row per pair on either side
-    return names.join(found, "cid", "left").select("col_a", "col_b", "r")
+        )
+    if not parts:
+        return pairs.selectExpr("col_a", "col_b", "CAST(NULL AS DOUBLE) AS r")
+    # one row per pair on either side
+    return pairs.join(reduce(DataFrame.unionAll, parts), ["i", "j"], "left").select("col_a", "col_b", "r")
 
 
 def correlations(

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay import rules
 from assay.functions import literal_rows, missing_sql, quoted, type_category
 from assay.operators.profile import Lake
+from assay.sources.files import read, suffix
 
 
 def table_inventory(spark: SparkSession, tables: Mapping[str, DataFrame], namespace: str) -> DataFrame:
@@ -39,7 +42,7 @@ def schema_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
         [(cid, sql_type(f.dataType)) for _, columns in lake.tables for cid, f, _ in columns],
     )
     nulls = (
-        lake.long(None, lambda f: missing_sql(f.name, f.dataType))
+        lake.long(["v"], lambda f, _: [missing_sql(f.name, f.dataType)])
         .groupBy("cid")
         .agg(F.expr("bool_or(v) AS is_nullable"))
     )
@@ -65,6 +68,31 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def row_estimates(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
+    """(table_name, row_count, basis) of tables named in the catalogue or lying at a path, without reading their rows if possible.
+
+    ``basis`` is ``statistics`` where the catalogue knows the number, which may be out of date, ``footers`` for Parquet, whose
+    files say how many rows they hold, and ``count`` for all others, whose rows are counted.
+    """
+    known, counted = [], {}
+    for name, source in sources.items():
+        if spark.catalog.tableExists(source) if "/" not in source else False:
+            described = spark.sql(f"DESCRIBE TABLE EXTENDED {source}").where("col_name IN ('Statistics', 'Provider')")
+            facts = {r.col_name: r.data_type for r in described.collect()}
+            rows = re.search(r"(\d+) rows", facts.get("Statistics", ""))
+            if rows:
+                known.append((name, int(rows[1])))
+                continue
+            counted[name] = spark.table(source), "footers" if facts.get("Provider", "").lower() == "parquet" else "count"
+        else:
+            counted[name] = read(spark, source), "footers" if suffix(source) == ".parquet" else "count"
+    frames = [literal_rows(spark, "table_name string, row_count bigint, basis string", [(n, k, "statistics") for n, k in known])]
+    if counted:
+        bases = literal_rows(spark, "table_name string, basis string", [(n, b) for n, (_, b) in counted.items()])
+        frames.append(row_counts({n: df for n, (df, _) in counted.items()}).join(bases, "table_name"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def size_category(rows: Column) -> Column:
     return F.when(rows < 100_000, "small").when(rows < 10_000_000, "medium").otherwise("large")
 
@@ -104,46 +132,46 @@ def table_summary(described: DataFrame) -> DataFrame:
     ).orderBy("table_name")
 
 
-def asset_freshness(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per table the newest value of its first column that holds dates.
+#: What a date looks like, before anything is parsed: no numbers, no times of day, no long texts.
+_DATE_SHAPE = "length(v) BETWEEN 8 AND 48 AND v RLIKE '^ *[+-]?[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}'"
 
-    Time columns come before strings of which over half parse as a date. Both
-    columns are null for a table with neither; see ``file_freshness`` for those.
-    """
-    lake = Lake(tables)
-    typed = lake.long("datetime", lambda f: f"CAST({quoted(f.name)} AS TIMESTAMP_NTZ)")
-    texts = lake.long("string", lambda f: quoted(f.name))
-    frames = []
-    if typed is not None:
-        frames.append(typed.selectExpr("cid", "0 AS kind", "v AS ts", "v IS NOT NULL AS present"))
-    if texts is not None:
-        frames.append(
-            texts.selectExpr(
-                "cid", "1 AS kind", "CAST(try_to_timestamp(v) AS TIMESTAMP_NTZ) AS ts",
-                "v IS NOT NULL AS present",
-            )
-        )
-    schema = lake.schema()
-    names = schema.select("table_name").distinct()
-    if not frames:
-        return names.selectExpr(
-            "table_name", "CAST(NULL AS STRING) AS column_name", "CAST(NULL AS TIMESTAMP_NTZ) AS latest"
-        )
+
+def _newest(lake: Lake, category: str, value: str) -> DataFrame | None:
+    """(table_name, column_name, latest) of the first column of a category that holds dates in over half of its values."""
+    rows = lake.long(["v"], lambda f, _: [quoted(f.name) if category == "string" else f"CAST({quoted(f.name)} AS TIMESTAMP_NTZ)"], lambda _, c: c == category)
+    if rows is None:
+        return None
     newest = (
-        reduce(DataFrame.unionAll, frames)
-        .groupBy("cid", "kind")
-        .agg(
-            F.expr("max(ts) AS latest"), F.expr("try_divide(count(ts), count_if(present)) AS rate")
-        )
-        .where("rate > 0.5")
-    )
-    best = (
-        schema.join(lake.small(newest), "cid")
-        .groupBy("table_name")
-        .agg(F.expr("min(struct(kind, cid, column_name, latest)) AS best"))
-        .selectExpr("table_name", "best.column_name", "best.latest")
+        rows.where("v IS NOT NULL").selectExpr("cid", f"{value} AS ts").groupBy("cid")
+        .agg(F.expr("max(ts) AS latest"), F.expr("try_divide(count(ts), count(*)) AS rate")).where("rate > 0.5")
+    )
+    first = lake.schema().join(lake.small(newest), "cid").groupBy("table_name")
+    return first.agg(F.expr("min(struct(cid, column_name, latest)) AS best")).selectExpr(
+        "table_name", "best.column_name", "best.latest"
     )
-    return names.join(best, "table_name", "left")
+
+
+def asset_freshness(tables: Mapping[str, DataFrame], files: bool = False) -> DataFrame:
+    """Per table the newest value of its first column that holds dates, and what that rests on.
+
+    Time columns come before strings; strings are looked at only in tables whose time columns, if any, are empty, and parsed
+    only where they have the shape of a date. With ``files`` a table that has neither gets the time its files were changed,
+    if it is read from files. ``basis`` is ``column``, ``file`` or ``none``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    found = []  # one row per table
+    left = dict(tables)
+    for category, value in (
+        ("datetime", "v"), ("string", f"CASE WHEN {_DATE_SHAPE} THEN CAST(try_to_timestamp(v) AS TIMESTAMP_NTZ) END"),
+    ):
+        newest = _newest(Lake(left), category, value) if left else None
+        for r in newest.toLocalIterator() if newest is not None else ():
+            found.append((r.table_name, r.column_name, r.latest, "column"))
+            left.pop(r.table_name)
+    for name, df in left.items():
+        changed = file_time(df) if files else None
+        found.append((name, None, changed, "file" if changed else "none"))
+    return literal_rows(spark, "table_name string, column_name string, latest timestamp_ntz, basis string", found)
 
 
 def file_freshness(df: DataFrame) -> DataFrame:
@@ -153,6 +181,15 @@ def file_freshness(df: DataFrame) -> DataFrame:
     )
 
 
+def file_time(df: DataFrame):
+    """The newest modification time of the files behind a table; None where it isn't read from files."""
+    try:
+        found = file_freshness(df)
+    except AnalysisException:  # no _metadata: a query, a view or a local table
+        return None
+    return found.selectExpr("CAST(latest AS TIMESTAMP_NTZ) AS latest").first().latest
+
+
 def freshness_columns(df: DataFrame) -> list[str]:
     """Columns named like dates, for callers that want to choose themselves."""
     return [c for c in df.columns if any(w in c.lower() for w in rules.DATE_NAME_WORDS)]

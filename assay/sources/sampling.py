@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assay.functions import quoted
+
 
 def head(df: DataFrame, n: int = 10_000, order_by: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows, by ``order_by`` where a stable result is wanted."""
@@ -52,18 +54,57 @@ def sampling_plan(
     )
 
 
+def _place(df: DataFrame, key: list[str] | None, seed: int) -> Column:
+    """60 bits of a row's SHA-256 with the seed: its place among all rows. Nulls differ from empty texts."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("-")) for c in key]
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def exactly(df: DataFrame, n: int, key: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """A uniform sample of exactly ``n`` rows (all, if there are fewer): those whose hashes come first.
+
+    The hash is that of ``key``, which should tell rows apart, or else of the whole row, so the sample does not depend on how
+    the table is partitioned. The ``n``-th hash is found by counting rows per range of hashes, 65,536 ranges at a time, until
+    its range holds few; one filter then takes the rows. Of rows with the very hash of the ``n``-th, any are taken.
+    """
+    key = key or [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    place = _place(df, key, seed)
+    low, bits, need = 0, 60, n
+    if n <= 0:
+        return df.limit(0)
+    while True:
+        width = max(bits - 16, 0)
+        inside = df.select(place.alias("h")).where((F.col("h") >= low) & (F.col("h") < low + (1 << bits)))
+        counts = inside.groupBy(F.shiftright(F.col("h") - low, width).alias("range")).count()
+        ranges = sorted(map(tuple, counts.toLocalIterator()))  # at most 65,536
+        for part, rows in ranges:
+            if need <= rows:
+                break
+            need -= rows
+        else:
+            return df  # fewer rows than asked for
+        low, bits = low + (part << width), width
+        if rows <= 10_000 or not bits:
+            break
+    here = (place >= low) & (place < low + (1 << bits))
+    nth = df.where(here).select(place.alias("h")).orderBy("h").limit(need).collect()[-1].h if bits else low
+    below = df.where(place < nth)
+    return below.unionAll(df.where(place == nth).limit(n - below.count()))
+
+
 def extract(
-    df: DataFrame, method: str, rate: float, max_rows: int, seed: int = 42, row_count: int | None = None
+    df: DataFrame, method: str, rate: float, max_rows: int, seed: int = 42, row_count: int | None = None,
+    key: list[str] | None = None,
 ) -> DataFrame:
-    """Apply one row of a sampling plan.
+    """Apply one row of a sampling plan: all rows, or exactly the expected number from all of the table.
 
-    ``max_rows`` lowers the rate, so that about so many rows come from all of the table; a limit would
-    take them from its first partitions. ``row_count`` saves counting.
+    ``row_count`` saves counting; ``key`` names columns that tell rows apart, which saves hashing all others.
     """
     if method == "full":
         return df
     total = df.count() if row_count is None else row_count
-    return bernoulli(df, min(rate, max_rows / total) if total else rate, seed)
+    return exactly(df, min(int(total * rate), max_rows), key, seed)
 
 
 def stratified_by_date(

@@ -65,7 +65,6 @@ def headline(spark):
         "profile_distinct": lambda: profile(P.DISTINCT),
         "profile_top_values": lambda: profile(P.TOP),
         "profile_quantiles": lambda: profile(P.QUANTILES),
-        "profile_quantiles_bracketed": lambda: profile(P.QUANTILES, quantile_method="bracket"),
         "profile_orders_x50": lambda: P.column_profile(wide(spark), "wide", parts=P.ALL_PARTS),
         "profile_texts": lambda: P.column_profile(
             raw(spark, SF_DIR, "documents"), "documents", parts=P.ALL_PARTS

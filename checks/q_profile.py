@@ -62,8 +62,8 @@ _profile_query(
 
 
 def _quantiles_at_scale(spark, sf):
-    """The plan for inputs too large to sort in one task gives the same quantiles."""
-    df = prof(spark, sf, parts=(P.STATS, P.QUANTILES), quantile_method="bracket")
+    """Quantiles together with all that reads the stored value counts."""
+    df = prof(spark, sf, parts=(P.STATS, P.DISTINCT, P.TOP, P.OUTLIERS))
     df = df.where("type_category = 'numeric'").select("table_name", "column_name", "q25", "median", "q75")
     return shaped(df)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from assay.operators import profile as P
 from assay.operators import relate as R
 from assay.sinks.runs import materialize
-from checks.lake import from_sql, over_profile, over_views, rounded, shaped, view
+from checks.lake import SHOP, VIEWS, from_sql, lake, over_profile, over_views, rounded, shaped, view
 from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
@@ -145,3 +145,48 @@ ORACLE["fk_overlap"] = rounded(
     ),
     ["overlap_percent"],
 )
+
+# --- the whole lake at once ---------------------------------------------------
+
+QUERIES["inclusion_dependencies"] = lambda s, d: shaped(R.inclusion_dependencies(lake(s, d)))
+
+
+def _inclusion_sql() -> str:
+    """Every column's distinct values, joined column by column."""
+    kinds = {"int": ("i", "BIGINT"), "bigint": ("i", "BIGINT"), "double": ("n", "DOUBLE"), "string": ("s", "VARCHAR")}
+    parts = []
+    for t in SHOP:
+        for c, kind, category in VIEWS[t][1]:
+            cls, cast = ("t", "TIMESTAMP") if category == "datetime" else kinds.get(kind, ("n", "DOUBLE") if category == "numeric" else (None, None))
+            if cls:
+                parts.append(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{cls}' AS k, CAST(CAST({c} AS {cast}) AS VARCHAR) AS v FROM v_{t} WHERE {c} IS NOT NULL")
+    values = "\nUNION ALL ".join(parts)
+    return over_views(f""", x AS MATERIALIZED ({values}), own AS (SELECT t, c, count(*) AS n FROM x GROUP BY t, c),
+m AS (SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, count(*) AS matched_values
+      FROM x a JOIN x b ON a.k = b.k AND a.v = b.v AND (a.t <> b.t OR a.c <> b.c) GROUP BY ALL)
+SELECT m.*, n AS child_values, matched_values * 100.0 / n AS overlap_percent, matched_values = n AS is_included
+FROM m JOIN own ON own.t = child_table AND own.c = child_column WHERE matched_values * 100.0 / n >= 80""")
+
+
+ORACLE["inclusion_dependencies"] = rounded(_inclusion_sql(), ["overlap_percent"])
+QUERIES["join_classes"] = lambda s, d: shaped(R.join_classes(stored(s, d, parts=PARTS)).drop("run_id"))
+ORACLE["join_classes"] = over_profile(
+    """SELECT * FROM (
+         SELECT column_name, data_type, table_name, unique_percent > 95 AS is_key, count(*) OVER w AS members,
+                count(*) FILTER (unique_percent > 95) OVER w AS keys,
+                CASE WHEN column_name LIKE '%id%' AND max(unique_percent) OVER w > 90 THEN 'high'
+                     WHEN max(unique_percent) OVER w > 50 THEN 'medium' ELSE 'low' END AS confidence
+         FROM p WHERE regexp_matches(column_name, 'id|key|code') WINDOW w AS (PARTITION BY column_name, data_type))
+       WHERE members > 1"""
+)
+QUERIES["path_hubs"] = lambda s, d: shaped(R.path_hubs(edges(s, d)).drop("run_id"))
+ORACLE["path_hubs"] = _sql(
+    """, e AS (SELECT table1, table2, list_position(['low', 'medium', 'high'], confidence) AS strength FROM jc),
+    bothways AS (SELECT * FROM e UNION ALL SELECT table2, table1, strength FROM e)
+    SELECT middle_table, any_value(n) AS neighbours, count(*) AS paths, count(*) FILTER (weak = 3) AS sure_paths,
+           ['low', 'medium', 'high'][max(weak)] AS confidence
+    FROM (SELECT f.table2 AS middle_table, least(f.strength, s.strength) AS weak
+          FROM bothways f JOIN bothways s ON f.table2 = s.table1 AND f.table1 <> s.table2 WHERE f.strength >= 2)
+    JOIN (SELECT table2 AS middle_table, count(DISTINCT table1) AS n FROM bothways GROUP BY 1) USING (middle_table)
+    GROUP BY middle_table"""
+)

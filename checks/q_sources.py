@@ -96,7 +96,7 @@ def _raw_tables(spark, sf):
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW)
 QUERIES["table_row_counts"] = lambda s, d: shaped(inventory.row_counts(_raw_tables(s, d)))
 ORACLE["table_row_counts"] = _COUNTS
-QUERIES["asset_freshness"] = lambda s, d: shaped(inventory.asset_freshness(lake(s, d)))
+QUERIES["asset_freshness"] = lambda s, d: shaped(inventory.asset_freshness(lake(s, d)).drop("basis"))
 ORACLE["asset_freshness"] = over_views(
     """SELECT 'orders' AS table_name, 'order_date' AS column_name, max(order_date) AS latest FROM v_orders
        UNION ALL SELECT 'order_items', 'ship_date', max(ship_date) FROM v_order_items
@@ -104,6 +104,51 @@ ORACLE["asset_freshness"] = over_views(
        UNION ALL SELECT 'activity', 'created_at', max(created_at) FROM v_activity
        UNION ALL SELECT 'products', NULL, NULL"""
 )
+
+
+def _freshness_basis(spark, sf):
+    """Raw tables, some without any date: these get the time of their files, which SQL over the tables can't know."""
+    fresh = inventory.asset_freshness(_raw_tables(spark, sf), files=True)
+    latest = F.when(F.col("basis") == "column", F.col("latest"))
+    return shaped(fresh.select("table_name", "column_name", "basis", latest.alias("latest"), F.col("latest").isNotNull().alias("known")))
+
+
+_DATED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+QUERIES["asset_freshness_basis"] = _freshness_basis
+ORACLE["asset_freshness_basis"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{_DATED[t]}' AS column_name, 'column' AS basis, CAST(max({_DATED[t]}) AS TIMESTAMP) AS latest, true AS known FROM {t}"
+    if t in _DATED
+    else f"SELECT '{t}', NULL, 'file', NULL, true"
+    for t in sorted(RAW, key=lambda t: t not in _DATED)
+)
+
+
+def _estimates(spark, sf):
+    """A table with statistics in the catalogue, one without them, a Parquet file, and lines of JSON."""
+    names = {"orders": "assay_with_statistics", "customer": "assay_without_statistics"}
+    for table, name in names.items():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{sf}/{table}.parquet'")
+    spark.sql("ANALYZE TABLE assay_with_statistics COMPUTE STATISTICS")
+    path = scratch_path(spark, "nations") + ".jsonl"
+    raw(spark, sf, "nation").write.json(path)
+    found = inventory.row_estimates(spark, names | {"part": f"{sf}/part.parquet", "nation": path})
+    return shaped(found)
+
+
+QUERIES["row_estimates"] = _estimates
+ORACLE["row_estimates"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, '{basis}' AS basis FROM {t}"
+    for t, basis in (("orders", "statistics"), ("customer", "footers"), ("part", "footers"), ("nation", "count"))
+)
+QUERIES["sample_exact"] = lambda s, d: shaped(
+    sampling.extract(raw(s, d, "lineitem"), "sample", 0.05, 2_000, key=["l_orderkey", "l_linenumber"])
+    .select("l_orderkey", "l_linenumber")
+)
+ORACLE["sample_exact"] = """
+SELECT l_orderkey, l_linenumber FROM lineitem
+ORDER BY ('0x' || substr(sha256('42|=' || l_orderkey || '|=' || l_linenumber), 1, 15))::BIGINT
+LIMIT (SELECT least(CAST(floor(count(*) * 0.05) AS BIGINT), 2000) FROM lineitem)"""
 QUERIES["sample_head"] = lambda s, d: shaped(
     sampling.head(view(s, d, "order_items"), 500, ["order_id", "product_id", "line_number", "price"])
 )

@@ -99,9 +99,8 @@ def test_many_columns_and_tables(spark):
     assert all(got["wide", f"c{i}"]["unique_count"] == min(i + 1, 20) for i in range(120))
 
 
-@pytest.mark.parametrize("method", ["window", "bracket"])
 @pytest.mark.parametrize("shape", ["uniform", "hot", "ties", "tiny"])
-def test_quantiles_match_a_sort(spark, method, shape):
+def test_quantiles_match_a_sort(spark, shape):
     rng = np.random.default_rng(3)
     v = {
         "uniform": rng.normal(size=60_000),
@@ -113,7 +112,7 @@ def test_quantiles_match_a_sort(spark, method, shape):
     values = spark.createDataFrame(pd.DataFrame({"cid": 0, "v": v}))
     freq = values.groupBy("cid", "v").agg(F.count("*").alias("n"))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = QT.quantiles(freq, values, probs, method).first()
+    got = QT.quantiles(freq, probs).first()
     want = np.quantile(v, probs)
     assert np.allclose([got[f"p{i}"] for i in range(len(probs))], want, rtol=1e-12, atol=1e-12)
 
@@ -133,15 +132,47 @@ def test_sketched_profile_is_close(spark):
     assert abs(got["a"]["unique_count"] - 20_000) < 2_000 and abs(got["s"]["unique_count"] - 50) < 5
 
 
-def test_frequencies_are_shuffled_once_and_pruned(spark):
-    """Distinct counts, top values and quantiles share one exchange of value counts."""
-    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_tax")
-    profile = P.column_profile(df, "lineitem", parts=(P.DISTINCT, P.TOP, P.QUANTILES))
+def test_a_column_is_sorted_by_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if there were more data
+    freq = spark.range(200_000).selectExpr("id % 2 AS cid", "CAST(id AS DOUBLE) AS v", "1L AS n")
+    blocks = {(r.cid, r.block): r["count"] for r in QT.ranged(freq.repartition(8)).groupBy("cid", "block").count().collect()}
+    assert sum(cid == 0 for cid, _ in blocks) >= 4 and max(blocks.values()) < 60_000
+    got = {r.cid: r.p0 for r in QT.quantiles(freq, [0.5]).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {0: 99_999.0, 1: 100_000.0}
+
+
+def test_frequencies_are_shuffled_once_and_pruned(spark, monkeypatch):
+    """One scan and one exchange of raw values for what is counted, one scan for statistics; all else reads stored counts."""
+    frames, store = [], P.materialize
+
+    def stored(df, label):
+        frames.append((label, df))
+        return store(df, label)
+
+    monkeypatch.setattr(P, "materialize", stored)
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_tax", "l_shipdate", "l_orderkey")
+    profile = P.column_profile(df, "lineitem")
     profile.collect()
-    plan = profile._jdf.queryExecution().executedPlan().toString()
-    assert "l_comment" not in plan and "l_shipdate" not in plan
-    assert "WindowGroupLimit" in plan
-    assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+    of = lambda frame: frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    plans = {label: of(df) for label, df in frames}
+    final = of(profile)
+    for plan in (*plans.values(), final):
+        assert "l_comment" not in plan and "CartesianProduct" not in plan and "PythonUDF" not in plan
+    assert set(plans) == {"statistics", "frequencies", "top-values"} and "WindowGroupLimit" in plans["top-values"]
+    scans = lambda text: text.count("lineitem.parquet")
+    assert plans["frequencies"].count("Exchange") == 1 and scans(plans["top-values"]) == 0
+    assert scans(plans["statistics"]) == 1 and scans(final) == 0
+    assert sum(map(scans, plans.values())) <= 4
+
+
+def test_long_texts_are_read_again_only_where_they_win(spark):
+    texts = spark.range(50).selectExpr("repeat(CAST(id AS STRING), 200) AS long", "CAST(id % 3 AS STRING) AS short", "id")
+    best = P._top(P.Lake({"t": texts}), P._frequencies(P.Lake({"t": texts})), 2)
+    assert {len(v.value) for r in best.where("cid = 0").collect() for v in r.tops} == {200}
+    short = texts.select("short", "id")
+    plan = P._top(P.Lake({"t": short}), P._frequencies(P.Lake({"t": short})), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "Join" not in plan
 
 
 def test_values_are_told_apart(spark):

@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows
 
 from assay.operators import duplicates as D
@@ -102,3 +103,20 @@ def test_repeated_rows_are_equal_rows(spark):
     assert one(zeros) == 1
     wide = spark.range(4).selectExpr(*[f"id % 2 AS c{i}" for i in range(70)], "map('a', id % 2) AS m")
     assert one(wide) == 2 and one(spark.range(0)) == 0
+
+
+@pytest.mark.parametrize("few", [4_000_000, 0])
+def test_repeated_rows_move_once_per_task(spark, monkeypatch, few):
+    from assay.operators import duplicates as D
+
+    monkeypatch.setattr(D, "FEW", few)
+    hot = spark.range(0, 30_000, 1, 6).selectExpr("0L AS a", "'hot' AS b", "map('k', 1) AS m")
+    twice = spark.range(0, 500, 1, 2).selectExpr("id + 1 AS a", "CAST(NULL AS STRING) AS b", "map('k', 2) AS m")
+    once = spark.range(0, 60_000, 1, 6).selectExpr("id AS a", "'x' AS b", "map('k', 3) AS m")
+    df = hot.unionAll(twice).unionAll(twice).unionAll(once)
+    groups = D.repeated_groups(df.drop("m"))
+    assert {(r.copies, r.groups) for r in groups.collect()} == {(1, 60_000), (2, 500), (30_000, 1)}
+    got = D.duplicate_rows(df.drop("m"), "t").first()
+    assert (got.row_count, got.duplicate_rows) == (91_000, 30_499)
+    assert D.duplicate_rows(once.drop("m"), "t").first().duplicate_rows == 0
+    assert D.duplicate_rows(once.drop("m").limit(0), "t").first().row_count == 0

@@ -72,3 +72,45 @@ def test_checks_on_data_with_a_hot_key(spark):
     bad = {r["k"]: r for r in rows(R.pk_violations(child, ["k"]))}
     assert bad[None]["violation"] == "null key" and bad[None]["row_count"] == 1000
     assert bad[1]["violation"] == "repeated key" and 777 not in bad
+
+
+def test_inclusion_over_a_lake(spark):
+    tables = {
+        "parents": spark.range(100).selectExpr("id AS pk", "CAST(id AS STRING) AS code", "id * 0.5D AS half"),
+        "children": spark.range(500).selectExpr("CAST(id % 90 AS INT) AS parent", "IF(id % 9 = 0, NULL, CAST(id % 120 AS STRING)) AS said"),
+        "others": spark.range(50).selectExpr("id + 1000 AS far", "array(id) AS nested", "true AS flag"),
+    }
+    got = {(r["child_table"], r["child_column"], r["parent_table"], r["parent_column"]): r for r in rows(R.inclusion_dependencies(tables))}
+    assert set(got) == {
+        ("children", "parent", "parents", "pk"), ("parents", "pk", "children", "parent"), ("children", "said", "parents", "code"),
+        ("parents", "code", "children", "said"),
+    }
+    whole = got["children", "parent", "parents", "pk"]
+    assert (whole["child_values"], whole["matched_values"], whole["is_included"]) == (90, 90, True)
+    assert got["parents", "pk", "children", "parent"]["overlap_percent"] == 90.0
+    assert R.inclusion_dependencies({"others": tables["others"]}).count() == 0
+    assert R.inclusion_dependencies({"flags": tables["others"].select("flag")}).count() == 0
+
+
+def test_classes_of_many_tables_stay_small(spark):
+    tables = {f"t{i}": spark.range(20 + i).toDF("id") for i in range(12)}
+    profile = P.profile_tables(tables, parts=PARTS)
+    got = rows(R.join_classes(profile))
+    assert len(got) == 12 and {(r["members"], r["keys"], r["confidence"]) for r in got} == {(12, 12, "high")}
+    assert R.join_candidates(profile).count() == 66
+
+
+def test_hubs_count_the_paths_that_are_listed(spark):
+    edges = spark.createDataFrame(
+        [(a, b, f"c{a}", f"c{b}", k) for a, b, k in [
+            ("a", "m", "high"), ("b", "m", "high"), ("c", "m", "medium"), ("d", "m", "low"), ("a", "b", "low"), ("a", "m", "low"),
+        ]], "table1 string, table2 string, column1 string, column2 string, confidence string",
+    ).selectExpr("CAST(NULL AS STRING) AS run_id", "*")
+    hubs = {r["middle_table"]: r for r in rows(R.path_hubs(edges))}
+    listed = {}
+    for r in rows(R.join_paths(edges)):
+        listed.setdefault(r["middle_table"], []).append(r["confidence"])
+    assert {m: r["paths"] for m, r in hubs.items()} == {m: len(x) for m, x in listed.items()}
+    for m, x in listed.items():
+        assert hubs[m]["sure_paths"] == x.count("high")
+        assert hubs[m]["confidence"] == min(x, key=["high", "medium", "low"].index)

@@ -1,4 +1,7 @@
+import numpy as np
+import pandas as pd
 from conftest import rows
+from pyspark.sql import functions as F
 
 from assay.operators import hidden as H
 from assay.operators import missing as X
@@ -89,3 +92,46 @@ def test_hidden_types(spark):
     assert hidden(spark, ["", "  ", None]) == (set(), None)
     assert hidden(spark, ["word " * 150, "text " * 150]) == ({"long"}, "free_text")
     assert "number" not in hidden(spark, ["1d", "2f", "0x1"])[0]
+
+
+def test_correlations_of_blocks_and_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.normal(1e6, 1.0, (3000, 7))
+    data[:, 1] = data[:, 0] * 2 + rng.normal(0, 0.1, 3000)
+    data[:, 5] = 4.2
+    data[rng.random(data.shape) < 0.2] = np.nan
+    frame = pd.DataFrame(data, columns=[f"v.{i}" for i in range(7)])
+    want = frame.corr(min_periods=1)
+    df = spark.createDataFrame(frame).repartition(5).selectExpr("*", "'text' AS s", "IF(`v.0` IS NULL, 1D, 2D) AS rare")
+    for block in (1024, 3):
+        monkeypatch.setattr(C, "BLOCK", block)
+        got = {(r["col_a"], r["col_b"]): r["r"] for r in rows(C.correlation_pairs(df))}
+        assert len(got) == 28
+        for (a, b), r in got.items():
+            if a == "v.5" or b == "v.5" or (a, b) == ("v.0", "rare"):
+                assert r is None  # one value only, at least beside the other column's values
+            elif b != "rare":
+                assert abs(r - want.loc[a, b]) < 1e-9
+    plan = C.correlation_pairs(df.drop("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_infinite_values_have_no_correlation(spark):
+    df = spark.range(9).selectExpr("IF(id = 3, double('inf'), id) AS a", "id AS b", "IF(id = 3, NULL, id) AS c")
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in rows(C.correlation_pairs(df))}
+    assert np.isnan(got["a", "b"]) and round(got["a", "c"], 9) == 1.0
+
+
+def test_treatment_reads_modes_of_all_types_at_once(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, 2.50BD, DATE '2024-01-02', true, 'x', 1.5D), (1, 2.50BD, DATE '2024-01-02', true, 'y', NULL), "
+        "(2, 1.00BD, DATE '2024-01-01', false, NULL, double('nan')), (NULL, NULL, NULL, NULL, NULL, 2.5D) AS t(i, d, day, b, s, m)"
+    )
+    long = "z" * 400
+    df = df.withColumn("l", F.when(F.col("i") == 1, F.lit(long)))
+    got = rows(X.apply_treatment(df, {c: ["mode"] for c in ("i", "d", "day", "b", "s", "l")} | {"m": ["mean"]}).where("m = 2.5"))[0]
+    assert (got["i"], str(got["d"]), str(got["day"]), got["b"], got["s"], got["l"]) == (1, "2.50", "2024-01-02", True, "x", long)
+    assert {r["m"] for r in rows(X.apply_treatment(df, {"m": ["mean"]}))} == {1.5, 2.0, 2.5}
+    empty = rows(X.apply_treatment(df.where("false"), {"s": ["mode"], "m": ["mean"]}))
+    nulls = rows(X.apply_treatment(df.selectExpr("CAST(NULL AS STRING) AS s"), {"s": ["mode"]}))
+    assert empty == [] and {r["s"] for r in nulls} == {None}

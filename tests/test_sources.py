@@ -81,8 +81,22 @@ def test_samples(spark):
     assert {r["stratum"]: r["count"] for r in rows(strata.groupBy("stratum").count())} == {i: 7 for i in range(4)}
     assert sampling.extract(df, "full", 1.0, 5).count() == 10_000
     some = sampling.extract(df, "sample", 0.5, 100)
-    assert 50 < some.count() < 160 and some.where("id > 5000").count() > 15  # from all of the table
-    assert 800 < sampling.extract(df, "sample", 0.1, 100_000).count() < 1200
+    assert some.count() == 100 and some.where("id > 5000").count() > 15  # from all of the table
+    assert sampling.extract(df, "sample", 0.1, 100_000).count() == 1000
+
+
+@pytest.mark.parametrize("n", [0, 1, 700, 39_999, 40_000, 50_000])
+def test_exact_samples(spark, n):
+    df = spark.range(40_000).selectExpr("id", "IF(id % 2 = 0, NULL, 'x') AS `odd.name`")
+    kept = {r.id for r in sampling.exactly(df.repartition(3), n).collect()}
+    assert len(kept) == min(n, 40_000) and kept == {r.id for r in sampling.exactly(df.repartition(7), n, seed=42).collect()}
+    if n == 700:
+        assert kept != {r.id for r in sampling.exactly(df, n, seed=1).collect()}
+
+
+def test_exact_samples_of_equal_rows(spark):
+    df = spark.range(30_000).selectExpr("IF(id < 20000, 0, id) AS v")
+    assert [sampling.exactly(df, n).count() for n in (5, 15_000, 29_999)] == [5, 15_000, 29_999]
 
 
 def test_csv_fields_hold_anything(spark, tmp_path):
@@ -120,6 +134,15 @@ def test_schema_and_freshness(spark):
     assert fresh == {"t": ("at", "2024-01-02"), "s": ("day", "2024-03-04"), "n": (None, "None")}
 
 
+def test_freshness_without_dates(spark, tmp_path):
+    put(tmp_path, "t.csv", "a,b\n1,12:30\n2,2024\n")
+    table = spark.read.option("header", True).csv(str(tmp_path / "t.csv"))
+    null_time = spark.sql("SELECT CAST(NULL AS TIMESTAMP_NTZ) AS at, '2024-03-04T05:06:07' AS said")
+    got = {r["table_name"]: r for r in rows(inventory.asset_freshness({"t": table, "q": spark.range(2), "n": null_time}, files=True))}
+    assert (got["t"]["basis"], got["t"]["column_name"]) == ("file", None) and got["t"]["latest"] is not None
+    assert got["q"]["basis"] == "none" and got["n"]["column_name"] == "said" and str(got["n"]["latest"]) == "2024-03-04 05:06:07"
+
+
 def test_run_store_and_audit(spark, tmp_path):
     root = str(tmp_path / "store")
     df = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, n int")
