@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.kpi._time import ago, ratio
+from assay.operators.semantics import bind_columns
 
 # The names a role's column goes by.
 ROLE_NAMES = {
@@ -15,6 +18,23 @@ ROLE_NAMES = {
     "voltage": ["voltage", "battery_voltage", "batteryvoltage"],
 }
 
+#: the class of columns that may stand for a role where none of its names occurs
+ROLE_CLASSES = {"device": "device_identifier", "timestamp": "timestamp"}
+
+
+def bindings(profile: DataFrame, classes: DataFrame, table: str) -> dict[str, str]:
+    """The arguments of the KPIs here for a table of a profiled run: its column for every role it has one for."""
+    found = bind_columns(classes, profile, ROLE_NAMES, ROLE_CLASSES).where(F.col("table_name") == table)
+    return {r.role: r.column_name for r in found.collect()}  # at most a row per role
+
+
+def run_bound(kpi, telemetry: DataFrame, bound: dict[str, str], *args) -> DataFrame:
+    """``kpi`` over a table whose columns have other names; a role without a column is an error."""
+    roles = [p for p in signature(kpi).parameters if p in ROLE_NAMES]
+    if lacking := [r for r in roles if r not in bound]:
+        raise ValueError(f"{kpi.__name__} needs columns for {lacking}")
+    return kpi(telemetry, *args, **{r: bound[r] for r in roles})
+
 
 def device_health(
     telemetry: DataFrame, as_of: str, device="device_id", battery="battery", timestamp="timestamp"

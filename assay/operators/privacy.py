@@ -35,7 +35,10 @@ def first_keyword(name: Column) -> Column:
 
 
 def pattern_findings(profile: DataFrame) -> DataFrame:
-    """(run, table, column, pattern, match_rate) where over half the values match."""
+    """(run, table, column, pattern, match_rate) where over half the values match.
+
+    Numbers and dates are matched as text in columns whose name is personal.
+    """
     present = F.col("total_count") - F.col("null_count")
     rates = F.array(
         *[
@@ -48,7 +51,7 @@ def pattern_findings(profile: DataFrame) -> DataFrame:
         ]
     )
     return (
-        profile.where(F.col("type_category") == "string")
+        profile.where(F.col("type_category").isin("string", "numeric", "datetime"))
         .select(*KEY, "column_name", F.inline(rates))
         .where(F.col("match_rate") > 0.5)
     )

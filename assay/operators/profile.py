@@ -180,22 +180,27 @@ def _matches(name: str) -> str:
 
 def _pattern_expressions() -> list[str]:
     words = ", ".join(text(w) for w in rules.BOOLEAN_WORDS_AND_LETTERS)
+    bare = f"trim(BOTH {text(rules.BLANKS)} FROM txt)"
     return [
         "coalesce(bool_or(contains(txt, '@')), false) AS has_email",
         f"coalesce(bool_or(txt RLIKE {text(rules.CONTAINS_PHONE)}), false) AS has_phone",
         f"coalesce(bool_or(txt RLIKE {text(rules.CONTAINS_URL)}), false) AS has_url",
         *[f"count_if({_matches(p)}) AS {p}_count" for p in rules.PII_PATTERNS],
-        "count_if(trim(txt) <> '') AS nonblank_count",
-        "count_if(startswith(ltrim(txt), '{')) AS object_count",
-        "count_if(startswith(ltrim(txt), '[')) AS array_count",
-        "count_if(startswith(ltrim(txt), '<')) AS markup_count",
+        f"count_if({bare} <> '') AS nonblank_count",
+        f"count_if(startswith({bare}, '{{')) AS object_count",
+        f"count_if(startswith({bare}, '[')) AS array_count",
+        f"count_if(startswith({bare}, '<')) AS markup_count",
         f"count_if(replace(txt, ',', '') RLIKE {text(rules.NUMBER)}) AS number_count",
         f"count_if(txt RLIKE {text(rules.CONTAINS_DATE)}) AS date_count",
-        f"count_if(length(trim(txt)) <= 5 AND lower(trim(txt)) IN ({words})) AS boolean_count",
+        f"count_if(length({bare}) <= 5 AND lower({bare}) IN ({words})) AS boolean_count",
     ]
 
 
-_STRING_COUNTS = ["empty_count", *(e.rsplit(" AS ", 1)[1] for e in _pattern_expressions())]
+_PATTERN_COUNTS = [f"{name}_count" for name in rules.PII_PATTERNS]
+_OF_STRINGS = [
+    "min_length", "max_length", "avg_length", "empty_count",
+    *(name for e in _pattern_expressions() if (name := e.rsplit(" AS ", 1)[1]) not in _PATTERN_COUNTS),
+]
 
 
 def _size_sql(f: T.StructField) -> str:
@@ -209,6 +214,10 @@ def _size_sql(f: T.StructField) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN 1 END"
 
 
+def personal_name(name: str) -> bool:
+    return any(w in name.lower() for words in rules.PII_KEYWORDS.values() for w in words)
+
+
 def _date_named(f: T.StructField) -> bool:
     return any(w in f.name.lower() for w in rules.DATE_NAME_WORDS)
 
@@ -223,8 +232,13 @@ _CLASSES = {
 }
 
 
-def _value_sql(f: T.StructField, category: str) -> dict[str, str]:
+def _value_sql(f: T.StructField, category: str, patterns: bool) -> dict[str, str]:
     c = quoted(f.name)
+    if category in ("numeric", "datetime") and patterns and personal_name(f.name):
+        # what their name says to be personal is matched against the value patterns as text
+        own = _value_sql(f, category, False)
+        (value,) = own.values()
+        return {**own, "txt": f"CASE WHEN {value} IS NOT NULL THEN CAST({c} AS STRING) END"}
     if category == "numeric":
         return {"num": numeric_sql(f.name, f.dataType)}
     if category == "string":
@@ -240,12 +254,12 @@ def _statistics(lake: Lake, patterns: bool, as_of: str | None) -> DataFrame:
     """One row per column of a table that has rows; a single scan and aggregate for all categories."""
     now = f"TIMESTAMP_NTZ {text(as_of)}" if as_of else "localtimestamp()"
     used = {
-        name for _, columns in lake.tables for _, f, category in columns for name in _value_sql(f, category)
+        name for _, columns in lake.tables for _, f, category in columns for name in _value_sql(f, category, patterns)
     }
     names = {name: kind for name, kind in _CLASSES.values() if name in used}
 
     def values(f, category):
-        own = _value_sql(f, category)
+        own = _value_sql(f, category, patterns)
         return [f"CAST({own.get(name, 'NULL')} AS {kind})" for name, kind in names.items()]
 
     missing = " AND ".join(f"{name} IS NULL" for name in names)
@@ -292,7 +306,7 @@ def _text_sql(f: T.StructField) -> str:
     return f"CAST({c} AS STRING)"
 
 
-def _frequencies(lake: Lake, digests: bool = True) -> DataFrame:
+def _frequencies(lake: Lake, digests: bool = True, cids: set[int] | None = None) -> DataFrame | None:
     """(cid, lng, dbl, txt, n): the count of every distinct non-null value; without ``digests`` long texts stay as they are.
 
     The value sits in the column of its class, so numbers are never turned into
@@ -312,7 +326,7 @@ def _frequencies(lake: Lake, digests: bool = True) -> DataFrame:
     )
     pieces = []
     for keep, value, lng, dbl, txt in kinds:
-        long = lake.long(["v", "d"] if dbl == "d" else ["v"], value, keep)
+        long = lake.long(["v", "d"] if dbl == "d" else ["v"], value, keep, cids)
         if long is not None:
             pieces.append(
                 long.where("v IS NOT NULL").selectExpr(
@@ -320,10 +334,22 @@ def _frequencies(lake: Lake, digests: bool = True) -> DataFrame:
                     f"CAST({txt} AS STRING) AS txt",
                 )
             )
+    if not pieces:
+        return None
     values = reduce(DataFrame.unionAll, pieces)
     return values.groupBy("cid", "lng", "dbl", "txt").agg(F.expr("count(*) AS n"))
 
 
+def _private(lake: Lake, stats: DataFrame | None) -> set[int]:
+    """The text columns whose values must not be stored: personal by name, or by their values where these were looked at."""
+    strings = {r[0]: r[2] for r in lake.rows if r[5] == "string"}
+    found = {cid for cid, name in strings.items() if personal_name(name)}
+    if stats is not None and "email_count" in stats.columns:
+        rate = " OR ".join(f"try_divide({c}, total_count - null_count) > 0.5" for c in _PATTERN_COUNTS)
+        found |= {r.cid for r in stats.where(rate).select("cid").collect()} & set(strings)
+    return found
+
+
 def frequencies(df: DataFrame, digests: bool = True) -> DataFrame:
     """The value frequencies of one table; ``cid`` is the column's position."""
     return _frequencies(Lake({"": df}), digests)
@@ -333,9 +359,9 @@ def _distinct(freq: DataFrame) -> DataFrame:
     return freq.groupBy("cid").agg(F.expr("count(*) AS unique_count"))
 
 
-def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
-    """(cid, tops): the row limit is applied in each task before the shuffle."""
-    best = (
+def _best(freq: DataFrame, top_n: int) -> DataFrame:
+    """(cid, rank, value, count): the row limit is applied in each task before the shuffle."""
+    return (
         freq.selectExpr(
             "*",
             "row_number() OVER (PARTITION BY cid ORDER BY n DESC, lng, dbl, txt) AS rank",
@@ -346,9 +372,18 @@ def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
             "n AS count",
         )
     )
-    # at most top_n rows per column
-    best = _restore_long_text(lake, materialize(best, "top-values"))
-    return best.groupBy("cid").agg(
+
+
+def _top(lake: Lake, freq: DataFrame | None, private: DataFrame | None, top_n: int, hidden: set[int]) -> DataFrame:
+    """(cid, tops) from the frequencies; those of the ``private`` columns ``hidden`` are not stored on the way."""
+    parts = []
+    if freq is not None:
+        best = materialize(_best(freq, top_n), "top-values")
+        digests = {r.cid for r in best.where("startswith(value, 'sha256:')").select("cid").collect()}
+        parts.append(_restore_long_text(lake, best, digests))
+    if private is not None:
+        parts.append(_restore_long_text(lake, _best(private, top_n), hidden))
+    return reduce(DataFrame.unionByName, parts).groupBy("cid").agg(
         F.expr(
             "transform(sort_array(collect_list(struct(rank, value, count))), "
             "e -> struct(e.value AS value, e.count AS count)) AS tops"
@@ -356,15 +391,15 @@ def _top(lake: Lake, freq: DataFrame, top_n: int) -> DataFrame:
     )
 
 
-def _restore_long_text(lake: Lake, best: DataFrame) -> DataFrame:
-    """Put the text back for top values that were counted by digest; only their columns are read again."""
-    hidden = {r.cid for r in best.where("startswith(value, 'sha256:')").select("cid").collect()}
-    long = lake.long(["v"], lambda f, _: [quoted(f.name)], lambda _, c: c == "string", hidden)
+def _restore_long_text(lake: Lake, best: DataFrame, cids: set[int]) -> DataFrame:
+    """Put the text back for top values of the columns ``cids`` that were counted by digest; only these are read again."""
+    long = lake.long(["v"], lambda f, _: [quoted(f.name)], lambda _, c: c == "string", cids)
     if long is None:
         return best
     long = long.where(_BY_DIGEST.format(x="v")).selectExpr(
         "cid", f"{_DIGEST.format(x='v')} AS value", "v"
     )
+    # at most top_n rows per column
     wanted = best.where("startswith(value, 'sha256:')").select("cid", "value")
     texts = (
         long.join(lake.small(wanted), ["cid", "value"], "left_semi")
@@ -455,7 +490,9 @@ def profile_tables(
     """The profile of a set of tables, one row per column.
 
     ``parts`` names what to compute; columns of parts left out are null. Value
-    counts that several parts read are stored first, by a job of this call. With
+    counts that several parts read are stored first, by a job of this call; texts
+    of columns that are personal, by name or by the patterns if these are asked
+    for, are not, and are counted by each part. With
     ``exact=False`` distinct counts and quantiles come from sketches in one scan
     and no frequencies are shuffled (and no top values are given).
     """
@@ -465,7 +502,8 @@ def profile_tables(
     if OUTLIERS in parts:
         parts |= {STATS, QUANTILES}
     stats = _statistics(lake, PATTERNS in parts, as_of)
-    if OUTLIERS in parts and numeric:  # read for the bounds as well
+    stored = (OUTLIERS in parts and numeric) or (exact and TOP in parts and PATTERNS in parts)
+    if stored:  # read for the bounds and for what is personal as well
         stats = materialize(stats, "statistics")
     # each frame joined below has one row per column
     extra = []
@@ -476,11 +514,13 @@ def profile_tables(
         extra.append(quartiles)
         counts = _numeric_long(lake).selectExpr("cid", "v", "1L AS n") if numeric else None
     elif readers:
-        freq = _frequencies(lake)
-        if len(readers) > 1:
+        hidden = _private(lake, stats if stored else None)
+        freq = _frequencies(lake, cids={r[0] for r in lake.rows} - hidden)
+        private = _frequencies(lake, cids=hidden)
+        if len(readers) > 1 and freq is not None:
             freq = materialize(freq, "frequencies")
         if DISTINCT in parts:
-            extra.append(_distinct(freq))
+            extra.append(reduce(DataFrame.unionAll, [_distinct(x) for x in (freq, private) if x is not None]))
         if QUANTILES in parts and numeric:
             counts = _numeric_counts(freq)
             quartiles = _quantiles(counts)
@@ -500,7 +540,7 @@ def profile_tables(
     for frame in extra:
         profile = profile.join(lake.small(frame), "cid", "left")
     if exact and TOP in parts:
-        profile = profile.join(_top(lake, freq, top_n), "cid", "left")
+        profile = profile.join(_top(lake, freq, private, top_n, hidden), "cid", "left")
     if "q25" in profile.columns:
         profile = profile.selectExpr("*", *fences)
     return _conform(profile, run_id, DISTINCT in parts or not exact)
@@ -517,10 +557,15 @@ def _conform(profile: DataFrame, run_id: str | None, counted: bool) -> DataFrame
     known = "CASE WHEN total_count IS NOT NULL THEN {x} END"
     of_class = {
         name: f"CASE WHEN type_category = '{category}' THEN {name} END"
-        for category, names in (*_COUNTS_OF.items(), ("string", _STRING_COUNTS))
+        for category, names in (*_COUNTS_OF.items(), ("string", _OF_STRINGS))
         for name in names
         if name in profile.columns
     }
+    of_class |= {
+        name: f"CASE WHEN type_category = 'string' OR {name} > 0 THEN {name} END"
+        for name in _PATTERN_COUNTS
+        if name in profile.columns
+    }
     derived = of_class | {
         "run_id": "NULL" if run_id is None else text(run_id),
         "null_percent": known.format(x=share.format(part="null_count")),

@@ -80,12 +80,16 @@ def column_class_summary(classes: DataFrame) -> DataFrame:
     )
 
 
-def bind_columns(classes: DataFrame, profile: DataFrame, wanted: Mapping[str, list[str]]) -> DataFrame:
+def bind_columns(
+    classes: DataFrame, profile: DataFrame, wanted: Mapping[str, list[str]], of_class: Mapping[str, str] | None = None
+) -> DataFrame:
     """For each role the first listed name a table has: (run, table, role, column).
 
-    A role none of whose names occurs falls back on a column of the class of the
-    same name as the role, the surest first.
+    A role none of whose names occurs falls back on a column of its class, the
+    surest first; ``of_class`` names the class of a role, which else has its name.
     """
+    class_roles = {role: (of_class or {}).get(role, role) for role in wanted}
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("class")) for r, c in class_roles.items()])
     listed = F.array(
         *[
             F.struct(F.lit(role).alias("role"), F.lit(i).alias("pref"), F.lit(n).alias("name"))
@@ -97,8 +101,9 @@ def bind_columns(classes: DataFrame, profile: DataFrame, wanted: Mapping[str, li
     by_name = profile.select(*KEY, "column_name", F.inline(hit)).select(
         *KEY, "role", "column_name", F.col("pref").cast("double").alias("cost")
     )
-    by_class = classes.where(F.col("category").isin(list(wanted))).select(
-        *KEY, F.col("category").alias("role"), "column_name", (F.lit(1000.0) - F.col("confidence")).alias("cost")
+    fits = F.filter(roles, lambda e: e["class"] == F.col("category"))
+    by_class = classes.select(*KEY, "column_name", "confidence", F.inline(fits)).select(
+        *KEY, "role", "column_name", (F.lit(1000.0) - F.col("confidence")).alias("cost")
     )
     return (
         by_name.unionByName(by_class)

@@ -35,6 +35,12 @@ PII_PATTERNS = {
     "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
 }
 
+# The characters that count as blank at the ends of a value.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Lengths a value must have for the pattern to be able to match; checked before
 # the pattern, so that long text never reaches it.
 PII_PATTERN_LENGTHS = {

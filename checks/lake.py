@@ -183,6 +183,10 @@ _PATTERNS = {
 }
 
 
+#: what is blank at the ends of a value, by code point
+_BLANK = "list_aggregate(list_transform([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288], lambda c: chr(c)), 'string_agg', '')"
+
+
 def _column_sql(table: str, ordinal: int, name: str, dtype: str, category: str) -> str:
     x = name
     out = [
@@ -221,13 +225,13 @@ def _column_sql(table: str, ordinal: int, name: str, dtype: str, category: str)
                 f"count(*) FILTER (regexp_matches({x}, '{p}')) AS {k}_count"
                 for k, p in _PATTERNS.items()
             ],
-            f"count(*) FILTER (trim({x}) <> '') AS nonblank_count",
-            f"count(*) FILTER (trim({x}) LIKE '{{%') AS object_count",
-            f"count(*) FILTER (trim({x}) LIKE '[%') AS array_count",
-            f"count(*) FILTER (trim({x}) LIKE '<%') AS markup_count",
+            f"count(*) FILTER (trim({x}, {_BLANK}) <> '') AS nonblank_count",
+            f"count(*) FILTER (trim({x}, {_BLANK}) LIKE '{{%') AS object_count",
+            f"count(*) FILTER (trim({x}, {_BLANK}) LIKE '[%') AS array_count",
+            f"count(*) FILTER (trim({x}, {_BLANK}) LIKE '<%') AS markup_count",
             f"count(*) FILTER (TRY_CAST(replace({x}, ',', '') AS DOUBLE) IS NOT NULL) AS number_count",
             rf"count(*) FILTER (regexp_matches({x}, '\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}')) AS date_count",
-            f"count(*) FILTER (lower(trim({x})) IN ('true','false','yes','no','1','0','y','n','t','f')) AS boolean_count",
+            f"count(*) FILTER (lower(trim({x}, {_BLANK})) IN ('true','false','yes','no','1','0','y','n','t','f')) AS boolean_count",
         ]
         if any(w in name for w in ("date", "time", "created", "updated")):
             out += [

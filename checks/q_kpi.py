@@ -5,6 +5,8 @@ from __future__ import annotations
 from assay.kpi import catalog, detect, ecommerce, health, iot, marketing, saas
 from assay.operators import duplicates as D
 from assay.operators import profile as P
+from assay.operators import semantics as C
+from assay.sinks.runs import materialize
 from checks.lake import (
     AS_OF, RAW, SHOP, VIEWS, from_sql, lake, over_profile, over_views, rounded, shaped,
     sql_duplicates, view,
@@ -210,6 +212,18 @@ _kpi(
        FROM k_telemetry WHERE timestamp >= TIMESTAMP '2024-01-29' AND (battery < 10 OR voltage < 3.5)""",
     as_of="2024-01-30",
 )
+
+
+def _uptime_of_renamed(spark, sf):
+    """Uptime over telemetry whose columns have other names, found by their class."""
+    table = kpi_view(spark, sf, "telemetry").selectExpr("device_id AS sensor_ref", "timestamp AS created_on", "battery AS charge")
+    profile = materialize(P.profile_tables({"readings": table}, parts=(P.STATS, P.DISTINCT)))
+    bound = iot.bindings(profile, C.column_classes(profile), "readings")
+    return shaped(iot.run_bound(iot.uptime, table, bound, READINGS_NOW))
+
+
+QUERIES["kpi_i3_bound"] = _uptime_of_renamed
+ORACLE["kpi_i3_bound"] = ORACLE["kpi_i3"]
 _kpi(
     "l1", marketing.cost_per_lead, ["leads", "campaigns"],
     _COST.format(spend="spend", person="l.lead_id", name="cpl", people="k_leads", key="campaign_id"), ["cpl"], 4,

@@ -8,7 +8,7 @@ from assay import rules
 from assay.operators import masking as M
 from assay.operators import privacy as Y
 from assay.operators import profile as P
-from checks.lake import over_profile, over_views, shaped, view
+from checks.lake import from_sql, over_profile, over_views, shaped, view
 from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
@@ -100,6 +100,20 @@ ORACLE["pii_patterns"] = over_profile(
         for k in rules.PII_PATTERNS
     )
 )
+# phone numbers kept as integers, beside integers as long under a name that isn't personal
+_PHONES = "SELECT c_custkey, 15550000000 + c_custkey AS phone, 15550000000 + c_nationkey AS batch_no FROM {customer}"
+
+
+def _number_patterns(spark, sf):
+    df = P.profile_tables({"calls": from_sql(spark, sf, _PHONES)}, parts=PARTS)
+    return shaped(Y.pattern_findings(df).drop("run_id", "pattern_order"))
+
+
+QUERIES["pii_patterns_numbers"] = _number_patterns
+ORACLE["pii_patterns_numbers"] = f"""
+SELECT 'calls' AS table_name, 'phone' AS column_name, 'phone' AS pattern,
+       round(avg(CAST(regexp_matches(CAST(phone AS VARCHAR), '^1?[0-9]{{10,15}}$') AS INT)), 6) AS match_rate
+FROM ({_PHONES.format(customer="customer")})"""
 QUERIES["pii_risk"] = lambda s, d: shaped(_risks(s, d).drop("run_id"))
 ORACLE["pii_risk"] = _sql("SELECT * FROM trisk")
 QUERIES["pii_summary"] = lambda s, d: shaped(Y.summary(_risks(s, d)).drop("run_id"))

@@ -9,7 +9,7 @@ from assay.operators import hidden as H
 from assay.operators import profile as P
 from assay.operators import quality as Q
 from assay.operators import structure as T
-from checks.lake import AS_OF, SHOP, lake, over_profile, over_views, shaped, sql_duplicates
+from checks.lake import AS_OF, SHOP, from_sql, lake, over_profile, over_views, shaped, sql_duplicates
 from checks.q_profile import prof, stored
 
 QUERIES, ORACLE = {}, {}
@@ -170,8 +170,7 @@ ORACLE["quality_flags"] = over_profile(
 
 
 def _hidden(spark, sf):
-    df = H.hidden_types(prof(spark, sf, parts=(P.STATS, P.DISTINCT, P.PATTERNS)))
-    return shaped(df.drop("run_id", "samples"))
+    return shaped(H.hidden_types(prof(spark, sf, parts=(P.STATS, P.DISTINCT, P.TOP, P.PATTERNS))).drop("run_id"))
 
 
 QUERIES["hidden_types"] = _hidden
@@ -180,7 +179,9 @@ ORACLE["hidden_types"] = over_profile(
               round(unique_percent, 6) AS unique_percent, min_length, max_length, round(avg_length, 6) AS avg_length,
               nonblank_count, round(obj, 6) AS object_rate, round(arr, 6) AS array_rate, round(num, 6) AS number_rate,
               round(dat, 6) AS date_rate, round(boo, 6) AS boolean_rate, round(mar, 6) AS markup_rate,
-              array_to_string(sig, '|') AS signals, len(sig) > 0 AS is_flagged
+              array_to_string(sig, '|') AS signals, len(sig) > 0 AS is_flagged,
+              coalesce((SELECT string_agg(value, '|' ORDER BY rank) FROM tops
+               WHERE tops.table_name = q.table_name AND tops.column_name = q.column_name AND rank <= 5), '') AS samples
        FROM (SELECT *, CASE WHEN nonblank_count = 0 THEN [] ELSE list_filter(
                   [CASE WHEN obj > 0 OR arr > 0 THEN 'json' END, CASE WHEN num >= 0.8 THEN 'number' END,
                    CASE WHEN unique_percent < 2 AND unique_count <= 20 THEN 'enum' END,
@@ -192,8 +193,26 @@ ORACLE["hidden_types"] = over_profile(
                           coalesce(date_count / nullif(nonblank_count, 0), 0) AS dat,
                           coalesce(boolean_count / nullif(nonblank_count, 0), 0) AS boo,
                           coalesce(markup_count / nullif(nonblank_count, 0), 0) AS mar
-                   FROM p WHERE type_category = 'string'))"""
+                   FROM p WHERE type_category = 'string')) AS q""",
+    tops=True,
 )
+
+
+def _blanks(spark, sf):
+    """Values that hold blanks of many kinds, or something after them."""
+    df = from_sql(spark, sf, _BLANK_TEXTS.format(orders="{orders}", chr="char"))
+    found = P.profile_tables({"t": df}, parts=(P.STATS, P.PATTERNS))
+    return shaped(found.select("column_name", "nonblank_count", "object_count", "array_count", "boolean_count"))
+
+
+_BLANK_TEXTS = """SELECT CASE o_orderkey % 3 WHEN 0 THEN concat({chr}(9), {chr}(10)) WHEN 1 THEN concat({chr}(10), '[1]') ELSE concat({chr}(9), 'yes', {chr}(13)) END AS a,
+    CASE WHEN o_orderkey % 2 = 0 THEN concat({chr}(10), {chr}(32), '{{{{"k": 1}}}}') ELSE concat({chr}(11), {chr}(160)) END AS b FROM {orders}"""
+QUERIES["hidden_types_blanks"] = _blanks
+ORACLE["hidden_types_blanks"] = f"""
+WITH t AS ({_BLANK_TEXTS.format(orders="orders", chr="chr").replace("{{", "{").replace("}}", "}")})
+SELECT 'a' AS column_name, count(*) FILTER (o_orderkey % 3 <> 0) AS nonblank_count, 0 AS object_count,
+       count(*) FILTER (o_orderkey % 3 = 1) AS array_count, count(*) FILTER (o_orderkey % 3 = 2) AS boolean_count FROM orders
+UNION ALL SELECT 'b', count(*) FILTER (o_orderkey % 2 = 0), count(*) FILTER (o_orderkey % 2 = 0), 0, 0 FROM orders"""
 QUERIES["hidden_type_verdict"] = lambda spark, sf: shaped(
     H.verdicts(H.hidden_types(prof(spark, sf, parts=(P.STATS, P.DISTINCT, P.PATTERNS)))).drop("run_id")
 )

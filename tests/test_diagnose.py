@@ -15,6 +15,9 @@ def test_a_run_is_stored_masked_and_comparable(spark, tmp_path):
     assert report["run_id"] == "run-1" and report["label"] == "shop"
     assert 0 <= report["total_score"] <= 100 and report["grade"] in ("green", "yellow", "red")
     assert report["total_duplicate_rows"] == 30 and report["kpis"] > 0
+    assert {"correlations", "gdpr_categories", "class_summary", "missing_summary", "table_facts", "dataset_summary", "impact"} <= set(stored)
+    assert stored["table_facts"].count() == 3 and stored["dataset_summary"].first()["total_tables"] == 3
+    assert {r["metric"] for r in rows(stored["impact"])} <= {"freshness_days", "duplicate_rate_percent"}
     email = stored["profile"].where("column_name = 'email'").first()
     assert {t["value"] for t in email["top_values"]} == {"***MASKED***"}
     # nothing that was stored shows an address
