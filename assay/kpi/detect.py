@@ -161,5 +161,7 @@ def recommend(
             "run_id", "industry", "rank", "name", "category", "priority", "grain", "formula",
             "query", "required_tables", "required_fields", "dimensions", "blocked_by",
             "field_fill", F.lit(1.0).alias("confidence"),
+            F.concat(F.col("formula"), F.lit("; "), F.replace("grain", F.lit("_"), F.lit(" "))).alias("description"),
+            F.struct("is_ready", "missing_tables", "missing_fields").alias("readiness"),
         )
     )

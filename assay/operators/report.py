@@ -87,8 +87,14 @@ def table_facts(profile: DataFrame, scores: DataFrame, pii: DataFrame, max_colum
     return joined.withColumn("pii_columns", F.coalesce("pii_columns", F.lit(0).cast("bigint")))
 
 
-def dataset_summary(facts: DataFrame, edges: DataFrame, kpis: DataFrame) -> DataFrame:
-    """One row per run: totals, the weakest table, and counts of what was found."""
+def dataset_summary(
+    facts: DataFrame, edges: DataFrame, kpis: DataFrame, max_relationships: int = 20, max_kpis: int = 10
+) -> DataFrame:
+    """One row per run: totals, the weakest table, counts of what was found, and what a reader wants to see of it.
+
+    ``table_list`` has a struct per table, ``relationship_list`` the ``max_relationships`` surest joins and ``kpi_names`` the
+    first ``max_kpis`` KPIs; the counts beside them are of all.
+    """
     totals = facts.groupBy("run_id").agg(
         F.count("*").alias("total_tables"),
         F.sum("row_count").alias("total_rows"),
@@ -97,7 +103,24 @@ def dataset_summary(facts: DataFrame, edges: DataFrame, kpis: DataFrame) -> Data
         F.min("overall_score").alias("weakest_score"),
         F.sum("pii_columns").alias("pii_columns"),
         F.count_if(F.col("pii_columns") > 0).alias("tables_with_pii"),
+        F.array_sort(
+            F.collect_list(
+                F.struct("table_name", "row_count", "column_count", "overall_score", "completeness_score", "pii_columns")
+            )
+        ).alias("table_list"),
     )
+    sure = F.element_at(F.create_map(*[F.lit(x) for x in ("high", 0, "medium", 1, "low", 2)]), F.col("confidence"))
+    end = lambda t, c: F.concat(F.col(t), F.lit("."), F.col(c))
+    link = F.struct(end("table1", "column1").alias("from"), end("table2", "column2").alias("to"), "pattern")
+    best = first_of_run(
+        edges.select("run_id", sure.alias("sure"), link.alias("link")), ["sure", "link"], max_relationships
+    ).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("sure", "link"))).alias("links"))
+    best = best.select("run_id", F.transform("links", lambda x: x["link"]).alias("relationship_list"))
+    named = first_of_run(kpis.select("run_id", "rank", "name"), ["rank", "name"], max_kpis).groupBy("run_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("kpi_names")
+    )
+    for part in (best, named):
+        totals = join_by_run(totals, part, how="left")
     for name, part in (("relationships", edges), ("kpis", kpis)):
         counts = part.groupBy("run_id").agg(F.count("*").alias(name))
         totals = join_by_run(totals, counts, how="left").withColumn(

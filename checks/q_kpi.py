@@ -402,3 +402,34 @@ ORACLE["kpi_recommend"] = over_profile(
     SELECT industry, row_number() OVER (ORDER BY priority) AS rank, name, priority, field_fill, 1.0::DOUBLE AS confidence
     FROM ready SEMI JOIN det USING (industry) WHERE is_ready QUALIFY rank <= 7"""
 )
+
+
+def _contract(spark, sf):
+    """The contract row of every KPI that can run, with its readiness and a sentence."""
+    rows = detect.recommend(stored(spark, sf))
+    return shaped(
+        rows.select(
+            "name", "category", "grain", "description", "required_tables", "required_fields", "dimensions", "blocked_by",
+            "readiness.is_ready", "readiness.missing_tables", "readiness.missing_fields",
+        )
+    )
+
+
+def _contract_sql() -> str:
+    """The catalogue's rows, for the KPIs that are ready."""
+    lists = lambda values: "'" + "|".join(values) + "'"
+    rows = ", ".join(
+        f"('{k.industry}', {k.priority}, '{k.name}', '{k.category}', '{k.grain}', '{k.formula.replace(chr(39), chr(39) * 2)}; {k.grain.replace('_', ' ')}', "
+        f"{lists(k.tables)}, {lists(k.fields)}, {lists(k.dimensions)}, {lists(k.blocked_by)})"
+        for k in catalog.KPIS
+    )
+    return over_profile(f"""WITH {KPI_SQL.strip()},
+    book(industry, priority, name, category, grain, description, required_tables, required_fields, dimensions, blocked_by) AS (VALUES {rows})
+    SELECT book.name, category, book.grain, description, book.required_tables, book.required_fields, book.dimensions, book.blocked_by,
+           true AS is_ready, '' AS missing_tables, '' AS missing_fields
+    FROM book JOIN (SELECT * FROM ready SEMI JOIN det USING (industry) WHERE is_ready ORDER BY priority LIMIT 7) r
+      ON r.name = book.name AND r.industry = book.industry""")
+
+
+QUERIES["kpi_contract"] = _contract
+ORACLE["kpi_contract"] = _contract_sql()

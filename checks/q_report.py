@@ -95,9 +95,14 @@ ORACLE["table_facts"] = over_profile(
 
 def _summary(spark, sf):
     p = stored(spark, sf, parts=_FACT_PARTS)
+    found = B.dataset_summary(_facts(spark, sf, p), R.relationships(p), detect.recommend(p)).drop("run_id")
+    shown = lambda *names: lambda x: F.concat_ws(" ", *[x[n].cast("string") for n in names])
     return shaped(
-        B.dataset_summary(_facts(spark, sf, p), R.relationships(p), detect.recommend(p)).drop("run_id")
-    )
+        found.withColumns({
+            "table_list": F.transform("table_list", shown("table_name", "row_count", "column_count", "pii_columns")),
+            "relationship_list": F.transform("relationship_list", shown("from", "to", "pattern")),
+        })
+    )
 
 
 QUERIES["dataset_summary"] = _summary
@@ -108,7 +113,13 @@ ORACLE["dataset_summary"] = over_profile(
            (SELECT table_name FROM facts ORDER BY overall_score, table_name LIMIT 1) AS weakest_table,
            min(overall_score) AS weakest_score, CAST(sum(pii_columns) AS BIGINT) AS pii_columns,
            count(*) FILTER (pii_columns > 0) AS tables_with_pii, (SELECT count(*) FROM jc) AS relationships,
-           (SELECT least(count(*), 7) FROM ready SEMI JOIN det USING (industry) WHERE is_ready) AS kpis
+           (SELECT least(count(*), 7) FROM ready SEMI JOIN det USING (industry) WHERE is_ready) AS kpis,
+           string_agg(concat_ws(' ', table_name, row_count, column_count, pii_columns), '|' ORDER BY table_name) AS table_list,
+           (SELECT string_agg(table1 || '.' || column1 || ' ' || table2 || '.' || column2 || ' ' || pattern, '|'
+                ORDER BY list_position(['high', 'medium', 'low'], confidence), table1 || '.' || column1, table2 || '.' || column2)
+            FROM jc) AS relationship_list,
+           (SELECT string_agg(name, '|' ORDER BY priority) FROM
+                (SELECT name, priority FROM ready SEMI JOIN det USING (industry) WHERE is_ready ORDER BY priority LIMIT 7)) AS kpi_names
     FROM facts""",
     duplicates=True,
 )
