@@ -90,15 +90,18 @@ def copies(docs: DataFrame, seed: int = SEED, block: int = BLOCK, **shares) -> D
 
     ``size`` is the number of words, 0 for null; ``copies`` how often the mix takes the row, at most 2; ``taken`` their
     product. Rows equal in source, doc_id and text are told apart by a number, so repeated rows are rounded one by one. The
-    choice depends on the rows alone, not on how they are partitioned. Columns of ``docs`` are kept in ``record``.
+    choice depends on the rows alone, not on how they are partitioned (columns with maps don't tell rows apart). Columns of ``docs`` are kept in ``record``.
     """
     record = F.struct(*[docs[c] for c in docs.columns]).alias("record")
     keyed = docs.select(
         docs["source"].alias("source"), docs["doc_id"].cast("string").alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"),
         F.size(words(docs["text"])).cast("long").alias("size"), record,
     )
+    # rows that are equal in these are told apart by the rest of them, so that reruns number them alike
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = keyed.withColumn("rest", F.xxhash64(*[F.col("record")[c] for c in plain]))
     same = Window.partitionBy("source", "doc_id", "mark")
-    keyed = keyed.withColumn("nth", F.row_number().over(same.orderBy("size")))
+    keyed = keyed.withColumn("nth", F.row_number().over(same.orderBy("rest"))).drop("rest")
     sizes = written(
         keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "mix-sources"
     )

@@ -74,3 +74,11 @@ def test_empty_table(spark, tmp_path):
     assert copies(docs).count() == 0 and mixed(docs).count() == 0
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert op6_mixing(spark, str(tmp_path)).count() == 0
+
+
+def test_reruns_agree_on_rows_that_differ_elsewhere(spark):
+    """Rows equal in source, id and text, told apart by other columns alone."""
+    docs = spark.range(60).selectExpr("7L AS doc_id", "'four words of text' AS text", "'s' AS source", "id AS other", "map('k', id) AS m")
+    both = docs.unionAll(spark.range(40).selectExpr("id AS doc_id", "'more words' AS text", "'t' AS source", "id AS other", "map('k', id) AS m"))
+    run = lambda n: sorted((r.record.source, r.record.other, r.copies) for r in copies(both.repartition(n)).collect())
+    assert run(1) == run(7)
