@@ -127,7 +127,10 @@ def trained(
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine from labelled rows outside the held-out fifth, of which up to ``sample`` by hash of the id."""
+    """A machine from labelled rows outside the held-out fifth, of which up to ``sample`` by hash of the id.
+
+    Rows that repeat an id and a text are learned from once, and of an id with several texts up to ``sample`` rows in all.
+    """
     usable = label_of(labels, "toxic").filter(remainder(F.col("doc_id"), 5) != 0)
     few = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-sample")
 
@@ -142,9 +145,10 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
         model = trained([np.frombuffer(b, np.int32) for b in rows["ids"]], rows["label"].to_numpy())
         return pd.DataFrame({"model": [pickle.dumps(vars(model))]})
 
-    # the sample is bounded by its argument, so both the broadcast and the one task that fits are
+    # the sample is bounded by its argument, so both the broadcast and the one task that fits are, whatever ids repeat
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("place"), "text")
-    features = chosen.mapInPandas(ids, "label int, place long, ids binary")
+    chosen = chosen.groupBy("place", "label").agg(F.first("text").alias("text"))
+    features = chosen.mapInPandas(ids, "label int, place long, ids binary").orderBy("place", "label").limit(sample)
     fitted = features.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "model binary").first()
     if fitted is None:
         return trained([], np.empty(0))

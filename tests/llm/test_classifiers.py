@@ -130,3 +130,16 @@ def test_weights_are_log_ratios(spark):
     w = ratio_weights(docs, good, buckets=64, prior=1.0)
     assert w.shape == (64,) and w.max() > 0 > w.min()
     assert not ratio_weights(docs, good.limit(0), buckets=64).any()
+
+
+def test_a_repeated_labelled_id_is_learned_from_once(spark):
+    from assay.llm import toxicity
+
+    texts = [(i, f"you are a fool number {i}" if i % 2 else f"a kind word number {i}") for i in range(1, 200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    hot = spark.range(5000).selectExpr("3L AS doc_id", "'you are a fool number 3' AS text")
+    plain, repeated = toxicity.learned(docs, labels), toxicity.learned(docs.unionAll(hot), labels)
+    assert (plain.terms == repeated.terms).all() and abs(plain.bias - repeated.bias) < 1e-9
+    other = spark.range(500).selectExpr("3L AS doc_id", "concat('you are ', id) AS text")
+    assert toxicity.learned(docs.unionAll(other), labels, sample=50) is not None
