@@ -23,8 +23,6 @@ from assay.llm.store import table, written
 from assay.llm.text import lower_ascii, words
 
 HEAD, STATES, ROUNDS = 60_000, 6, 3
-#: Where Baum-Welch starts is found on so many training texts at most; its own counts come from all.
-START_TEXTS, START_ROUNDS = 2000, 12
 SEGMENT, TOKENS = 128, 400_000
 KAPPA = 5.0
 SEED = 20240607
@@ -218,7 +216,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
-    """Trained on all of ``codes`` (ids)."""
+    """Trained on all of ``codes`` (ids), from a seeded start; each round counts over all of them, however they are split."""
     chain = first_chain(unigram, states)
     size = len(unigram)
     columns = [f"s{j}" for j in range(states)]
@@ -242,28 +240,18 @@ def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, roun
             for total, part in zip(sums, Segments(some).expected(chain)[1:], strict=True):
                 total += part
 
-    def begin(rows: pd.DataFrame) -> pd.DataFrame:
-        now, texts = chain, [symbols_of(c) for c in rows.sort_values("row")["ids"]]
-        for _ in range(START_ROUNDS):
-            sums = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
-            add(texts, now, sums)
-            now = next_chain(*sums, unigram)
-        return packed(*sums)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
         for rows in batches:
             add([symbols_of(c) for c in rows["ids"]], chain, sums)
         yield packed(*sums)
 
-    few = codes.orderBy(F.xxhash64("row"), "row").limit(START_TEXTS).withColumn("all", F.lit(0))
-    found = few.groupBy("all").applyInPandas(begin, schema).toPandas()
-    if not len(found):
-        return chain
-    chain = unpacked(found)
     for _ in range(rounds):
         summed = codes.mapInPandas(count, schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
-        chain = unpacked(summed.toPandas())  # a row per symbol: bounded by HEAD
+        found = summed.toPandas()  # a row per symbol: bounded by HEAD
+        if not found.iloc[:, 1:].to_numpy().any():  # nothing to learn from
+            return chain
+        chain = unpacked(found)
     return chain
 
 
@@ -282,7 +270,7 @@ def language_model_scores(docs: DataFrame, held: str = "held", head: int = HEAD,
 
     # row numbers are fixed here: what follows reads them from this table
     codes = written(encoded(numbered, vocabulary), "lm-codes")
-    chain = baum_welch(codes.filter("NOT held").select("row", "ids"), vocabulary.unigram(), states, rounds)
+    chain = baum_welch(codes.filter("NOT held").select("ids"), vocabulary.unigram(), states, rounds)
     logs, rare, ends = vocabulary.base_logs(), vocabulary.rare, vocabulary.ends
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

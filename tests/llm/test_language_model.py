@@ -95,3 +95,11 @@ def test_no_rows_and_no_training_rows(spark):
     docs = odd(spark).selectExpr("doc_id", "text", "true AS held")
     got = lm.language_model_scores(docs, states=2, rounds=1).collect()
     assert len(got) == 8 and {r.train_tokens for r in got} == {0} and {r.n_known for r in got} == {0}
+
+
+def test_the_split_of_the_input_does_not_matter(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 5 = 1 AS held")
+    run = lambda n: {r.record.doc_id: r.score for r in lm.language_model_scores(docs.repartition(n), rounds=2).collect()}
+    one, other = run(1), run(6)
+    assert set(one) == set(other) and all(abs(one[i] - other[i]) < 1e-6 * abs(one[i]) for i in one)
