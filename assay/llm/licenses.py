@@ -88,11 +88,15 @@ def normalised(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
+def in_pairs(w: Column) -> Column:
+    """Each word but the last with the next one."""
+    after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+    return F.transform(after, lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
+
+
 def bigrams(w: Column) -> Column:
     """The set of a text's word bigrams; of one word, that word."""
-    after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
-    two = F.array_distinct(F.transform(after, lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
-    return F.when(F.size(w) == 1, w).otherwise(two)
+    return F.when(F.size(w) == 1, w).otherwise(F.array_distinct(in_pairs(w)))
 
 
 def template_sets(templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tuple[str, str, list[str]]]:
@@ -153,15 +157,50 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _without(rows: Column, order: Callable[[Column], Column], clash: Callable[[Column, Column], Column], kind: str) -> Column:
-    """The array's elements in this order, each unless it clashes with one kept before it."""
-    ordered = F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(order(x).alias("o"), x.alias("x")))), lambda x: x["x"])
-    add = lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.array_append(kept, x))
-    return F.aggregate(ordered, F.array().cast(f"array<{kind}>"), add)
+def _stretches(of: Column, shift: int) -> Column:
+    """The numbers of the stretches of 2^``shift`` elements that an array has."""
+    return F.filter(F.sequence(F.lit(0), F.shiftright(F.size(of), shift)), lambda j: F.shiftleft(j, shift) < F.size(of))
+
+
+def _without(
+    runs: Column, order: Callable[[Column], Column], clash: Callable[[Column, Column], Column], key: Sequence[str], kind: str
+) -> Column:
+    """Runs by the stretch they begin in, each unless it clashes with one kept before it in this order.
+
+    Only runs that touch the same place clash, so a run meets those of its own and the nearest stretches. What clashes with
+    none before it stays, and what clashes with that goes, all at once; the few others are taken one by one.
+    """
+    of = lambda at: F.shiftright(at, STRETCH)
+    same = lambda x, y: F.struct(*[x[c] for c in key]) == F.struct(*[y[c] for c in key])
+    each = lambda by, test: F.transform(by, lambda s: F.filter(s, test))
+
+    def around(by: Column, x: Column, reach: Column) -> Column:
+        begin = F.greatest(of(x["first"]) - reach, F.lit(0))
+        return F.flatten(F.slice(by, begin + 1, of(x["last"]) - begin + 1))
+
+    def one_by_one(rows: Column) -> Column:
+        ordered = F.transform(F.sort_array(F.transform(rows, lambda x: F.struct(order(x).alias("o"), x.alias("x")))), lambda x: x["x"])
+        add = lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.array_append(kept, x))
+        return F.aggregate(ordered, F.array().cast(f"array<{kind}>"), add)
+
+    def chosen(by: Column, reach: Column) -> Column:
+        beaten = lambda x: F.exists(around(by, x, reach), lambda y: (order(y) < order(x)) & clash(x, y))
+        return _let(each(by, lambda x: ~beaten(x)), lambda sure: with_rest(by, sure, reach))
+
+    def with_rest(by: Column, sure: Column, reach: Column) -> Column:
+        open_ = lambda x: ~F.exists(around(sure, x, reach), lambda y: same(x, y) | clash(x, y))
+        rest = one_by_one(F.flatten(each(by, open_)))
+        join = lambda rest: F.transform(sure, lambda s, j: F.concat(s, F.filter(rest, lambda x: of(x["first"]) == j)))
+        return _let(rest, join)
+
+    span = F.transform(F.flatten(runs), lambda x: of(x["last"]) - of(x["first"]))
+    return _let(F.struct(runs.alias("by"), F.coalesce(F.array_max(span), F.lit(0)).alias("reach")), lambda r: chosen(r["by"], r["reach"]))
 
 
 RUN = "struct<dice:double,shared:int,first:int,last:int>"
-PASSAGE = "struct<dice:double,shared:int,first:int,template:string,licence:string,grams:array<string>,last:int,hits:array<int>>"
+PASSAGE = "struct<dice:double,shared:int,first:int,template:string,licence:string,last:int,hits:array<int>,nth:int>"
+#: A stretch of a text has 2^STRETCH words, a wide one 2^WIDE. Results do not depend on them.
+STRETCH, WIDE = 5, 9
 
 
 def passages(
@@ -171,6 +210,10 @@ def passages(
 
     Of runs of one template that overlap, the most similar counts. Of templates that share bigrams of the text, the one with
     the most of them counts, as the others are its relatives (LGPL in GPL), and all of them where they are equal.
+
+    A run grows with the bigrams that are new in it, whatever repeats between them. Where those behind a stretch come first is
+    found once for all starts in it, from lists of wide stretches, so a text that repeats a notice is not read to its end
+    from each start.
     """
     low, high = at_least / (2 - at_least), (2 - at_least) / at_least
     sets = template_sets(templates)
@@ -180,89 +223,132 @@ def passages(
 
     # Arrays used in a lambda stand in a column that is named twice, so that it isn't made anew for every element.
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", normalised(F.col("text")))
-    grams = F.concat(bigrams(F.col("w")), F.array_distinct("w")) if single else bigrams(F.col("w"))
+    grams = F.when(F.size("w") == 1, F.col("w")).otherwise(in_pairs(F.col("w")))
+    grams = F.concat(grams, F.col("w")) if single else grams
     found = found.select("doc_id", "text", grams.alias("grams"))
     every = F.from_json(F.lit(json.dumps(every)), "array<string>")
     found = found.select("doc_id", "text", F.array_intersect("grams", every).alias("seen"))
-    enough = lambda t, here: F.size(F.array_intersect(here, t["grams"])) >= low * t["size"] - 1e-9
-    near = F.filter(known, lambda t: (F.size("seen") > 0) & enough(t, F.col("seen")))
+    held = lambda t, here: F.size(F.array_intersect(here, t["grams"])) >= low * t["size"] - 1e-9
+    near = F.filter(known, lambda t: (F.size("seen") > 0) & held(t, F.col("seen")))
     found = found.select("doc_id", F.inline(F.filter(F.array(F.struct("text", near.alias("near"))), lambda x: F.size(x["near"]) > 0)))
 
     by_line = F.transform(F.split("text", "\n"), normalised)
     found = found.select("doc_id", "near", F.inline(F.array(F.struct(by_line.alias("lines")))))
     numbers = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))
-    found = found.select("doc_id", "near", "lines", F.inline(F.array(F.struct(F.flatten("lines").alias("w"), numbers.alias("number")))))
-    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
-    found = found.select("*", F.inline(F.array(F.struct(two.alias("pairs")))))
+    in_lines = F.transform("lines", bigrams)
+    found = found.select(
+        "doc_id", "near",
+        F.inline(F.array(F.struct(F.flatten("lines").alias("w"), numbers.alias("number"), in_lines.alias("in_lines")))),
+    )
+    found = found.select("*", F.inline(F.array(F.struct(bigrams(F.col("w")).alias("in_text")))))
+
+    def matches(g: Column, t: Column) -> Column:
+        n, size = F.size(g), F.size(t["grams"])
+        fits = (n > 0) & (n >= low * size - 1e-9) & (n <= high * size + 1e-9)
+        return fits & (2.0 * F.size(F.array_intersect(g, t["grams"])) / (n + size) >= at_least)
+
+    judged = lambda t: F.struct(
+        *[t[c].alias(c) for c in ("template", "licence", "size", "grams")],
+        matches(F.col("in_text"), t).alias("whole"), F.transform("in_lines", lambda g: matches(g, t)).alias("lines"),
+    )
+    found = found.select("doc_id", "w", "number", F.inline(F.array(F.struct(F.transform("near", judged).alias("near")))))
+    found = found.select("*", F.inline(F.array(F.struct(in_pairs(F.col("w")).alias("pairs")))))
 
     def before(of: Column) -> Column:
         """For each element the place of the equal one before it, or -1."""
-        placed = F.array_sort(F.transform(of, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        placed = F.sort_array(F.transform(of, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
         earlier = lambda s, x, k: F.when((k > 0) & (F.get(s, k - 1)["x"] == x["x"]), F.get(s, k - 1)["i"]).otherwise(-1)
         linked = _let(placed, lambda s: F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), earlier(s, x, k).alias("p"))))
-        return F.transform(F.array_sort(linked), lambda x: x["p"])
+        return F.transform(F.sort_array(linked), lambda x: x["p"])
 
     more = [before(F.col("pairs")).alias("pairs_before")] + ([before(F.col("w")).alias("w_before")] if single else [])
     found = found.select("*", F.inline(F.array(F.struct(*more))))
 
-    def runs(t: Column, e: Column, previous: Column) -> Column:
+    def runs(t: Column, nth: Column, e: Column, previous: Column) -> Column:
         hit = F.transform(e, lambda x: F.array_contains(t["grams"], x))
-        return _let(hit, lambda hit: of_hits(t, e, previous, hit))
-
-    def of_hits(t: Column, e: Column, previous: Column, hit: Column) -> Column:
-        far = F.ceil(2 * high * t["size"]).cast("int") + 1
-        # Once a stretch has more bigrams of its own than can match, longer ones needn't be tried.
-        reach = lambda a: F.when(
-            F.size(F.array_distinct(F.slice(e, a + 1, far))) > high * t["size"] + 1e-9, far
-        ).otherwise(F.size(e) - a)
+        return _let(hit, lambda hit: of_hits(t, nth, e, previous, hit))
+
+    def of_hits(t: Column, nth: Column, e: Column, previous: Column, hit: Column) -> Column:
+        # Runs with more bigrams of their own than this cannot match.
+        most = F.floor(high * t["size"] + 1e-9).cast("int")
+        is_hit = lambda x: F.get(hit, x)
+        begin = lambda j: F.shiftleft(j, STRETCH)
+        none = F.array().cast("array<int>")
+        fresh = lambda a: lambda x: F.get(previous, x) < a
+        first = lambda x: F.slice(x, F.lit(1), most)
+        wide = lambda s: F.shiftleft(s, WIDE)
+        upto = lambda a, end: F.when(a < F.least(end, F.size(e)), F.sequence(a, F.least(end, F.size(e)) - 1)).otherwise(none)
+
+        # Where bigrams come first, seen from the beginning of a wide stretch: those in it, and all from it on. Nothing is
+        # before the first one, so it needs none.
+        in_wide = lambda s: first(F.filter(upto(wide(s), wide(s + 1)), fresh(wide(s))))
+        own_firsts = F.transform(_stretches(e, WIDE), lambda s: F.when(s > 0, in_wide(s)).otherwise(none))
+
+        def all_firsts(own: Column) -> Column:
+            on = lambda s: first(F.filter(F.flatten(F.slice(own, s + 1, F.size(own))), fresh(wide(s))))
+            return F.transform(own, lambda x, s: F.when((s == 0) | (F.size(x) >= most), x).otherwise(on(s)))
+
+        def behind(j: Column, firsts: Column) -> Column:
+            """The same from the stretch after ``j`` on."""
+            a, s = begin(j + 1), F.shiftright(j, WIDE - STRETCH) + 1
+            return first(F.concat(F.filter(upto(a, wide(s)), fresh(a)), F.filter(F.coalesce(F.get(firsts, s), none), fresh(a))))
 
         def step(s: Column, x: Column, a: Column) -> Column:
-            new = F.get(previous, x) < a
-            own, shared = s["own"] + new.cast("int"), s["shared"] + (new & F.get(hit, x)).cast("int")
+            own, shared = s["own"] + 1, s["shared"] + is_hit(x).cast("int")
             now = 2.0 * shared / (own + t["size"])
             better = now > s["best"]["dice"]
             run = F.struct(now.alias("dice"), shared.alias("shared"), a.alias("first"), x.alias("last"))
             return F.struct(own.alias("own"), shared.alias("shared"), F.when(better, run).otherwise(s["best"]).alias("best"))
 
-        def best(x: Column) -> Column:
-            a, zero = x["a"], F.lit(0)
-            none = F.struct(F.lit(0.0).alias("dice"), zero.alias("shared"), a.alias("first"), a.alias("last"))
-            start = F.struct(zero.alias("own"), zero.alias("shared"), none.alias("best"))
-            return F.aggregate(F.sequence(a, a + x["n"] - 1), start, lambda s, at: step(s, at, a), lambda s: s["best"])
+        def best(a: Column, new: Column) -> Column:
+            zero = F.lit(0)
+            nothing = F.struct(F.lit(0.0).alias("dice"), zero.alias("shared"), a.alias("first"), a.alias("last"))
+            start = F.struct(zero.alias("own"), zero.alias("shared"), nothing.alias("best"))
+            return F.aggregate(new, start, lambda s, x: step(s, x, a), lambda s: s["best"])
+
+        enough = lambda new: F.size(F.filter(new, is_hit)) >= low * t["size"] - 1e-9
 
-        starts = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
-        starts = F.transform(starts, lambda a: F.struct(a.alias("a"), reach(a).alias("n")))
-        starts = F.filter(starts, lambda x: enough(t, F.slice(e, x["a"] + 1, x["n"])))
-        good = F.filter(F.transform(starts, best), lambda r: r["dice"] >= at_least)
+        def in_stretch(j: Column, firsts: Column) -> Column:
+            here, nothing = upto(begin(j), begin(j + 1)), F.array().cast(f"array<{RUN}>")
+
+            def tried(later: Column) -> Column:
+                new = lambda a: first(F.concat(F.filter(upto(a, begin(j + 1)), fresh(a)), F.filter(later, fresh(a))))
+                of = lambda a: _let(new(a), lambda x: F.when(enough(x), best(a, x)))
+                good = F.filter(F.transform(F.filter(here, is_hit), of), lambda r: r["dice"] >= at_least)
+                return F.when(enough(F.concat(F.filter(here, fresh(begin(j))), later)), good).otherwise(nothing)
+
+            return F.when(F.exists(here, is_hit), _let(behind(j, firsts), tried)).otherwise(nothing)
+
+        good = _let(_let(own_firsts, all_firsts), lambda firsts: F.transform(_stretches(e, STRETCH), lambda j: in_stretch(j, firsts)))
         order = lambda r: F.struct(-r["dice"], r["first"])
         overlap = lambda x, y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])
-        return F.transform(
-            _without(good, order, overlap, RUN),
-            lambda r: F.struct(
-                r["dice"].alias("dice"), r["shared"].alias("shared"), r["first"].alias("first"),
-                t["template"].alias("template"), t["licence"].alias("licence"), t["grams"].alias("grams"), r["last"].alias("last"),
-                F.filter(F.sequence(r["first"], r["last"]), lambda i: F.get(hit, i)).alias("hits"),
-            ),
+        passage = lambda r: F.struct(
+            r["dice"].alias("dice"), r["shared"].alias("shared"), r["first"].alias("first"),
+            t["template"].alias("template"), t["licence"].alias("licence"), r["last"].alias("last"),
+            F.filter(F.sequence(r["first"], r["last"]), is_hit).alias("hits"), nth.alias("nth"),
         )
+        return F.transform(_without(good, order, overlap, ["first"], RUN), lambda s: F.transform(s, passage))
 
-    def of_template(t: Column) -> Column:
-        in_pairs = runs(t, F.col("pairs"), F.col("pairs_before"))
+    def of_template(t: Column, nth: Column) -> Column:
+        of_pairs = runs(t, nth, F.col("pairs"), F.col("pairs_before"))
         if not single:
-            return in_pairs
-        return F.when(F.contains(F.get(t["grams"], F.lit(0)), F.lit(" ")), in_pairs).otherwise(runs(t, F.col("w"), F.col("w_before")))
+            return of_pairs
+        return F.when(F.contains(F.get(t["grams"], F.lit(0)), F.lit(" ")), of_pairs).otherwise(runs(t, nth, F.col("w"), F.col("w_before")))
 
     equal = lambda x, y: (x["shared"] == y["shared"]) & (x["dice"] == y["dice"]) & (x["template"] != y["template"])
     clash = lambda x, y: F.arrays_overlap(x["hits"], y["hits"]) & ~equal(x, y)
     order = lambda x: F.struct(-x["shared"], -x["dice"], x["template"], x["first"])
-    kept = _without(F.flatten(F.transform("near", of_template)), order, clash, PASSAGE)
-
-    def matches(words: Column, t: Column) -> Column:
-        dice = lambda g: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"])) >= at_least
-        return _let(bigrams(words), dice)
+    side_by_side = lambda of: F.transform(
+        _stretches(F.col("w"), STRETCH),
+        lambda j: F.flatten(F.transform(of, lambda by: F.coalesce(F.get(by, j), F.array().cast(f"array<{PASSAGE}>")))),
+    )
+    kept = F.flatten(_without(_let(F.transform("near", of_template), side_by_side), order, clash, ["nth", "first"], PASSAGE))
 
     line = lambda i: F.get("number", i)
-    touched = lambda x: F.slice("lines", line(x["first"]), line(x["last"]) - line(x["first"]) + 1)
-    beyond = F.filter(kept, lambda x: ~matches(F.col("w"), x) & ~F.exists(touched(x), lambda words: matches(words, x)))
+    # What an array of structs holds is copied with each, so the template's lines are looked up where they are.
+    of = lambda x: F.get("near", x["nth"])
+    touched = lambda x: F.sequence(line(x["first"]), line(x["last"]))
+    beyond = F.filter(kept, lambda x: ~of(x)["whole"] & ~F.exists(touched(x), lambda i: F.get(of(x)["lines"], i - 1)))
     rows = F.transform(
         beyond,
         lambda x: F.struct(line(x["first"]).alias("line"), x["licence"].alias("licence"), x["template"].alias("template"), x["dice"].alias("dice")),

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from assay.llm.licenses import TEMPLATES, scan, template_sets
+from assay.llm.licenses import TEMPLATES, passages, scan, template_sets
 
 from .helpers import SCHEMA, documents, odd
 
@@ -90,6 +90,18 @@ def test_the_best_run_is_that_of_all_runs(spark):
     assert got == want and 10 < len(want) < 61 and (61, "B 1") in want
 
 
+def test_notices_many_times_over(spark):
+    """Texts of few distinct words are not read to their end from each start, and each notice is found once."""
+    notice = "Released under the MIT License. "
+    texts = [notice * 1000, (notice + "See z. ") * 1000, "q0 q1 q2 q3 " + notice * 3 + "q4 q5 q6 q7 q8\n" + "r " * 600 + "\n" + notice + "s t u v w x y"]
+    got = {}
+    for r in passages(documents(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.template, r.dice))
+    assert got.pop(3) == [(1, "MIT 0", 1.0)] * 3 + [(3, "MIT 0", 1.0)]
+    assert len(got[2]) == 1000 and set(got[2]) == {(1, "MIT 0", 1.0)}
+    assert 1 not in got  # the text as a whole matches: its five bigrams are four of the template and one between notices
+
+
 def test_no_rows(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert scan(documents(spark, ["MIT"]), templates=[]).count() == 0
