@@ -189,3 +189,35 @@ def test_decimals_tie_by_value(spark):
     df = spark.sql("SELECT CAST(v AS DECIMAL(10, 2)) AS d FROM VALUES (100), (9), (10) AS t(v)")
     got = P.column_profile(df, "t", parts=(P.STATS, P.TOP)).first()
     assert [v["value"] for v in got["top_values"]] == ["9.00", "10.00", "100.00"]
+
+
+@pytest.mark.parametrize("shape", ["uniform", "tail", "hot", "few", "endless", "narrow"])
+def test_quantiles_number_few_values(spark, monkeypatch, shape):
+    numbered, ranged = [], QT.ranged
+    monkeypatch.setattr(QT, "FEW", 0)
+    monkeypatch.setattr(QT, "ranged", lambda freq: (numbered.append(freq.count()), ranged(freq))[1])
+    rng = np.random.default_rng(5)
+    v = {
+        "uniform": rng.random(40_000),
+        "tail": np.exp(rng.normal(size=40_000) * 4),
+        "hot": np.concatenate([np.full(30_000, 0.25), rng.random(10_000), [1e300, -1e300]]),
+        "few": rng.integers(-3, 4, 40_000).astype(float),
+        "endless": np.concatenate([rng.normal(size=40_000), np.full(100, np.inf), np.full(50, -np.inf)]),
+        "narrow": 1 + rng.integers(0, 9, 40_000) * 2.0**-52,
+    }[shape]
+    values = spark.createDataFrame(pd.DataFrame({"cid": 0, "v": v, "n": 1}))  # rows as they come, not counted before
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = QT.quantiles(values, probs).first()
+    assert [got[f"p{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(v, probs)), rel=1e-12, abs=1e-300)
+    assert sum(numbered) <= 2_000
+
+
+def test_quantiles_of_several_columns(spark, monkeypatch):
+    monkeypatch.setattr(QT, "FEW", 0)
+    freq = spark.sql("SELECT CAST(id % 3 AS INT) AS cid, CAST(id % 3 * id AS DOUBLE) AS v, id % 5 + 1 AS n FROM range(9000)")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.cid: list(r[1:]) for r in QT.quantiles(freq, probs).collect()}
+    data = freq.toPandas()
+    for cid, own in data.groupby("cid"):
+        assert got[cid] == pytest.approx(list(np.quantile(np.repeat(own.v, own.n), probs)), rel=1e-12)
+    assert set(got) == {0, 1, 2} and QT.quantiles(freq.where("false"), probs).count() == 0
