@@ -221,3 +221,13 @@ def test_quantiles_of_several_columns(spark, monkeypatch):
     for cid, own in data.groupby("cid"):
         assert got[cid] == pytest.approx(list(np.quantile(np.repeat(own.v, own.n), probs)), rel=1e-12)
     assert set(got) == {0, 1, 2} and QT.quantiles(freq.where("false"), probs).count() == 0
+
+
+def test_outliers_alone_store_no_value_counts(spark, monkeypatch):
+    labels, store = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label: (labels.append(label), store(df, label))[1])
+    df = spark.sql("SELECT IF(id % 100 = 0, 1000000D, CAST(id % 10 AS DOUBLE)) AS a, CAST(id AS STRING) AS s, IF(id = 0, NULL, id) AS b FROM range(1000)")
+    got = by_column(P.column_profile(df, "t", parts=(P.OUTLIERS,)))
+    assert labels == ["statistics"]
+    assert (got["a"]["iqr_outliers"], got["a"]["zscore_outliers"], got["a"]["median"]) == (10, 10, 5.0)
+    assert (got["b"]["iqr_outliers"], got["b"]["q25"], got["s"]["iqr_outliers"]) == (0, 250.5, None)
