@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay import rules
-from assay.functions import col, first_of_run, join_by_run, literal_rows, name_has_any, percent, quoted
+from assay.functions import col, first_of_run, join_by_run, literal_rows, long_form, name_has_any, percent, quoted
 from assay.operators.profile import Lake
 from assay.sinks.runs import materialize
 
@@ -328,47 +328,72 @@ def value_overlap(
 
 # --- inclusion over a whole lake ----------------------------------------------
 
-#: classes of columns whose values can be equal, with the SQL that makes values of one class comparable
+#: classes of columns whose values can be equal, with the SQL that makes values of one class comparable and what tells apart
+#: values that group as one
 _COMPARABLE = (
-    ("integer", (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "CAST({c} AS BIGINT)"),
-    ("number", (T.FloatType, T.DoubleType, T.DecimalType), "CAST({c} AS DOUBLE)"),
-    ("text", (T.StringType, T.CharType, T.VarcharType), "CAST({c} AS STRING)"),
-    ("time", (T.DateType, T.TimestampType, T.TimestampNTZType), "CAST({c} AS TIMESTAMP_NTZ)"),
+    ("integer", (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "CAST({c} AS BIGINT)", None),
+    ("number", (T.FloatType, T.DoubleType, T.DecimalType), "CAST({c} AS DOUBLE)", "v = 0D AND CAST(v AS STRING) = '-0.0'"),
+    ("text", (T.StringType, T.CharType, T.VarcharType), "CAST({c} AS STRING)", None),
+    ("time", (T.DateType, T.TimestampType, T.TimestampNTZType), "CAST({c} AS TIMESTAMP_NTZ)", None),
 )
 
+#: columns that one word of marks stands for, and the most words a value is given; beyond, it carries a list of columns
+WORD, WORDS = 63, 8
+
+
+def _holders(lake: Lake, cids: Sequence[int], sql: str, key: Sequence[str]) -> DataFrame:
+    """(cids, n): how many distinct values are held by exactly the columns ``cids``; ``key`` is what a value is known by."""
+    words = [cids[k : k + WORD] for k in range(0, len(cids), WORD)]
+    mark = {cid: (w, 1 << bit) for w, word in enumerate(words) for bit, cid in enumerate(word)}
+    names = [f"m{w}" for w in range(len(words))] if len(words) <= WORDS else []
+
+    def values(cid, f):
+        return [sql.format(c=quoted(f.name)), *[f"{mark[cid][1] if mark[cid][0] == w else 0}L" for w in range(len(names))]]
+
+    sources = [(df, [(cid, values(cid, f)) for cid, f, _ in columns if cid in mark]) for df, columns in lake.tables]
+    rows = long_form(sources, ["v", *names]).where("v IS NOT NULL")
+    keyed = rows.selectExpr("cid", *[f"{x} AS k{i}" for i, x in enumerate(key)], *names)
+    by = [f"k{i}" for i in range(len(key))]
+    if not names:
+        held = keyed.groupBy(*by).agg(F.array_sort(F.collect_set("cid")).alias("cids"))
+        return held.groupBy("cids").agg(F.count("*").alias("n"))
+    sets = keyed.groupBy(*by).agg(*[F.expr(f"bit_or({m}) AS {m}") for m in names]).groupBy(*names).agg(F.count("*").alias("n"))
+    lists = [
+        f"filter(array({', '.join(map(str, word))}), (c, i) -> (shiftright(m{w}, i) & 1L) = 1L)" for w, word in enumerate(words)
+    ]
+    return sets.selectExpr(f"concat({', '.join(lists)}) AS cids", "n")
+
 
 def _shared_values(lake: Lake, wanted: set[int], exact: bool) -> DataFrame:
     """(a, b, n): how many distinct values the columns ``a`` and ``b`` share; of a column with itself, how many it has.
 
-    Every value goes to one place with the columns that hold it, once per column and task. Values with the same set of
+    Every value goes to one place, once per task, with a bit for each column that holds it. Values with the same set of
     columns are counted together before pairs are made, so pairs depend on the sets that occur and not on the values.
+    Numbers and times are their own key; texts are known by a hash unless ``exact``.
     """
-    pieces = []
-    for name, types, sql in _COMPARABLE:
-        rows = lake.long(
-            ["v"], lambda f, _, sql=sql: [sql.format(c=quoted(f.name))],
-            lambda f, _, types=types: isinstance(f.dataType, types), wanted,
-        )
-        if rows is not None:
-            value = "CAST(v AS STRING)" if exact else f"xxhash64('{name}', v)"
-            pieces.append(rows.where("v IS NOT NULL").selectExpr("cid", f"'{name}' AS class", f"{value} AS v"))
-    held = reduce(DataFrame.unionAll, pieces).groupBy("class", "v").agg(F.array_sort(F.collect_set("cid")).alias("cids"))
-    sets = held.groupBy("cids").agg(F.count("*").alias("n"))
-    sides = sets.select("n", "cids", F.explode("cids").alias("a")).select("n", "a", F.explode("cids").alias("b"))
-    return sides.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sets = []
+    for name, types, sql, also in _COMPARABLE:
+        cids = [cid for _, columns in lake.tables for cid, f, _ in columns if cid in wanted and isinstance(f.dataType, types)]
+        if cids:
+            key = ["xxhash64(v)" if name == "text" and not exact else "v", *([also] if also else [])]
+            sets.append(_holders(lake, cids, sql, key))
+    sides = reduce(DataFrame.unionAll, sets).select("n", "cids", F.explode("cids").alias("a"))
+    pairs = sides.select("n", "a", F.explode("cids").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def inclusion_dependencies(tables: Mapping[str, DataFrame], min_overlap_percent: float = 80.0) -> DataFrame:
     """Pairs of columns of a lake of which the first has most of its distinct values in the second.
 
     Columns: table and column of both, ``child_values`` (distinct, nulls left out), ``matched_values``, ``overlap_percent``
-    and ``is_included`` (all of them). All columns are compared in one job: hashes of values are brought together first, then
+    and ``is_included`` (all of them). All columns are compared in one job; of texts, hashes are brought together first, then
     the values themselves of the columns that passed, so that no hash that two values share counts. Integers, other numbers,
     texts and times are compared among themselves; other types are left out.
     """
     lake = Lake(tables)
-    known = tuple(t for _, types, _ in _COMPARABLE for t in types)
-    every = {cid for _, columns in lake.tables for cid, f, _ in columns if isinstance(f.dataType, known)}
+    known = {name: types for name, types, _, _ in _COMPARABLE}
+    of = lambda types: {cid for _, columns in lake.tables for cid, f, _ in columns if isinstance(f.dataType, types)}
+    every, texts = of(tuple(t for types in known.values() for t in types)), of(known["text"])
 
     def passing(wanted: set[int], exact: bool) -> DataFrame:
         counts = _shared_values(lake, wanted, exact)
@@ -384,7 +409,11 @@ def inclusion_dependencies(tables: Mapping[str, DataFrame], min_overlap_percent:
     wanted = {r.cid for r in first.select(F.explode(F.array("a", "b")).alias("cid")).distinct().toLocalIterator()}
     if not wanted:
         return literal_rows(lake.spark, _INCLUSION, [])
-    sure = passing(wanted, True).join(first.select("a", "b"), ["a", "b"], "left_semi")
+    sure = first
+    if wanted & texts:
+        said = passing(wanted & texts, True).join(first.select("a", "b"), ["a", "b"], "left_semi")
+        numbers = literal_rows(lake.spark, "a int", [(cid,) for cid in sorted(wanted & texts)])
+        sure = first.join(lake.small(numbers), "a", "left_anti").unionByName(said)
     schema = lake.schema()
     named = lambda key, side: schema.selectExpr(f"cid AS {key}", f"table_name AS {side}_table", f"column_name AS {side}_column")
     return sure.join(lake.small(named("a", "child")), "a").join(lake.small(named("b", "parent")), "b").select(

@@ -1,4 +1,6 @@
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from assay.operators import profile as P
 from assay.operators import relate as R
@@ -114,3 +116,26 @@ def test_hubs_count_the_paths_that_are_listed(spark):
     for m, x in listed.items():
         assert hubs[m]["sure_paths"] == x.count("high")
         assert hubs[m]["confidence"] == min(x, key=["high", "medium", "low"].index)
+
+
+def test_inclusion_shuffles_a_value_and_a_mark(spark, monkeypatch):
+    frames, store = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label: (frames.append(df), store(df, label))[1])
+    tables = {
+        "a": spark.sql("SELECT id AS i, CAST(id AS DOUBLE) AS d, CAST(id AS STRING) AS s FROM range(100)"),
+        "b": spark.sql("SELECT id AS i, IF(id = 0, -0.0D, CAST(id AS DOUBLE)) AS d, CAST(id AS STRING) AS s FROM range(90)"),
+    }
+    found = R.inclusion_dependencies(tables)
+    got = {(r["child_table"], r["child_column"]): (r["child_values"], r["matched_values"]) for r in rows(found)}
+    assert got == {("a", c): (100, 90 - (c == "d")) for c in "ids"} | {("b", c): (90, 90 - (c == "d")) for c in "ids"}
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(frames) == 1 and "collect_set" not in of(frames[0]) and "bit_or" in of(frames[0])
+    assert of(found).count("stack(") * 3 == of(frames[0]).count("stack(")  # only texts are compared again
+
+
+@pytest.mark.parametrize("words", [8, 0])
+def test_inclusion_of_many_columns(spark, monkeypatch, words):
+    monkeypatch.setattr(R, "WORDS", words)
+    wide = spark.range(20).select(*[(F.col("id") + (i % 2) * 100).alias(f"c{i}") for i in range(70)])
+    got = {(r["child_column"], r["parent_column"]) for r in rows(R.inclusion_dependencies({"t": wide}))}
+    assert got == {(f"c{i}", f"c{j}") for i in range(70) for j in range(70) if i != j and i % 2 == j % 2}
