@@ -45,12 +45,20 @@ for _fmt in ("csv", "tsv"):
     ORACLE[f"src_{_fmt}_texts"] = _TEXTS.format(documents="documents")
 
 
+#: records of a JSON document
+DOCUMENT = 10_000
+
+
 def _documents(spark, sf):
-    """JSON documents: each file holds an array of a bounded number of records."""
+    """JSON documents: each file holds an array of a bounded number of records.
+
+    Records are numbered as they are read, whatever their keys. Documents are not small, since Spark's inference of a schema
+    goes through the list of all files of a task for each of them.
+    """
     df = from_sql(spark, sf, _FLAT)
     path = scratch_path(spark, "json")
-    bucket = F.floor(F.col("o_orderkey") / 500)
-    docs = df.groupBy(bucket.alias("b")).agg(
+    bucket = F.floor(F.monotonically_increasing_id() / DOCUMENT)
+    docs = df.withColumn("b", bucket).groupBy("b").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("value")
     )
     docs.select("value").write.option("maxRecordsPerFile", 1).text(path)

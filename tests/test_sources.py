@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.sinks import audit, runs
 from assay.sources import files, inventory, jdbc, sampling
+from checks import q_sources
 
 
 def put(tmp_path, name, text):
@@ -162,3 +163,19 @@ def test_run_store_and_audit(spark, tmp_path):
     got = audit.read_log(spark, log)
     assert got.count() == 3 and audit.tail(got, 1).first()["event_type"] == "read"
     assert {r["event_type"]: r["records"] for r in rows(audit.counts(got))} == {"read": 2, "mask": 1}
+
+
+def test_json_documents_are_bounded_and_few(spark, tmp_path, monkeypatch):
+    """Files grow with the records, not with the span of the keys, and no key makes a document large."""
+    monkeypatch.setattr(q_sources, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    orders = spark.range(0, 30_000, 1, 2).selectExpr(
+        "IF(id < 15000, NULL, id * 1000) AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "id * 0.5D AS o_totalprice",
+        "timestamp_ntz'2001-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = q_sources.QUERIES["src_json"](spark, str(tmp_path))
+    assert got.agg({"o_totalprice": "sum", "o_orderkey": "count"}).first().asDict() == {
+        "sum(o_totalprice)": sum(range(30_000)) / 2, "count(o_orderkey)": 15_000,
+    }
+    sizes = [len(json.loads(f.read_text())) for f in (tmp_path / "json").glob("part-*")]
+    assert sum(sizes) == 30_000 and max(sizes) <= 10_000 and len(sizes) <= 5
