@@ -231,3 +231,17 @@ def test_outliers_alone_store_no_value_counts(spark, monkeypatch):
     assert labels == ["statistics"]
     assert (got["a"]["iqr_outliers"], got["a"]["zscore_outliers"], got["a"]["median"]) == (10, 10, 5.0)
     assert (got["b"]["iqr_outliers"], got["b"]["q25"], got["s"]["iqr_outliers"]) == (0, 250.5, None)
+
+
+def test_few_values_are_sorted_for_the_top(spark):
+    freq = spark.sql("""
+        SELECT 0 AS cid, id AS lng, NULL AS dbl, NULL AS txt, 1L AS n FROM range(20000)
+        UNION ALL SELECT 1, NULL, id / 2D, NULL, IF(id < 4, 9L, id % 2) FROM range(20000) WHERE id % 2 = 1 OR id < 4
+        UNION ALL SELECT 2, NULL, NULL, CAST(id AS STRING), id % 100 + 1 FROM range(2000)
+        UNION ALL SELECT 3, NULL, NULL, CAST(id AS STRING), 1L FROM range(300)
+        UNION ALL SELECT 4, id, NULL, NULL, id FROM range(3)
+        UNION ALL SELECT 5, NULL, CAST(floor(id / 3) AS DOUBLE), CAST(id AS STRING), 2L FROM range(2000)
+    """).selectExpr("cid", "CAST(lng AS BIGINT) AS lng", "CAST(dbl AS DOUBLE) AS dbl", "CAST(txt AS STRING) AS txt", "n")
+    left = P._leading(freq, 10)
+    assert rows(P._best(left, 10), "cid", "rank") == rows(P._best(freq, 10), "cid", "rank")
+    assert left.where("cid NOT IN (2, 3)").count() < 300 and left.where("cid = 2").count() <= 200
