@@ -245,3 +245,17 @@ def test_few_values_are_sorted_for_the_top(spark):
     left = P._leading(freq, 10)
     assert rows(P._best(left, 10), "cid", "rank") == rows(P._best(freq, 10), "cid", "rank")
     assert left.where("cid NOT IN (2, 3)").count() < 300 and left.where("cid = 2").count() <= 200
+
+
+def test_numbers_do_not_pass_through_patterns(spark):
+    values = ["", " ", "1", " +1.5e3 ", ",1,000", ".5", "-", "NaN", "Infinity", "inf", "x1", "+x", "\t7", "tel 555-123-4567", "5551234567", "555123456",
+              "http://a", "https:/", "2001-1-1", "1/2001-01-1", " {}", "[", " <a> ", "é", " yes ", "Y", "no", "a,b"]
+    df = spark.createDataFrame([(v, i, float(i)) for i, v in enumerate(values)], "s string, i int, d double")
+    lake = P.Lake({"t": df})
+    plan = P._statistics(lake, True, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("stack(") == 2 and "octet_length" in plan
+    got = by_column(P.column_profile(df, "t", parts=(P.STATS, P.PATTERNS)))
+    assert (got["s"]["number_count"], got["s"]["date_count"], got["s"]["boolean_count"]) == (10, 2, 4)
+    assert (got["s"]["has_phone"], got["s"]["has_url"], got["s"]["nonblank_count"]) == (True, True, 26)
+    assert (got["s"]["object_count"], got["s"]["array_count"], got["s"]["markup_count"]) == (1, 1, 1)
+    assert (got["d"]["mean"], got["d"]["empty_count"], got["d"]["has_url"], got["s"]["mean"]) == (13.5, None, None, None)
